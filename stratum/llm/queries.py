@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratum.llm import bpe_codec, token_count
+from stratum.llm import bpe_codec, near_dup, token_count
 from stratum.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -19,10 +19,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     spec = Path(tokenizers, "word_bpe_49k.json").read_text(encoding="utf-8")
     return bpe_codec.digests(table(spark, sf_dir, "documents"), spec)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op6_bpe_codec)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_near_dup, op6_bpe_codec)}
 ORACLES: dict[str, str] = {}
