@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratum.llm import bpe_codec, near_dup, token_count
+from stratum.llm import bpe_codec, mixing, near_dup, token_count, url_filter, warc
 from stratum.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -19,14 +20,34 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 
 
+#: The production rules of the URL filter.
+RULES = (url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"), url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs that a rule judges are the labelled ones of the trees that judge the others."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, RULES, url_filter.train(url_filter.rule_labels(pages, RULES)))
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    copies = F.size("mix_draws").cast("long")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (copies * F.col("mix_size")).alias("taken"), copies.alias("copies"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     spec = Path(tokenizers, "word_bpe_49k.json").read_text(encoding="utf-8")
     return bpe_codec.digests(table(spark, sf_dir, "documents"), spec)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_near_dup, op6_bpe_codec)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_dup, op4_mixing, op6_bpe_codec, op7_warc)}
 ORACLES: dict[str, str] = {}
