@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import bpe_codec, mixing, near_dup, token_count, url_filter, warc
+from stratum.llm import bpe_codec, mixing, near_dup, quality, token_count, url_filter, warc
 from stratum.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -49,5 +49,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_dup, op4_mixing, op6_bpe_codec, op7_warc)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.with_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_dup, op4_mixing, op6_bpe_codec, op7_warc, op9_quality)}
 ORACLES: dict[str, str] = {}
