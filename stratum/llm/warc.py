@@ -27,6 +27,8 @@ END = "\r\n\r\n"
 RECORDS_PER_FILE = 20_000
 #: Payloads from this size on are written once; equal ones revisit it.
 LEAST_REVISIT = 1000
+#: So many repeated payloads (about 20 MB of digests and ids) are broadcast; more are joined by a shuffle.
+BROADCAST_KEEPERS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -41,6 +43,9 @@ def write_archive(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z
     n = F.octet_length("body")
     key = F.when(n >= LEAST_REVISIT, F.sha2(F.col("body").cast("binary"), 256))
     keepers = rows.select(key.alias("k"), "id").where("k is not null").groupBy("k").agg(F.max("id").alias("keeper"), F.count("*").alias("c")).where("c > 1 and keeper is not null").select("k", "keeper")
+    # Only repeated payloads have a keeper. While these are few, the payloads need not be shuffled to find theirs.
+    keepers = stored(keepers, "keepers")
+    keepers = F.broadcast(keepers) if keepers.limit(BROADCAST_KEEPERS + 1).count() <= BROADCAST_KEEPERS else keepers
     rows = rows.withColumn("key", key)
     rows = rows.join(keepers, F.col("key") == F.col("k"), "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
