@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import bpe_codec, chat, mixing, near_dup, quality, token_count, url_filter, warc
+from stratum.llm import bpe_codec, chat, lm_score, mixing, near_dup, quality, token_count, url_filter, warc
 from stratum.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -67,5 +67,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_dup, op4_mixing, op6_bpe_codec, op7_warc, op8_chat, op9_quality)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_dup, op4_mixing, op6_bpe_codec, op7_warc, op8_chat, op9_quality, op10_lm_score)}
 ORACLES: dict[str, str] = {}
