@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import bpe_codec, chat, lm_score, mixing, near_dup, quality, token_count, url_filter, warc
+from stratum.llm import bpe_codec, chat, lm_score, mixing, near_dup, quality, token_count, url_filter, vector_dedup, warc
 from stratum.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -40,6 +40,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (copies * F.col("mix_size")).alias("taken"), copies.alias("copies"))
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     spec = Path(tokenizers, "word_bpe_49k.json").read_text(encoding="utf-8")
     return bpe_codec.digests(table(spark, sf_dir, "documents"), spec)
@@ -71,5 +75,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_dup, op4_mixing, op6_bpe_codec, op7_warc, op8_chat, op9_quality, op10_lm_score)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_dup, op4_mixing, op5_vector_dedup, op6_bpe_codec, op7_warc, op8_chat, op9_quality, op10_lm_score)}
 ORACLES: dict[str, str] = {}
