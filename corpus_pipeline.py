@@ -1,4 +1,62 @@
-STAGES = []
+"""Documents to training tokens: quality rules, near-duplicates, mixing and BPE, each stage written before the next.
+
+A stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. All but the last return
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratum.llm import bpe_codec, mixing, near_dup, quality
+from stratum.llm.common import stored, table
+from stratum.llm.queries import TOKENIZERS
+
+#: Words of a shingle, and the similarity in percent from which on documents are near-duplicates.
+SHINGLE, PERCENT = 5, 80
+#: Up to so many ids are broadcast to find their rows; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    return quality.with_quality(docs).where("quality.kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id. Rows that repeat a document's id and text come out once; documents without an id all stay."""
+    found = stored(near_dup.near_duplicates(docs, SHINGLE, PERCENT).select("doc_id", "kept"), "groups")
+    small = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    dropped = small(found.where("not kept").select("doc_id").distinct())
+    repeated = small(stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated"))
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document, shuffled inside the mix's shards."""
+    return mixing.shuffled(mixing.drawn(mixing.mix(docs))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids, and the digest of what they decode to."""
+    spec = Path(TOKENIZERS, "word_bpe_49k.json").read_text(encoding="utf-8")
+    return bpe_codec.digests(docs, spec, with_ids=True)
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("mixing sources", mix_sources), ("bpe encoding", encode)]
+
+#: SQL cannot express MinHash groups, the mix's draws or BPE; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

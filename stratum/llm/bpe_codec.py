@@ -20,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -194,8 +195,8 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     return _rows(docs, id_col, text_col, run, "ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encode(), with n_tokens, ids_sha256 and decoded_sha256 in place of the ids and the decoded text.
+def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """As encode(), with n_tokens, ids_sha256 and decoded_sha256 in place of the decoded text, and of the ids unless with_ids.
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
     They are taken where the ids are made, so that these need not travel.
@@ -206,16 +207,24 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
         words = None
         for batch in batches:
             words = words or Words(Codec(shared.value))
-            counts, a, b = [], [], []
             for k in range(0, batch.num_rows, 200):
-                for text in batch.column(1).slice(k, 200).to_pylist():
+                part = batch.slice(k, 200)
+                counts, a, b, every = [], [], [], []
+                for text in part.column(1).to_pylist():
                     ids = words.encode(text)
+                    data = array("I", ids).tobytes()
                     counts.append(len(ids))
-                    a.append(hashlib.sha256(array("I", ids).tobytes()).hexdigest())
+                    a.append(hashlib.sha256(data).hexdigest())
                     b.append(hashlib.sha256(words.codec.table.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _rows(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+                    every.append(np.frombuffer(data, np.int32) if with_ids else None)
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.array(every, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return _rows(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, run, columns: str) -> DataFrame:  # noqa: ANN001
