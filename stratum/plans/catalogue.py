@@ -1,40 +1,472 @@
-"""The registered queries and their SQL, by name."""
+"""The registered queries over the ledger kept in events, and SQL for the same rows, by name.
+
+The ledger view: 100 events make a block, the user is the address, the event's type the slot, and the value, in
+hundredths, is what the slot holds.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from stratum.functions import bloom, hashing, learned
+from stratum.operators import contracts, lsm, merkle, metrics, provenance, reorg, state, trie
+from stratum.sources import traces
+from stratum.streaming import blocks as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+BLOCK_SIZE, CAPACITY, RATIO, FANOUT, EPSILON = 100, 500, 3, 4, 8
+#: Ledger tables for the SQL side: writes w, changes c, latest state l, and rows with their flush f.
+CTE = f"""WITH w AS (SELECT user_id AS addr, event_type AS slot, CAST(floor(event_id / {BLOCK_SIZE}) AS BIGINT) + 1 AS block, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS value FROM events),
+c AS (SELECT addr, slot, block, arg_max(value, seq) AS value FROM w GROUP BY addr, slot, block),
+l AS (SELECT addr, slot, max(block) AS block, arg_max(value, block) AS value FROM c GROUP BY addr, slot),
+f AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY block, addr, slot) - 1) / {CAPACITY}) AS BIGINT) AS flush FROM c),
+n AS (SELECT CAST(floor(count(*) / {CAPACITY}) AS BIGINT) AS flushes FROM c),
+p AS (SELECT f.*, (SELECT coalesce(max(i), -1) FROM range(0, 13) r(i) WHERE f.flush < n.flushes - n.flushes % CAST(pow({RATIO}, i) AS BIGINT) AND n.flushes >= pow({RATIO}, i)) AS level, n.flushes FROM f, n),
+r AS (SELECT addr, slot, block, value, flush, level, CASE WHEN level < 0 THEN -1 ELSE CAST(floor((flush - (flushes - flushes % CAST(pow({RATIO}, level + 1) AS BIGINT))) / pow({RATIO}, level)) AS BIGINT) END AS run FROM p)
+"""
+
 
-def query(name: str, sql: str | None = None):  # noqa: ANN201
-    """Registers a function (spark, sf_dir) -> DataFrame under a name, with SQL for the same rows."""
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function (spark, sf_dir) -> DataFrame, with SQL that follows CTE."""
 
-    def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def register(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = CTE + sql
         return fn
 
     return register
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select(F.col("user_id").alias("addr"), F.col("event_type").alias("slot"), (F.floor(F.col("event_id") / BLOCK_SIZE) + 1).alias("block"), F.col("event_id").alias("seq"), F.round(F.col("value") * 100).cast("long").alias("value"))
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger view of events: 100 events make a block, and the last write of a key in a block counts."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = events.select(F.col("user_id").alias("addr"), F.col("event_type").alias("slot"), (F.floor(F.col("event_id") / 100) + 1).alias("block"), F.round(F.col("value") * 100).cast("long").alias("value"), F.col("event_id").alias("seq"))
-    return rows.groupBy("addr", "slot", "block").agg(F.max_by("value", "seq").alias("value"))
-
-
-@query(
-    "latest_state",
-    """WITH c AS (SELECT user_id AS addr, event_type AS slot, CAST(floor(event_id / 100) + 1 AS BIGINT) AS block, event_id AS seq,
-               CAST(round(value * 100) AS BIGINT) AS value FROM events)
-       SELECT addr, slot, max(block) AS block, arg_max(value, seq) AS value FROM c GROUP BY addr, slot""",
-)
+    return state.block_writes(writes(spark, sf_dir))
+
+
+def rows_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.with_runs(changes(spark, sf_dir), CAPACITY, RATIO)
+
+
+def joined_versions(versions):  # noqa: ANN001, ANN201
+    return F.array_join(F.transform(versions, lambda v: F.concat_ws(":", v["block"].cast("string"), v["value"].cast("string"))), ",")
+
+
+VERSIONS_SQL = "string_agg(CAST(block AS VARCHAR) || ':' || CAST(value AS VARCHAR), ',' ORDER BY block)"
+
+
+@query("state_changes", "SELECT * FROM c")
+def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes(spark, sf_dir)
+
+
+@query("latest_state", "SELECT * FROM l")
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes(spark, sf_dir).groupBy("addr", "slot").agg(F.max("block").alias("block"), F.max_by("value", "block").alias("value"))
+    return state.latest(changes(spark, sf_dir))
+
+
+@query("latest_with_default", "SELECT k.addr, k.slot, coalesce(l.value, 0) AS value FROM (SELECT DISTINCT addr + 40 AS addr, 'click' AS slot FROM c) k LEFT JOIN l USING (addr, slot)")
+def latest_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = changes(spark, sf_dir)
+    return state.values_of(c.select((F.col("addr") + 40).alias("addr"), F.lit("click").alias("slot")), c, F.lit(0))
+
+
+@query("asof_state", "SELECT addr, slot, max(block) AS block, arg_max(value, block) AS value FROM c WHERE block <= 50 GROUP BY addr, slot")
+def asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.as_of(changes(spark, sf_dir), 50)
+
+
+@query("live_state", "SELECT * FROM l WHERE value % 100 <> 0")
+def live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = changes(spark, sf_dir).withColumn("value", F.when(F.col("value") % 100 != 0, F.col("value")))
+    order = state.block_writes(marked.withColumn("seq", F.lit(0)))
+    newest = order.groupBy("addr", "slot").agg(F.max("block").alias("block"), F.max(F.struct("block", "value"))["value"].alias("value"))
+    return state.without_tombstones(newest, F.lit(None).cast("long"))
+
+
+@query("provenance_range", "SELECT * FROM c WHERE block BETWEEN 30 AND 60 AND slot IN ('click', 'view')")
+def provenance_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.provenance(changes(spark, sf_dir).where(F.col("slot").isin("click", "view")), 30, 60)
+
+
+@query("provenance_boundary", "SELECT addr, slot, block, value, inside FROM (SELECT *, block >= 30 AS inside, lead(block) OVER (PARTITION BY addr, slot ORDER BY block) AS nx FROM c WHERE block <= 60) WHERE block >= 30 OR nx > 30 OR nx IS NULL")
+def provenance_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.provenance_with_boundary(changes(spark, sf_dir), 30, 60)
+
+
+@query("dense_provenance", "SELECT k.addr, k.slot, b.block, (SELECT arg_max(value, c.block) FROM c WHERE c.addr = k.addr AND c.slot = k.slot AND c.block <= b.block) AS value FROM (SELECT DISTINCT addr, slot FROM c WHERE block <= 9) k, (SELECT unnest(range(5, 10)) AS block) b")
+def dense_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.dense(changes(spark, sf_dir), 5, 9)
+
+
+@query("history_array", f"SELECT addr, slot, count(*) AS n_versions, {VERSIONS_SQL} AS versions FROM c GROUP BY addr, slot")
+def history_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.history(changes(spark, sf_dir)).withColumn("versions", joined_versions(F.col("versions")))
+
+
+@query("state_diff", """SELECT addr, slot, a.value AS old_value, b.value AS new_value FROM (SELECT addr, slot, arg_max(value, block) AS value FROM c WHERE block <= 30 GROUP BY addr, slot) a
+FULL OUTER JOIN (SELECT addr, slot, arg_max(value, block) AS value FROM c WHERE block <= 70 GROUP BY addr, slot) b USING (addr, slot) WHERE a.value IS DISTINCT FROM b.value""")
+def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.diff(changes(spark, sf_dir), 30, 70)
+
+
+@query("prune_latest", "SELECT * FROM l")
+def prune_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.prune_to_latest(changes(spark, sf_dir))
+
+
+@query("prune_before", "SELECT c.* FROM c LEFT JOIN (SELECT addr, slot, max(block) AS held FROM c WHERE block <= 50 GROUP BY addr, slot) h USING (addr, slot) WHERE c.block >= 50 OR c.block = h.held")
+def prune_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.prune_before(changes(spark, sf_dir), 50)
+
+
+@query("key_neighbours", """SELECT addr, slot, e AS "exists", before, after FROM (SELECT addr, slot, e, asked, max(CASE WHEN e THEN k END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+min(CASE WHEN e THEN k END) OVER (ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM (SELECT addr, slot, bool_or(e) AS e, bool_or(a) AS asked, lpad(CAST(addr AS VARCHAR), 12, '0') || '|' || slot AS k
+FROM (SELECT DISTINCT addr, slot, true AS e, false AS a FROM c UNION ALL SELECT DISTINCT addr, CASE WHEN addr % 2 = 0 THEN 'purchase' ELSE 'm' END, false, true FROM c) GROUP BY addr, slot)) WHERE asked""")
+def key_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = changes(spark, sf_dir)
+    probes = c.select("addr", F.when(F.col("addr") % 2 == 0, "purchase").otherwise("m").alias("slot"))
+    shown = lambda k: F.when(F.col(k).isNotNull(), F.concat(F.lpad(F.col(k)["addr"].cast("string"), 12, "0"), F.lit("|"), F.col(k)["slot"])).alias(k)
+    return state.neighbours(c, probes).select("addr", "slot", "exists", shown("before"), shown("after"))
+
+
+@query("recent_keys", "SELECT addr, slot, max(block) AS block FROM c WHERE block > (SELECT max(block) FROM c) - 3 GROUP BY addr, slot")
+def recent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.recent_keys(changes(spark, sf_dir), 3)
+
+
+@query("stale_writes", "SELECT addr, slot, block, value, seq, newest FROM (SELECT *, max(block) OVER (PARTITION BY addr, slot ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM (SELECT addr, slot, block * 7 % 11 AS block, value, seq FROM w)) WHERE block < newest")
+def stale_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.checked_versions(writes(spark, sf_dir).withColumn("block", F.col("block") * 7 % 11), "seq")
+
+
+@query("sampled_keys")
+def sampled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.sample_keys(changes(spark, sf_dir), 200, 1)
+
+
+@query("run_assignment", "SELECT * FROM f")
+def run_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.with_flush(changes(spark, sf_dir), CAPACITY)
+
+
+@query("level_placement", "SELECT DISTINCT flush, CAST(level AS BIGINT) AS level, run FROM r")
+def level_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_in_runs(spark, sf_dir).select("flush", F.col("level").cast("long").alias("level"), F.col("run").cast("long").alias("run")).distinct()
+
+
+@query("run_block_ranges", "SELECT CAST(level AS BIGINT) AS level, run, count(*) AS n_rows, min(block) AS block_lo, max(block) AS block_hi FROM r GROUP BY level, run")
+def run_block_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.runs(rows_in_runs(spark, sf_dir)).withColumns({"level": F.col("level").cast("long"), "run": F.col("run").cast("long")})
+
+
+@query("merged_runs", f"SELECT addr, slot, max(block) AS block, arg_max(value, block) AS value, {VERSIONS_SQL} AS versions FROM f WHERE flush < 3 GROUP BY addr, slot")
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY)
+    return lsm.merged(*(rows.where(F.col("flush") == i) for i in range(3))).withColumn("versions", joined_versions(F.col("versions")))
+
+
+@query("compaction_keeps_state", "SELECT * FROM l")
+def compaction_keeps_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.latest(lsm.compacted(lsm.compacted(rows_in_runs(spark, sf_dir), 0), 1))
+
+
+@query("runs_probed", "SELECT addr, slot, (SELECT max(flush) FROM f) - max(flush) + 1 AS probed FROM f GROUP BY addr, slot")
+def runs_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.runs_probed(lsm.with_flush(changes(spark, sf_dir), CAPACITY))
+
+
+@query("page_layout", "SELECT flush, addr, slot, block, CAST(floor((row_number() OVER (PARTITION BY flush ORDER BY addr, slot, block) - 1) / 46) AS BIGINT) AS page FROM f")
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.pages(lsm.with_flush(changes(spark, sf_dir), CAPACITY))
+
+
+@query("filter_budget", """SELECT level, run, filter_bytes, sum(filter_bytes) OVER (ORDER BY level, run DESC) <= 2000 AS has_filter FROM
+(SELECT CAST(level AS BIGINT) AS level, run, CAST(ceil(ceil(count(*) * (-ln(0.1) / (ln(2) * ln(2)))) / 8) AS BIGINT) AS filter_bytes FROM r GROUP BY level, run)""")
+def filter_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsm.with_filter_budget(run_block_ranges(spark, sf_dir), budget_bytes=2000).select("level", "run", "filter_bytes", "has_filter")
+
+
+@query("short_rewind", "SELECT * FROM c WHERE block <= (SELECT max(block) FROM c) - 10")
+def short_rewind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reorg.rewound(changes(spark, sf_dir), 10)
+
+
+@query("rewind_plan", """, s AS (SELECT flush * 2 AS run, min(block) AS lo, max(block) AS hi FROM f WHERE flush < 4 GROUP BY flush UNION ALL SELECT 1, min(block), max(block) FROM f WHERE flush IN (1, 2)),
+x AS (SELECT flush, min(block) AS lo, max(block) AS hi FROM f GROUP BY flush)
+SELECT CAST(0 AS BIGINT) AS level, CAST(s.run AS BIGINT) AS run, s.lo AS block_lo, s.hi AS block_hi, CASE WHEN bool_or(x.lo = s.lo AND x.hi = s.hi) THEN 'keep' ELSE 'rebuild' END AS action,
+CASE WHEN bool_or(x.lo = s.lo AND x.hi = s.hi) THEN 1 ELSE count(x.lo) END AS n_sources FROM s LEFT JOIN x ON x.lo <= s.hi AND x.hi >= s.lo GROUP BY s.run, s.lo, s.hi""")
+def rewind_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY).withColumn("level", F.lit(0).cast("long"))
+    now = lsm.runs(rows.withColumn("run", F.col("flush")))
+    saved = reorg.checkpoint(now.where("run < 4").withColumn("run", F.col("run") * 2), 0)
+    pair = reorg.checkpoint(lsm.runs(rows.where("flush in (1, 2)").withColumn("run", F.lit(1).cast("long"))), 0)
+    return reorg.plan(now, saved.unionByName(pair))
+
+
+@query("rebuilt_rows", "SELECT addr, slot, block, value FROM c WHERE block BETWEEN 5 AND 9")
+def rebuilt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = spark.createDataFrame([(0, 0, 5, 9)], "level int, run long, block_lo long, block_hi long")
+    return reorg.rebuilt(changes(spark, sf_dir), saved).select("addr", "slot", "block", "value")
+
+
+LEAF_SQL = "sha256(CAST(addr AS VARCHAR) || '|' || slot || '|' || CAST(block AS VARCHAR) || '|' || CAST(value AS VARCHAR))"
+
+
+@query("leaf_digest", f"SELECT addr, slot, {LEAF_SQL} AS digest FROM l")
+def leaf_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_state(spark, sf_dir).select("addr", "slot", merkle.leaf("addr", "slot", "block", "value").alias("digest"))
+
+
+def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY).withColumn("digest", merkle.leaf("addr", "slot", "block", "value"))
+    return merkle.ordered_digest(rows, F.struct("addr", "slot", "block"), "digest", ["flush"], "digest")
+
+
+RUN_SQL = f"SELECT flush, sha256(string_agg({LEAF_SQL}, '' ORDER BY addr, slot, block)) AS digest FROM f GROUP BY flush"
+
+
+@query("run_digest", RUN_SQL)
+def run_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(spark, sf_dir)
+
+
+@query("store_digest", f"SELECT sha256(string_agg(digest, '' ORDER BY flush DESC)) AS digest FROM ({RUN_SQL})")
+def store_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.ordered_digest(run_digests(spark, sf_dir), -F.col("flush"), "digest", [], "digest")
+
+
+def latest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of one tree for each slot, so that trees grow side by side."""
+    rows = latest_state(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("addr")) - 1
+    return rows.select(F.col("slot").alias("tree"), place.cast("long").alias("pos"), merkle.leaf("addr", "slot", "block", "value").alias("hash"))
+
+
+def fold_sql(levels: int) -> str:
+    """The roots of latest_leaves() by repeated grouping; further levels repeat a root's hash."""
+    inner = f"SELECT slot AS tree, row_number() OVER (PARTITION BY slot ORDER BY addr) - 1 AS pos, {LEAF_SQL} AS hash FROM l"
+    for _ in range(levels):
+        inner = f"SELECT tree, CAST(floor(pos / {FANOUT}) AS BIGINT) AS pos, sha256(string_agg(hash, '' ORDER BY pos)) AS hash FROM ({inner}) GROUP BY 1, 2"
+    return inner
+
+
+@query("merkle_level2", fold_sql(2))
+def merkle_level2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = latest_leaves(spark, sf_dir)
+    return merkle.parents(merkle.parents(leaves, FANOUT), FANOUT)
+
+
+@query("merkle_proofs_ok", "SELECT slot AS tree, row_number() OVER (PARTITION BY slot ORDER BY addr) - 1 AS pos, true AS ok FROM l")
+def merkle_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = latest_leaves(spark, sf_dir)
+    return merkle.verified(merkle.proofs(leaves, FANOUT), merkle.roots(leaves, FANOUT)).select("tree", "pos", "ok")
+
+
+@query("merkle_roots")
+def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.roots(latest_leaves(spark, sf_dir), FANOUT)
+
+
+@query("ledger_digest")
+def ledger_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = provenance.key_leaves(provenance.version_roots(changes(spark, sf_dir)))
+    return merkle.roots(leaves.select("tree", "pos", "hash"), FANOUT, hashing.blake2b)
+
+
+@query("version_tree_roots")
+def version_tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.version_roots(changes(spark, sf_dir))
+
+
+def proofs_ok(cut: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = changes(spark, sf_dir)
+        return provenance.verify(provenance.prove(c, 20, 60, cut), provenance.version_roots(c, cut), 20, 60)
+
+    return run
+
+
+for _cut in provenance.CUTS:
+    query(f"provenance_proofs_{_cut}", "SELECT addr, slot, true AS ok, count(*) FILTER (WHERE block BETWEEN 20 AND 60) AS n_found FROM c GROUP BY addr, slot")(proofs_ok(_cut))
+
+
+@query("absent_keys", "SELECT DISTINCT addr, 'm' AS slot, false AS \"exists\" FROM c")
+def absent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = changes(spark, sf_dir)
+    return provenance.absence(c, c.select("addr", F.lit("m").alias("slot"))).select("addr", "slot", "exists")
+
+
+@query("content_chunks", "SELECT addr, slot, block, coalesce(sum(cut) OVER (PARTITION BY addr, slot ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chunk FROM (SELECT *, CASE WHEN sha256(CAST(block AS VARCHAR) || '|' || CAST(value AS VARCHAR))[1] IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS cut FROM c)")
+def content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.substring(merkle.leaf("block", "value"), 1, 1).isin("0", "1", "2", "3").cast("long")
+    before = F.sum(cut).over(Window.partitionBy("addr", "slot").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return changes(spark, sf_dir).select("addr", "slot", "block", F.coalesce(before, F.lit(0)).alias("chunk"))
+
+
+@query("bloom_no_false_negative", "SELECT flush, count(*) AS n_probes, CAST(0 AS BIGINT) AS misses FROM f GROUP BY flush")
+def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY)
+    key = F.concat_ws("|", F.col("addr").cast("string"), "slot")
+    hits = bloom.might_contain(rows, bloom.filters(rows, "flush", key), "flush", key)
+    return hits.groupBy("flush").agg(F.count("*").alias("n_probes"), F.sum((~F.col("hit")).cast("long")).alias("misses"))
+
+
+@query("model_error_bound", "SELECT flush, true AS bounded FROM f GROUP BY flush")
+def model_error_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (F.col("addr") * 1_000_000 + F.col("block")) * 1000 + F.ascii("slot")
+    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY).withColumn("key", key).withColumn("at", F.row_number().over(Window.partitionBy("flush").orderBy("key")) - 1)
+    return learned.models(rows, "flush", "key", "at", EPSILON).groupBy("flush").agg((F.max("max_error") <= EPSILON + 1).alias("bounded"))
+
+
+@query("trie_prefix_fanout", """SELECT depth, substring(p, 1, depth) AS prefix, count(DISTINCT substring(p, depth + 1, 1)) AS children, count(*) AS leaves
+FROM (SELECT sha256(CAST(addr AS VARCHAR) || '|' || slot) AS p FROM l), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS depth) GROUP BY 1, 2""")
+def trie_prefix_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.fanout(latest_state(spark, sf_dir), 3)
+
+
+@query("trie_proofs_ok", "SELECT sha256(CAST(addr AS VARCHAR) || '|' || slot) AS path, true AS ok FROM l")
+def trie_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.proved(latest_state(spark, sf_dir))
+
+
+@query("trie_root")
+def trie_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.root(latest_state(spark, sf_dir))
+
+
+@query("trie_pruned_nodes")
+def trie_pruned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.pruned(trie.node_versions(changes(spark, sf_dir), [2, 4, 6, 8]), 6)
+
+
+def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("user"), F.col("addr").cast("string"))
+    line = F.when(F.col("seq") % 7 == 0, F.lit("# comment")).when(F.col("seq") % 2 == 0, F.concat(F.lit("UPDATE usertable "), key, F.lit(" [ field0="), F.col("value").cast("string"), F.lit(" ]"))).otherwise(F.concat(F.lit("READ usertable "), key, F.lit(" [ ]")))
+    return writes(spark, sf_dir).select(line.alias("value"))
+
+
+KV_SQL = "SELECT CASE WHEN seq % 2 = 0 THEN 'UPDATE' ELSE 'READ' END AS op, 'user' || CAST(addr AS VARCHAR) AS key, CASE WHEN seq % 2 = 0 THEN CAST(value AS VARCHAR) END AS value FROM w WHERE seq % 7 <> 0"
+
+
+@query("kv_parse", KV_SQL)
+def kv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.kv_operations(kv_lines(spark, sf_dir))
+
+
+@query("workload_mix", f"SELECT op, count(*) AS n, count(DISTINCT key) AS keys FROM ({KV_SQL}) GROUP BY op")
+def workload_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv_parse(spark, sf_dir).groupBy("op").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("transfer_parse", "SELECT 'a' || CAST(addr AS VARCHAR) AS sender, 'b' || slot AS receiver FROM w")
+def transfer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.transfers(writes(spark, sf_dir).select(F.concat(F.lit("a"), F.col("addr").cast("string"), F.lit(" b"), F.col("slot")).alias("value")))
+
+
+@query("smallbank_trace")
+def smallbank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.smallbank(spark, 1000, 50, 1)
+
+
+@query("touch_count", "SELECT account, count(DISTINCT block) AS n FROM (SELECT block, addr AS account FROM w UNION ALL SELECT block, (addr * 7 + 3) % 50 FROM w) GROUP BY account")
+def touch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = writes(spark, sf_dir)
+    return contracts.touches(w.select("block", F.col("addr").alias("sender"), ((F.col("addr") * 7 + 3) % 50).alias("receiver")))
+
+
+@query("touch_count_serial", "SELECT account, count(*) AS n FROM (SELECT block, addr AS account FROM w UNION ALL SELECT block, (addr * 7 + 3) % 50 FROM w) GROUP BY account")
+def touch_count_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = writes(spark, sf_dir)
+    return contracts.touches(w.select("block", F.col("addr").alias("sender"), ((F.col("addr") * 7 + 3) % 50).alias("receiver")), serial=True)
+
+
+@query("smallbank_balance", "SELECT addr AS account, coalesce(sum(value) FILTER (WHERE slot = 'click'), 0)::BIGINT AS checking, coalesce(sum(value) FILTER (WHERE slot = 'view'), 0)::BIGINT AS saving, coalesce(sum(value) FILTER (WHERE slot IN ('click', 'view')), 0)::BIGINT AS total FROM w GROUP BY addr")
+def smallbank_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("slot") == "click", "checking").when(F.col("slot") == "view", "saving")
+    return contracts.balances(writes(spark, sf_dir).select(F.col("addr").alias("account"), kind.alias("kind"), F.col("value").alias("amount")))
+
+
+@query("smallbank_blocks", "SELECT addr % 8 AS shard, 'checking' AS name, addr AS account, CAST(sum(v) AS VARCHAR) AS value FROM (SELECT addr, block, arg_max(value % 1000, seq) AS v FROM w GROUP BY addr, block) GROUP BY addr")
+def smallbank_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = writes(spark, sf_dir)
+    return contracts.execute(w.select((F.col("addr") % 8).alias("shard"), "block", "seq", F.lit(contracts.UPDATE_BALANCE).alias("op"), F.col("addr").alias("a"), F.lit(0).alias("b"), (F.col("value") % 1000).alias("amount")))
+
+
+@query("write_set_merge", "SELECT addr, slot, arg_max(value, seq) AS value FROM w LEFT JOIN (SELECT addr AS ra, max(seq) AS cleared FROM w WHERE slot = 'error' GROUP BY addr) ON addr = ra WHERE slot <> 'error' AND (cleared IS NULL OR seq > cleared) GROUP BY addr, slot")
+def write_set_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.write_sets(writes(spark, sf_dir).withColumn("reset", F.col("slot") == "error"))
+
+
+@query("slot_scan", "SELECT * FROM l WHERE slot BETWEEN 'e' AND 'q'")
+def slot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.scanned(latest_state(spark, sf_dir), F.lit("e"), F.lit("q"), descending=True)
+
+
+@query("sorted_values", "SELECT addr, string_agg(CAST(value AS VARCHAR), ',' ORDER BY value) AS sorted FROM l GROUP BY addr")
+def sorted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = latest_state(spark, sf_dir).groupBy("addr").agg(F.collect_list("value").alias("v"))
+    return rows.select("addr", F.array_join(contracts.sorted_numbers(F.col("v")).cast("array<string>"), ",").alias("sorted"))
+
+
+@query("contract_addresses", "SELECT addr, slot, substring(sha256(CAST(addr AS VARCHAR) || '|' || CAST(block AS VARCHAR)), 25, 40) AS contract FROM l")
+def contract_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_state(spark, sf_dir).select("addr", "slot", contracts.contract_address(F.col("addr"), F.col("block")).alias("contract"))
+
+
+@query("uint256_sums", "SELECT addr, slot, printf('%064X', 2 * value) AS doubled, CASE WHEN value > 0 THEN repeat('F', 48) || printf('%016X', -value) ELSE repeat('0', 64) END AS negated FROM l")
+def uint256_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = hashing.uint256(F.col("value"))
+    return latest_state(spark, sf_dir).select("addr", "slot", F.hex(hashing.uint256_add(v, v)).alias("doubled"), F.hex(hashing.uint256_sub(hashing.uint256(F.lit(0)), v)).alias("negated"))
+
+
+@query("blake2b_digest")
+def blake2b_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_state(spark, sf_dir).select("addr", "slot", merkle.leaf("addr", "slot", "block", "value", hashed=hashing.blake2b).alias("digest"))
+
+
+@query("block_metrics", 'SELECT count(*) AS n_blocks, avg(e - s) AS mean, max(e - s) AS longest FROM (SELECT floor(event_id / 100) AS b, epoch_us(min(ts)) AS s, epoch_us(max(ts)) AS e FROM events GROUP BY 1)')
+def block_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / BLOCK_SIZE).alias("b")).agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))).alias("start"), F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("end"))
+    return metrics.block_latency(ts).select("n_blocks", "mean", "longest")
+
+
+@query("storage_sampling", "SELECT b.block, (SELECT count(*) FROM c WHERE c.block <= b.block) AS n_changes FROM (SELECT unnest(range(5, 100000, 5)) AS block) b WHERE b.block <= (SELECT max(block) FROM c)")
+def storage_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.sampled_storage(changes(spark, sf_dir), 5)
+
+
+@query("storage_breakdown", "SELECT CASE WHEN slot LIKE 'c%' THEN 'state' WHEN slot LIKE 'p%' THEN 'model' ELSE 'other' END AS kind, sum(value)::BIGINT AS bytes FROM l GROUP BY 1")
+def storage_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.storage_by_kind(latest_state(spark, sf_dir).select(F.col("slot").alias("name"), F.col("value").alias("bytes")), {"c": "state", "p": "model"})
+
+
+@query("window_sweep", "SELECT CAST(s AS INTEGER) AS \"window\", count(DISTINCT CAST(addr AS VARCHAR) || '|' || slot) AS n_keys, count(*) AS n_versions FROM c, (SELECT unnest([2, 4, 8, 16]) AS s) WHERE block BETWEEN 10 - s + 1 AND 10 GROUP BY 1")
+def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = changes(spark, sf_dir)
+    return metrics.window_versions(c, c.select("addr", "slot").distinct(), 10, [2, 4, 8, 16])
+
+
+@query("streamed_latest", "SELECT * FROM l")
+def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of changes that came in as a stream, block by block."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    path = f"{base}/stream-{uuid.uuid4().hex}"
+    kinds = events(spark, sf_dir).schema
+    source = spark.readStream.schema(kinds).parquet(f"{sf_dir}/events.parque[t]")
+    rows = source.select(F.col("user_id").alias("addr"), F.col("event_type").alias("slot"), (F.floor(F.col("event_id") / BLOCK_SIZE) + 1).alias("block"), F.col("event_id").alias("seq"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    streams.append_blocks(rows, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return state.latest(spark.read.parquet(f"{path}/rows").drop("batch"))
