@@ -144,17 +144,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     also = (place < F.col("p_whole")) | ((place == F.col("p_whole")) & (h <= F.col("p_cut")))
     times = F.when(F.coalesce(also, F.lit(False)) & (F.col("p_passes") < most_times), F.concat(full, F.array(draw(F.col("p_passes"))))).otherwise(full)
     new = ["mix_size", "mix_source_size", "mix_target", "mix_draws"]
-    kept = [c for c in docs.columns if c not in new]
-    out = docs.withColumns({"p_h": keys.order(docs[id_col], docs[text_col]), "mix_size": words(docs[text_col])})
-    out = out.join(F.broadcast(plan), docs[source_col].cast("string").eqNullSafe(plan["p_source"])).withColumn("p_place", _place(h))
-    return out.select(*(out[c] for c in kept), "mix_size", F.col("p_size").alias("mix_source_size"), F.col("p_target").alias("mix_target"), times.alias("mix_draws"))
+    # The row's own columns go together, so that their names cannot clash with the plan's.
+    row = F.struct(*(docs[c] for c in docs.columns if c not in new)).alias("row")
+    out = docs.select(row, docs[source_col].cast("string").alias("source"), words(docs[text_col]).alias("size"), keys.order(docs[id_col], docs[text_col]).alias("p_h"))
+    out = out.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("p_place", _place(h))
+    return out.select("row", F.col("size").alias("mix_size"), F.col("p_size").alias("mix_source_size"), F.col("p_target").alias("mix_target"), times.alias("mix_draws")).select("row.*", *new)
 
 
 def drawn(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row for each draw of mix(), with epoch and shard in place of mix_draws."""
-    return mixed.withColumn("mix_draw", F.explode("mix_draws")).select(*(c for c in mixed.columns if c != "mix_draws"), F.col("mix_draw.epoch").alias("epoch"), F.col("mix_draw.shard").alias("shard"))
+    """The mix itself: a row for each draw of mix(), with mix_epoch and mix_shard in place of mix_draws."""
+    kept = [c for c in mixed.columns if c not in ("mix_draws", "mix_epoch", "mix_shard")]
+    return mixed.select(*kept, F.explode("mix_draws").alias("mix_draws")).select(*kept, F.col("mix_draws.epoch").alias("mix_epoch"), F.col("mix_draws.shard").alias("mix_shard"))
 
 
 def shuffled(rows: DataFrame, seed: int = 7, id_col: str = "doc_id") -> DataFrame:
     """drawn() rows, each shard in partitions of its own and in random order."""
-    return rows.repartition("shard", F.pmod(F.xxhash64(id_col, "epoch"), F.lit(64))).sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 1), id_col, "epoch"))
+    return rows.repartition("mix_shard", F.pmod(F.xxhash64(id_col, "mix_epoch"), F.lit(64))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed + 1), id_col, "mix_epoch"))

@@ -99,7 +99,7 @@ def distance(p: Column, q: Column) -> Column:
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     share = lambda h: let(h, lambda h: let(total(h), lambda t: F.when(t > 0, F.transform(h, lambda v: v / t))))
     terms = F.zip_with(share(p), share(q), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), total(terms)))
+    return let(total(terms), lambda d: F.when(d.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), d))))
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -120,8 +120,10 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     refs = language_references(docs, text_col, lang_col)
     refs = F.broadcast(refs) if refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES else refs
-    text, lang = F.coalesce(docs[text_col].cast("string"), F.lit("")), docs[lang_col].cast("string")
-    joined = docs.join(refs, lang.eqNullSafe(F.col("ref_lang")), "left")
+    # The row's own columns go together, so that their names cannot clash with these.
+    row = F.struct(*(docs[c] for c in docs.columns if c != "quality")).alias("row")
+    joined = docs.select(row, F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[lang_col].cast("string").alias("lang")).join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+    text, lang = F.col("text"), F.col("lang")
     long = lambda c: c.cast("long")
     lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: long(F.size(x) - F.size(F.array_distinct(x))))
     word_chars = F.length(F.regexp_replace(text, SPACE, ""))
@@ -142,4 +144,5 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         )
 
     quality = let(counts, lambda c: let(char_classes(text, word_chars), lambda classes: verdict(c, classes)))
-    return joined.select(*(docs[c] for c in docs.columns if c != "quality"), quality.alias("quality"))
+    # In two steps: names inside lambdas must not be taken for those of the unpacked row.
+    return joined.select("row", quality.alias("quality")).select("row.*", "quality")

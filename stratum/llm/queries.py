@@ -68,7 +68,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.with_quality(table(spark, sf_dir, "documents")).select("doc_id", "quality.*")
+    return quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "quality.*")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
