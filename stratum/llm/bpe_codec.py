@@ -18,7 +18,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,14 @@ from pyspark.sql import DataFrame
 
 #: Characters that are white space for the tokenizer's patterns.
 WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: How the file splits words, and the same for words (which hold no white space) of printable ASCII
+#: characters in lower case: these are their own bytes in the alphabet of the pre-tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: The last symbol of a piece is another symbol than the same character elsewhere: it is moved up by this.
 LAST = 0x1000
+#: Pieces and pairs of tokens that are remembered, at most.
+MOST_KEPT = 600_000
 
 
 class Codec:
@@ -42,6 +47,8 @@ class Codec:
             raise ValueError("this model is of another kind")
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in self.spec["added_tokens"]):
             raise ValueError("added tokens of this kind are not supported")
+        if self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN:
+            raise ValueError("this file splits words in another way")
         self.suffix = model["end_of_word_suffix"]
         self.ids = {self.inner(t): i for t, i in model["vocab"].items()}
         self.symbols = {i: t for t, i in self.ids.items()}
@@ -55,6 +62,9 @@ class Codec:
         small = Tokenizer.from_str(json.dumps(self.spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
         self.normalizer, self.pre_tokenizer = small.normalizer, small.pre_tokenizer
         self.compatible: dict[int, bool] = {}
+        #: Ids are kept as the bytes of an array of the smallest type that holds them.
+        self.code = "H" if max(self.symbols, default=0) < 1 << 16 else "I"
+        self.pieces: dict[str, bytes] = {}
         self.automaton = self.build()
         self.table = OffsetTable({i: t for t, i in model["vocab"].items()} | {i: t for t, i in added.items()})
 
@@ -65,12 +75,16 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """BPE as it is defined: merge the first pair of the lowest rank until none is left."""
-        parts = list(text)
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get((a, b), 1 << 30), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
-                break
+        parts, none = list(text), 1 << 30
+        ranks = [self.ranks.get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (rank := min(ranks)) < none:
+            at = ranks.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = self.ranks.get((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = self.ranks.get((parts[at], parts[at + 1]), none)
         return parts
 
     def build(self):  # noqa: ANN201
@@ -87,9 +101,24 @@ class Codec:
         key = a << 24 | b
         known = self.compatible.get(key)
         if known is None:
-            known = self.compatible[key] = self.merged(self.symbols[a] + self.symbols[b]) == [self.symbols[a], self.symbols[b]]
+            pair = (self.symbols[a], self.symbols[b])
+            known = pair not in self.ranks and tuple(self.merged(pair[0] + pair[1])) == pair
+            if len(self.compatible) >= MOST_KEPT:
+                self.compatible.clear()
+            self.compatible[key] = known
         return known
 
+    def known_piece(self, piece: str) -> bytes:
+        """Ids of a piece. Many words share a piece, so these are remembered too."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = array(self.code, self.encode_piece(piece)).tobytes()
+            if len(self.pieces) >= MOST_KEPT:
+                self.pieces.clear()
+            if len(piece) <= 100:
+                self.pieces[piece] = ids
+        return ids
+
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of a piece in the pre-tokenizer's alphabet."""
         text = piece[:-1] + chr(ord(piece[-1]) + LAST)
@@ -123,19 +152,18 @@ class Codec:
                 out.pop()
         return out
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> bytes:
         """Ids of a run without white space."""
-        ids: list[int] = []
+        ids: list[bytes] = []
         parts = self.split_added.split(word) if self.split_added and "<" in word else [word]
         for part in parts:
             if part in self.added:
-                ids.append(self.added[part])
-            elif part.isascii() and part.isalpha():
-                ids += self.encode_piece(part.lower())
+                ids.append(array(self.code, [self.added[part]]).tobytes())
+            elif part.isascii() and part.isprintable():
+                ids += map(self.known_piece, ASCII_PIECE.findall(part.lower()))
             elif part:
-                for piece, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                    ids += self.encode_piece(piece)
-        return tuple(ids)
+                ids += (self.known_piece(piece) for piece, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part)))
+        return b"".join(ids)
 
 
 class OffsetTable:
@@ -149,30 +177,40 @@ class OffsetTable:
             self.offsets.append(self.offsets[-1] + len(s))
         self.slices = [self.blob[a:b] for a, b in zip(self.offsets, self.offsets[1:])]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens with a blank between them: the file names no decoder."""
-        return b" ".join(map(self.slices.__getitem__, ids))
+        return b" ".join(map(self.slices.__getitem__, ids.tolist()))
 
 
 class Words(dict):
     """Ids by word, filled on demand; emptied when the words have more than max_chars characters together."""
 
-    def __init__(self, codec: Codec, max_chars: int = 6_000_000) -> None:
+    #: That of this Python process, by the tokenizer file's text: later tasks go on with it.
+    kept: dict[str, Words] = {}
+
+    @classmethod
+    def of(cls, spec: str) -> Words:
+        if spec not in cls.kept:
+            cls.kept.clear()
+            cls.kept[spec] = cls(Codec(spec))
+        return cls.kept[spec]
+
+    def __init__(self, codec: Codec, max_chars: int = 8_000_000) -> None:
         self.codec, self.max_chars, self.chars = codec, max_chars, 0
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.codec.encode_word(word)
         if len(word) <= 200:
             self[word] = ids
             self.chars += len(word)
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         if self.chars > self.max_chars:
             self.clear()
-            self.codec.compatible.clear()
             self.chars = 0
-        return list(chain.from_iterable(map(self.__getitem__, WORD.findall(text)))) if text else []
+        data = b"".join(map(self.__getitem__, WORD.findall(text))) if text else b""
+        return np.frombuffer(data, self.codec.code).astype("<u4")
 
 
 def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,13 +222,12 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
         for batch in batches:
-            words = words or Words(Codec(shared.value))
+            words = Words.of(shared.value)
             for k in range(0, batch.num_rows, 200):
                 ids = [words.encode(t) for t in batch.column(1).slice(k, 200).to_pylist()]
                 decoded = pa.array([words.codec.table.decode(x).decode() for x in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 200), pa.array(ids, pa.list_(pa.int32())), decoded], ["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 200), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), decoded], ["id", "ids", "decoded"])
 
     return _rows(docs, id_col, text_col, run, "ids array<int>, decoded string")
 
@@ -204,19 +241,17 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
         for batch in batches:
-            words = words or Words(Codec(shared.value))
+            words = Words.of(shared.value)
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 counts, a, b, every = [], [], [], []
                 for text in part.column(1).to_pylist():
                     ids = words.encode(text)
-                    data = array("I", ids).tobytes()
                     counts.append(len(ids))
-                    a.append(hashlib.sha256(data).hexdigest())
+                    a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     b.append(hashlib.sha256(words.codec.table.decode(ids)).hexdigest())
-                    every.append(np.frombuffer(data, np.int32) if with_ids else None)
+                    every.append(ids.astype(np.int32) if with_ids else None)
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
