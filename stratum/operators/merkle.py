@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum.plans.scratch import stored
+
 Hash = Callable[[Column], Column]
 
 
@@ -35,11 +37,15 @@ def parents(nodes: DataFrame, fanout: int, hashed: Hash = sha256) -> DataFrame:
 
 
 def levels(leaves: DataFrame, fanout: int, hashed: Hash = sha256) -> list[DataFrame]:
-    """Levels of the trees of leaves (tree, pos, hash), from the leaves to the roots. Short trees repeat their root's hash above it."""
+    """Levels of the trees of leaves (tree, pos, hash), from the leaves to the roots. Short trees go on to be hashed above their root.
+
+    Each level is stored, so that it is made once: all levels above the leaves are a fraction of these.
+    """
+    leaves = stored(leaves.select("tree", "pos", "hash"), "leaves")
     most = leaves.agg(F.max("pos")).first()[0]
     out, n = [leaves], (0 if most is None else most + 1)
     while n > 1:
-        out.append(parents(out[-1], fanout, hashed))
+        out.append(stored(parents(out[-1], fanout, hashed), "nodes"))
         n = -(-n // fanout)
     return out
 
@@ -79,7 +85,7 @@ def verified(proven: DataFrame, root: DataFrame, hashed: Hash = sha256) -> DataF
 
 def proof_bytes(path: Column) -> Column:
     """Size of a proof: its digests, 32 bytes each."""
-    return F.aggregate(path, F.lit(0).cast("long"), lambda n, s: n + (F.length(s["left"]) + F.length(s["right"])) / 2).cast("long")
+    return F.aggregate(path, F.lit(0).cast("long"), lambda n, s: n + F.floor((F.length(s["left"]) + F.length(s["right"])) / 2))
 
 
 def ordered_digest(rows: DataFrame, order: Column, digest: str, by: list[str], name: str, hashed: Hash = sha256) -> DataFrame:
