@@ -57,6 +57,17 @@ def verify(proofs: DataFrame, roots: DataFrame, low: int, high: int) -> DataFram
     return proofs.join(roots.select(*KEY, "root"), KEY).select(*KEY, "proof", "root").mapInPandas(check, f"{_keyed(proofs)}, ok boolean, n_found long")
 
 
+def merge_check(changes: DataFrame, block: int, cut: str = "gear", fanout: int = 4) -> DataFrame:
+    """(addr, slot, n_versions, equal): whether the tree merged from a key's versions up to a block and after it is the one of all at once."""
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = lambda part: _tree(part["block"], part["value"], cut, fanout)
+        both = tree(pdf[pdf["block"] <= block]).merged(tree(pdf[pdf["block"] > block]))
+        return pdf[KEY].head(1).assign(n_versions=len(pdf), equal=both.root == tree(pdf).root)
+
+    return changes.select(*KEY, "block", "value").groupBy(*KEY).applyInPandas(check, f"{_keyed(changes)}, n_versions long, equal boolean")
+
+
 def key_leaves(roots: DataFrame) -> DataFrame:
     """Leaves (tree, pos, hash, addr, slot) of the Merkle tree of all keys: a key's digest covers the root of its versions."""
     return positions(roots, KEY).select(F.lit(0).alias("tree"), "pos", merkle.leaf(*KEY, "root").alias("hash"), *KEY)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.patricia import Trie, verify
@@ -71,3 +71,10 @@ def node_versions(changes: DataFrame, blocks: list[int], nibbles: int = 2) -> Da
 def pruned(nodes: DataFrame, block: int) -> DataFrame:
     """Nodes that no snapshot from a block on uses: they can be deleted."""
     return nodes.where(F.col("last_block") < block)
+
+
+def delta_pages(changes: DataFrame, nibbles: int = 2, every: int = 256) -> DataFrame:
+    """Where each change lies if a page of the trie (a prefix of some nibbles) keeps its updates as deltas and is written as a whole each time: (addr, slot, block, page, base, delta)."""
+    rows = changes.select(*KEY, "block", F.substring(path(), 1, nibbles).alias("page"))
+    n = F.row_number().over(Window.partitionBy("page").orderBy("block", *KEY)) - 1
+    return rows.withColumn("n", n.cast("long")).select(*KEY, "block", "page", F.floor(F.col("n") / every).alias("base"), (F.col("n") % every).alias("delta"))

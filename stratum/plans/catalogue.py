@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stratum.functions import bloom, hashing, learned
 from stratum.operators import contracts, lsm, merkle, metrics, provenance, reorg, state, trie
 from stratum.sources import traces
+from stratum.sources.store import Store
 from stratum.streaming import blocks as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,6 +461,45 @@ def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.window_versions(c, c.select("addr", "slot").distinct(), 10, [2, 4, 8, 16])
 
 
+@query("delta_pages", """SELECT addr, slot, block, page, CAST(floor(n / 256) AS BIGINT) AS base, n % 256 AS delta FROM
+(SELECT addr, slot, block, page, row_number() OVER (PARTITION BY page ORDER BY block, addr, slot) - 1 AS n FROM (SELECT *, substring(sha256(CAST(addr AS VARCHAR) || '|' || slot), 1, 2) AS page FROM c))""")
+def delta_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.delta_pages(changes(spark, sf_dir))
+
+
+@query("merged_trees_equal_bulk", "SELECT addr, slot, true AS equal FROM c GROUP BY addr, slot HAVING count(*) > 1")
+def merged_trees_equal_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.merge_check(changes(spark, sf_dir), 40).where("n_versions > 1").select("addr", "slot", "equal")
+
+
+@query("proof_sizes")
+def proof_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.prove(changes(spark, sf_dir), 20, 60).select("addr", "slot", "proof_bytes")
+
+
+@query("tree_shape")
+def tree_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = provenance.version_roots(changes(spark, sf_dir))
+    return roots.groupBy("height").agg(F.count("*").alias("n_keys"), F.min("n_versions").alias("least"), F.max("n_versions").alias("most"))
+
+
+@query("filter_memory")
+def filter_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY)
+    return metrics.memory(bloom.filters(rows, "flush", F.concat_ws("|", F.col("addr").cast("string"), "slot")))
+
+
+@query("store_round_trip", "SELECT * FROM l")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state read back from a store that was written in two commits."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    store = Store(spark, f"{base}/store-{uuid.uuid4().hex}", CAPACITY, RATIO)
+    c = changes(spark, sf_dir)
+    store.commit(c.where("block <= 5"))
+    store.append(c.where("block > 5"))
+    return state.latest(store.changes())
+
+
 @query("streamed_latest", "SELECT * FROM l")
 def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest state of changes that came in as a stream, block by block."""
