@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.llm import bpe_codec, chat, lm_score, mixing, near_dup, quality, token_count, url_filter, vector_dedup, warc
+from stratum.llm import bpe_codec, chat, lm_score, mixing, near_dup, oracles, quality, token_count, url_filter, vector_dedup, warc
 from stratum.llm.common import table
 
 #: Where the public vocabulary files lie.
@@ -68,7 +68,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "quality.*")
+    judged = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_near_dup, op4_mixing, op5_vector_dedup, op6_bpe_codec, op7_warc, op8_chat, op9_quality, op10_lm_score)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

@@ -466,3 +466,26 @@ def test_model_beats_even_letters_on_held_out_texts(spark):
     docs = documents(spark, [" ".join(rng.choice(["red", "green", "blue", "dark"]) + rng.choice(["ish", "ly", "er"]) for _ in range(50)) for _ in range(200)])
     held = lm_score.score_documents(docs).where("held_out").collect()
     assert held and all(r.score > -1.4 * r.n_tokens for r in held)
+
+
+# All operators: nulls in every column, and rows that repeat
+
+
+def test_nulls_in_every_column_and_repeated_rows(spark):
+    from pathlib import Path
+
+    from stratum.llm.queries import TOKENIZERS
+
+    rows = [(None, None, None, None, None)] * 3 + [(1, "a b c", None, None, 3)] * 2 + [(None, "a b c", "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spec = Path(TOKENIZERS, "word_bpe_49k.json").read_text(encoding="utf-8")
+    for out in (token_count.count_tokens(docs, token_count.Vocabulary.of({"a": -1})), near_dup.near_duplicates(docs), mixing.mix(docs), bpe_codec.digests(docs, spec), quality.with_quality(docs), lm_score.score_documents(docs)):
+        got = Counter(r.doc_id for r in out.collect())
+        assert got == {None: 4, 1: 2}
+    pages = spark.createDataFrame([(None, None, None)] * 2 + [(1, "u", None)] * 2, "page_id long, url string, html string")
+    assert url_filter.judge(pages, RULES, url_filter.fit([None], [1])).count() == 4
+    assert Counter((r.page_id, r.record_type) for r in warc.round_trip(pages).collect()) == {(None, "response"): 2, (1, "response"): 2}
+    vectors = spark.createDataFrame([(None, None, None)] * 2 + [(1, [1.0, 0.0], 0)] * 2, "vec_id long, embedding array<double>, label int")
+    assert Counter(tuple(r) for r in vector_dedup.near_duplicates(vectors).collect()) == {(None, 0, None, True): 2, (1, 1, 1, True): 2}
+    turns = spark.createDataFrame([(None, None, None, None)] * 2, "conv_id long, turn int, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    assert [len(r.turns) for r in chat.format_chat(turns).select(chat.read_turns(F.col("formatted")).alias("turns")).collect()] == [2]
