@@ -2,7 +2,7 @@
 
 Each source's documents are dealt by hash into blocks of about BLOCK_DOCS, whose order is permuted. A source's
 target in words fixes how many whole passes over its blocks the mix takes, and where the last pass ends: after
-a number of blocks and, within the next one, after the document that comes nearest to the target. So a source
+a number of blocks and, within the next one, with the documents that fill it up to the target. So a source
 is one sequence of block draws with an exact quota. A tree over the output shards halves the vector of quotas
 again and again, each time by a multivariate-hypergeometric draw; at its leaves, every shard knows how many
 draws of every source are its own, and takes that stretch of the source's sequence. Draws are disjoint, and
@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,12 +89,33 @@ def _place(order: Column) -> Column:
     return F.pmod(F.pmod(order, F.col("p_blocks")) * F.col("p_stride") + F.col("p_shift"), F.col("p_blocks"))
 
 
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Which documents of a source's last block to take: in order, each that still fits, and one more if that comes nearer."""
+    pdf = pdf.sort_values(["h", "size"])
+    left, cut, extra, open_ = float(pdf["e_rest"].iloc[0]), None, [], True
+    missed: tuple[int, int] | None = None
+    for h, size in zip(pdf["h"].tolist(), pdf["size"].tolist(), strict=True):
+        if size <= left:
+            left -= size
+            if open_:
+                cut = h
+            else:
+                extra.append(h)
+        else:
+            open_ = False
+            if missed is None or size < missed[0]:
+                missed = (size, h)
+    if missed and missed[0] - left < left:
+        extra.append(missed[1])
+    return pd.DataFrame({"p_source": pdf["p_source"].iloc[:1], "cut": pd.array([cut], "Int64"), "extra": [extra]})
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most_times: int = MOST_TIMES, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with columns mix_size, mix_source_size (long), mix_target (double) and mix_draws: an array of (epoch, shard), one for each time the mix takes the document.
 
     Sources in the order of code points, null last (a source of its own), have the weights, repeating. Together
     they take share of all words, and none more than most_times its size. A source of size 0 takes nothing.
-    A source's taken words differ from its target by at most half of one document. No document is drawn more
+    A source's taken words differ from its target by half of the smallest document of its last block that is left out, at most. No document is drawn more
     than most_times. The same rows give the same draws in any order and partitioning; rows that repeat a
     document are drawn like others. Columns of docs with the names of the new ones are replaced.
     """
@@ -124,24 +146,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     before = F.sum("words").over(Window.partitionBy("p_source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     ends = stored(sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before <= p_rest and before + words > p_rest").select(F.col("p_source").alias("e_source"), F.col("place").alias("e_place"), (F.col("p_rest") - F.col("before")).alias("e_rest")), "ends")  # a row for each source at most
     last = own.join(F.broadcast(ends), F.col("p_source").eqNullSafe(F.col("e_source")) & (F.col("place") == F.col("e_place")))
-    so_far = F.sum("size").over(Window.partitionBy("p_source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1))
-    taken = last.withColumn("so_far", F.coalesce(so_far, F.lit(0))).where("so_far + size / 2 <= e_rest")
+    # One block's documents for each source: some BLOCK_DOCS rows.
+    filled = last.select("p_source", "h", "size", "e_rest").groupBy("p_source").applyInPandas(_fill, "p_source string, cut long, extra array<long>")
     ended = {r["e_source"]: r["e_place"] for r in ends.collect()}
-    cuts = {r["p_source"]: r["cut"] for r in taken.groupBy("p_source").agg(F.max("h").alias("cut")).collect()}
+    cuts = {r["p_source"]: (r["cut"], r["extra"]) for r in filled.collect()}
 
     for row in rows:
-        # Blocks below `whole` are taken in the last pass, and of block `whole` the documents up to `cut`.
+        # Blocks below `whole` are taken in the last pass, and of block `whole` the documents up to `cut` and those in `extra`.
         whole = ended.get(row[0], row[5] if row[4] > 0 else 0)
-        row += [whole, cuts.get(row[0])]
-    quotas = [r[3] * r[5] + min(r[5], r[8] + (r[9] is not None)) for r in rows]
+        row += [whole, *cuts.get(row[0], (None, []))]
+    quotas = [r[3] * r[5] + min(r[5], r[8] + (r[9] is not None or len(r[10]) > 0)) for r in rows]
     bounds = split_quotas(quotas, shards, seed).cumsum(axis=0).T.tolist() if rows else []
-    plan = spark.createDataFrame([[*r, b] for r, b in zip(rows, bounds, strict=True)], f"{schema}, p_whole long, p_cut long, p_bounds array<long>")
+    plan = spark.createDataFrame([[*r, b] for r, b in zip(rows, bounds, strict=True)], f"{schema}, p_whole long, p_cut long, p_extra array<long>, p_bounds array<long>")
 
     h, place = F.col("p_h"), F.col("p_place")
     shard = lambda epoch: F.size(F.filter("p_bounds", lambda b: b <= epoch * F.col("p_blocks") + place))
     draw = lambda epoch: F.struct(epoch.cast("int").alias("epoch"), shard(epoch).alias("shard"))
     full = F.when(F.col("p_passes") > 0, F.transform(F.sequence(F.lit(0), F.col("p_passes") - 1), draw)).otherwise(F.array().cast("array<struct<epoch:int,shard:int>>"))
-    also = (place < F.col("p_whole")) | ((place == F.col("p_whole")) & (h <= F.col("p_cut")))
+    also = (place < F.col("p_whole")) | ((place == F.col("p_whole")) & (F.coalesce(h <= F.col("p_cut"), F.lit(False)) | F.array_contains("p_extra", h)))
     times = F.when(F.coalesce(also, F.lit(False)) & (F.col("p_passes") < most_times), F.concat(full, F.array(draw(F.col("p_passes"))))).otherwise(full)
     new = ["mix_size", "mix_source_size", "mix_target", "mix_draws"]
     # The row's own columns go together, so that their names cannot clash with the plan's.
