@@ -29,7 +29,7 @@ from stratum.llm.shingles import Sketcher, WordCodes, digest, most_odd_bits, shi
 
 BANDS, ROWS, BITS = 40, 5, 512
 #: A block of a bucket has about so many rows and shingles at most.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 #: Up to so many ids (16 MB as longs) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -46,15 +46,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
     signed = stored(texts.mapInArrow(_signatures(size), "id long, n long, digest binary, keys array<long>, sketch array<long>"), "signed")
     real = "n > 0 and id is not null"
-    classes = signed.where(real).groupBy("digest").agg(F.min("id").alias("rep"))
-    own = signed.where(real).join(classes, "digest")
+    # Aggregates are stored before they are joined: a join of two plain tables can split the rows of a large class or bucket.
+    classes = stored(signed.where(real).groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    own = signed.where(real).select("id", "n", "digest").join(classes, "digest")
     members = stored(own.select("id", "n", "rep").unionByName(signed.where(f"not ({real}) or id is null").select("id", "n", F.lit(None).cast("long").alias("rep"))), "members")
-    reps = stored(own.where("id = rep").dropDuplicates(["digest", "id"]).select("id", "n", "keys", "sketch"), "reps")
+    first = classes.select(F.col("rep").alias("id"), "digest")
+    reps = stored(signed.where(real).join(first, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "n", "keys", "sketch"), "reps")
     released(signed)
 
     buckets = reps.select("id", F.explode("keys").alias("key"))
     groups = buckets.groupBy("key").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"), F.min("id").alias("pivot")).where("c > 1")
-    groups = groups.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot"))
+    groups = stored(groups.groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot")), "buckets")
     shared = stored(buckets.join(groups.select("key", "pivot"), "key"), "shared")
 
     bits = most_odd_bits(BANDS * ROWS, BITS, percent)
@@ -139,11 +141,12 @@ def _across(shared: DataFrame, sets: DataFrame, found: DataFrame, percent: int,
     """Links (a, b) between the components found so far, for each bucket that holds rows of several."""
     rows = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("comp"))
     several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("id") == F.col("pivot"), F.col("comp"))).alias("main")).where("low <> high")
+    several = stored(several, "several")
     rows = rows.join(several.select("key", "main"), "key").join(sets.select("id", "n"), "id").select("key", "id", "comp", "n", (F.col("comp") != F.col("main")).alias("out"))
     rows = stored(rows, "mixed")
     out = F.col("out").cast("long")
     blocks = lambda c, n: F.greatest(F.ceil(c / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    sizes = rows.groupBy("key").agg(blocks(F.sum(out), F.sum(out * F.col("n"))).alias("g_out"), blocks(F.sum(1 - out), F.sum((1 - out) * F.col("n"))).alias("g_in"), F.sum(out).alias("c_out"))
+    sizes = stored(rows.groupBy("key").agg(blocks(F.sum(out), F.sum(out * F.col("n"))).alias("g_out"), blocks(F.sum(1 - out), F.sum((1 - out) * F.col("n"))).alias("g_in"), F.sum(out).alias("c_out")), "sizes")
     # A unit is a block of outside rows (side 0) against a block of inside rows (side 1), or against one of outside rows.
     unit = lambda kind, i, j, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("unit"), side.cast("int").alias("side"))
     me = F.col("block")
