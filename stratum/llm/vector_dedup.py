@@ -28,7 +28,7 @@ from stratum.llm.common import components, released, stored
 
 BANDS, BITS = 60, 20
 #: Rows of a block.
-BLOCK = 512
+BLOCK = 256
 #: Width of the confidence bound, in standard errors of the estimate.
 WIDTH = 6.0
 SEED = 11
@@ -75,10 +75,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast("array<double>").alias("v"))
     coded_rows = stored(rows.mapInArrow(_coded, "id long, label string, vec binary, digest binary"), "coded")
     real = "digest is not null and id is not null and label is not null"
-    classes = coded_rows.where(real).groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
-    own = coded_rows.where(real).join(classes, ["label", "digest"])
+    # Aggregates are stored before they are joined: a join of two plain tables can split the rows of a large class or bucket.
+    classes = stored(coded_rows.where(real).groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "classes")
+    own = coded_rows.where(real).select("id", "label", "digest").join(classes, ["label", "digest"])
     members = stored(own.select("id", "rep", "mult").unionByName(coded_rows.where(f"not ({real}) or ({real}) is null").select("id", F.lit(None).cast("long").alias("rep"), F.lit(1).cast("long").alias("mult"))), "members")
-    reps = stored(own.where("id = rep").dropDuplicates(["label", "digest", "id"]).select("id", "label", "mult", "vec").mapInArrow(_keyed, "id long, label string, mult long, vec binary, bits binary, factors binary, keys array<int>"), "reps")
+    first = classes.select(F.col("rep").alias("id"), "label", "digest", "mult")
+    reps = stored(coded_rows.where(real).join(first, ["id", "label", "digest"]).dropDuplicates(["id", "label", "digest"]).select("id", "label", "mult", "vec").mapInArrow(_keyed, "id long, label string, mult long, vec binary, bits binary, factors binary, keys array<int>"), "reps")
     released(coded_rows)
 
     buckets = reps.select("id", F.octet_length("vec").alias("dim"), "label", F.posexplode("keys").alias("band", "part"))
@@ -86,6 +88,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     groups = buckets.groupBy("key").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"), F.min("band").alias("band")).where("c > 1")
     # Of buckets with the same classes, the first band's is enough: a pair counts in the first band that it shares.
     groups = groups.groupBy("c", "x", "y").agg(F.min(F.struct("band", "key")).alias("first")).select("first.key", "first.band", F.ceil(F.col("c") / BLOCK).cast("int").alias("g"))
+    groups = stored(groups, "buckets")
     shared = buckets.select("id", "key").join(groups, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     me = F.col("block")
     unit = lambda j: F.struct(F.xxhash64("key", F.least(me, j), F.greatest(me, j)).alias("unit"), (me > j).cast("int").alias("side"), (me == j).alias("alone"))
@@ -93,7 +96,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     full = units.join(reps.select("id", "mult", "vec", "bits", "factors"), "id").select("unit", "side", "alone", "band", "id", "mult", "vec", "bits", "factors")
     found = stored(full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compared(cosine), "id long, links long, near long"), "links")
     released(reps)
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    links = stored(found.groupBy("id").agg(F.sum("links").alias("links")), "counts")
     groups = stored(components(found.where("near is not null").select(F.col("id").alias("a"), F.col("near").alias("b"))), "components")
     out = members.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
