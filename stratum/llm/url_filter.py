@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.llm.common import stored
+
 #: Labelled URLs that the trees are fitted on, at most: those with the least hash.
 MAX_LABELLED = 20_000
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -187,9 +189,13 @@ def fit(urls: Sequence[str | None], labels: Sequence[int]) -> Model:
 
 
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fits the model on at most max_labelled rows (url, label) of least hash; rows with a null url or label don't count."""
-    rows = labelled.where("url is not null and label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled).select("url", "label").collect()
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    """Fits the model on at most max_labelled distinct rows (url, label), those of least hash; rows with a null url or label don't count."""
+    rows = stored(labelled.where("url is not null and label is not null").select("url", "label").distinct(), "labelled")
+    # Every task would send its own least rows, so most rows go before: about max_labelled have a hash below the bound.
+    share = min(1.0, 1.2 * max_labelled / max(1, rows.count()) + 1e-6)
+    near = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 40)) <= int(share * (1 << 40)))
+    sample = near.orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 40)), "url", "label").limit(max_labelled).collect()
+    return fit([r[0] for r in sample], [r[1] for r in sample])
 
 
 def rule_labels(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") -> DataFrame:
