@@ -101,7 +101,7 @@ def neighbours(changes: DataFrame, probes: DataFrame) -> DataFrame:
     asked = probes.select(*KEY).distinct().withColumn("asked", F.lit(True))
     every = positions(real.join(asked, KEY, "full"), KEY)
     key = F.when(F.col("real"), F.struct(*KEY))
-    part = (F.col("pos") / 4096).cast("long")
+    part = (F.col("pos") / (1 << 20)).cast("long")  # rows of a window; one row for each meets in the next
     inner = Window.partitionBy("part").orderBy("pos")
     rows = every.withColumn("part", part).withColumns({"before": F.last(key, True).over(inner.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(key, True).over(inner.rowsBetween(1, Window.unboundedFollowing))})
     edges = every.withColumn("part", part).groupBy("part").agg(F.max(key).alias("most"), F.min(key).alias("least"))

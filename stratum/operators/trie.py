@@ -74,7 +74,10 @@ def pruned(nodes: DataFrame, block: int) -> DataFrame:
 
 
 def delta_pages(changes: DataFrame, nibbles: int = 2, every: int = 256) -> DataFrame:
-    """Where each change lies if a page of the trie (a prefix of some nibbles) keeps its updates as deltas and is written as a whole each time: (addr, slot, block, page, base, delta)."""
+    """Where each change lies if a page of the trie (a prefix of some nibbles) keeps its updates as deltas and is written as a whole each time: (addr, slot, block, page, base, delta).
+
+    A page's updates are ordered in one task: more nibbles make more and smaller pages.
+    """
     rows = changes.select(*KEY, "block", F.substring(path(), 1, nibbles).alias("page"))
     n = F.row_number().over(Window.partitionBy("page").orderBy("block", *KEY)) - 1
     return rows.withColumn("n", n.cast("long")).select(*KEY, "block", "page", F.floor(F.col("n") / every).alias("base"), (F.col("n") % every).alias("delta"))

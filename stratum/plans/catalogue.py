@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import bloom, hashing, learned
 from stratum.operators import contracts, lsm, merkle, metrics, provenance, reorg, state, trie
+from stratum.plans.scratch import positions
 from stratum.sources import traces
 from stratum.sources.store import Store
 from stratum.streaming import blocks as streams
@@ -251,15 +252,17 @@ def store_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of one tree for each slot, so that trees grow side by side."""
-    rows = latest_state(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("slot").orderBy("addr")) - 1
-    return rows.select(F.col("slot").alias("tree"), place.cast("long").alias("pos"), merkle.leaf("addr", "slot", "block", "value").alias("hash"))
+    """Leaves of the tree of all keys in their order."""
+    rows = positions(latest_state(spark, sf_dir), ["addr", "slot"])
+    return rows.select(F.lit(0).alias("tree"), "pos", merkle.leaf("addr", "slot", "block", "value").alias("hash"))
+
+
+LEAVES_SQL = f"SELECT 0 AS tree, row_number() OVER (ORDER BY addr, slot) - 1 AS pos, {LEAF_SQL} AS hash FROM l"
 
 
 def fold_sql(levels: int) -> str:
-    """The roots of latest_leaves() by repeated grouping; further levels repeat a root's hash."""
-    inner = f"SELECT slot AS tree, row_number() OVER (PARTITION BY slot ORDER BY addr) - 1 AS pos, {LEAF_SQL} AS hash FROM l"
+    """Some levels above the leaves, by repeated grouping."""
+    inner = LEAVES_SQL
     for _ in range(levels):
         inner = f"SELECT tree, CAST(floor(pos / {FANOUT}) AS BIGINT) AS pos, sha256(string_agg(hash, '' ORDER BY pos)) AS hash FROM ({inner}) GROUP BY 1, 2"
     return inner
@@ -271,14 +274,15 @@ def merkle_level2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.parents(merkle.parents(leaves, FANOUT), FANOUT)
 
 
-@query("merkle_proofs_ok", "SELECT slot AS tree, row_number() OVER (PARTITION BY slot ORDER BY addr) - 1 AS pos, true AS ok FROM l")
+@query("merkle_proofs_ok", "SELECT 0 AS tree, row_number() OVER (ORDER BY addr, slot) - 1 AS pos, true AS ok FROM l")
 def merkle_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = latest_leaves(spark, sf_dir)
     return merkle.verified(merkle.proofs(leaves, FANOUT), merkle.roots(leaves, FANOUT)).select("tree", "pos", "ok")
 
 
-@query("merkle_roots")
-def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("merkle_root", f"""SELECT tree, hash AS root FROM (WITH RECURSIVE t(tree, lev, pos, hash) AS (SELECT tree, 0, pos, hash FROM ({LEAVES_SQL}) UNION ALL
+SELECT tree, lev + 1, CAST(floor(pos / {FANOUT}) AS BIGINT), sha256(string_agg(hash, '' ORDER BY pos)) FROM t GROUP BY 1, 2, 3 HAVING (SELECT count(*) FROM t) > 1) SELECT * FROM t) ORDER BY lev DESC LIMIT 1""")
+def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.roots(latest_leaves(spark, sf_dir), FANOUT)
 
 
