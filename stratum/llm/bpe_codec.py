@@ -18,6 +18,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: The last symbol of a piece is another symbol than the same character elsewhere: it is moved up by this.
 LAST = 0x1000
 #: Pieces and pairs of tokens that are remembered, at most.
-MOST_KEPT = 600_000
+MOST_KEPT = 300_000
 
 
 class Codec:
@@ -166,6 +167,12 @@ class Codec:
         return b"".join(ids)
 
 
+@lru_cache(maxsize=1)
+def codec_of(spec: str) -> Codec:
+    """The codec of a tokenizer file's text, with what it remembers of pieces: tasks of a Python process share it."""
+    return Codec(spec)
+
+
 class OffsetTable:
     """Token strings in one blob; token i is blob[offsets[i] : offsets[i + 1]]."""
 
@@ -185,17 +192,7 @@ class OffsetTable:
 class Words(dict):
     """Ids by word, filled on demand; emptied when the words have more than max_chars characters together."""
 
-    #: That of this Python process, by the tokenizer file's text: later tasks go on with it.
-    kept: dict[str, Words] = {}
-
-    @classmethod
-    def of(cls, spec: str) -> Words:
-        if spec not in cls.kept:
-            cls.kept.clear()
-            cls.kept[spec] = cls(Codec(spec))
-        return cls.kept[spec]
-
-    def __init__(self, codec: Codec, max_chars: int = 8_000_000) -> None:
+    def __init__(self, codec: Codec, max_chars: int = 6_000_000) -> None:
         self.codec, self.max_chars, self.chars = codec, max_chars, 0
 
     def __missing__(self, word: str) -> bytes:
@@ -222,8 +219,8 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(codec_of(shared.value))  # a task's own: its memory is free again after the task
         for batch in batches:
-            words = Words.of(shared.value)
             for k in range(0, batch.num_rows, 200):
                 ids = [words.encode(t) for t in batch.column(1).slice(k, 200).to_pylist()]
                 decoded = pa.array([words.codec.table.decode(x).decode() for x in ids], pa.string())
@@ -241,8 +238,8 @@ def digests(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(codec_of(shared.value))  # a task's own: its memory is free again after the task
         for batch in batches:
-            words = Words.of(shared.value)
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
                 counts, a, b, every = [], [], [], []

@@ -35,7 +35,7 @@ def constants(name: str, n: int) -> np.ndarray:
 class WordCodes(dict):
     """64-bit codes of words, emptied when the words have more than max_bytes bytes together."""
 
-    def __init__(self, max_bytes: int = 8_000_000) -> None:
+    def __init__(self, max_bytes: int = 2_000_000) -> None:
         self.max_bytes, self.bytes = max_bytes, 0
 
     def __missing__(self, word: bytes) -> int:
