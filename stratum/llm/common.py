@@ -21,20 +21,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """df, written once to the shared folder and read back: cuts lineage and survives lost executors. Rows of each value of by are in files of their own."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
-def released(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() gave and that nothing reads any more."""
+def released(df: DataFrame, part: str = "") -> None:
+    """Deletes the files of a table that stored() gave, or of a part of it (by=value), and that nothing reads any more."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.stored_at}/{part}" if part else df.stored_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -1,7 +1,9 @@
-"""LM scoring with a probabilistic suffix tree over the bytes of words.
+"""LM scoring with a probabilistic suffix tree over tokens, and at its root one over the bytes of words.
 
 1. Documents are cut into chunks inside the tasks. A chunk has a word list of its own, so that a document is a
-   few small numbers and a word is counted, shuffled and looked up once a chunk instead of once a token.
+   row of small numbers and a word is counted, shuffled and looked up once a chunk instead of once a token. So is
+   an n-gram, a token and one to TOKENS tokens before it, by a key of 64 bits (at 7e9 n-grams, one pair shares a
+   key). Keys go in packed lists by bucket; each bucket sums the training counts and hands them back to the chunks.
 2. The chunks' training counts add up to the vocabulary.
 3. From the vocabulary, weighted by counts, come the contexts of up to DEPTH bytes before each byte of a word. A
    word begins after a blank and ends with one; the end of a text is a line feed after the blank. A context is
@@ -14,9 +16,14 @@
 5. A word with all that precedes it is the deepest context of its own end. These contexts are the vocabulary: a
    word's probability is its share of all training tokens, each count lowered by DISCOUNT, and what that leaves is
    shared out by the suffix tree.
-6. Each vocabulary word is scored once. Counts and scores go back to the chunks, whose documents add them up.
-
-The shares scale with the corpus, so the model behaves alike at every size.
+6. That is the root of a suffix tree over tokens. Its contexts are the one to TOKENS tokens before a token, in the
+   same text (before it stands an end), that training has LEAST_CONTEXT times or more; all their next tokens
+   count. A token is scored from its longest context, to which each shorter one adds its distribution with the
+   weight of PRIOR occurrences: (c + PRIOR * p) / (n + PRIOR). Contexts and counts grow with the corpus and stay
+   dealt over chunks and buckets.
+7. Each vocabulary word is scored once. Counts and scores go back to the chunks, whose documents add them up.
+
+The shares of the byte tree scale with the corpus.
 """
 
 from __future__ import annotations
@@ -25,10 +32,12 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +46,11 @@ from stratum.llm.common import released, stored
 DEPTH = 5
 LEAST_SHARE, LEAST_COUNT_SHARE, LEAST_DIVERGENCE = 1e-5, 1e-6, 0.01
 DISCOUNT = 0.5
-CHUNK_BYTES = 32_000_000
+#: Tokens of the longest context, the training occurrences that a context needs, and the weight of what a context backs off to.
+TOKENS, LEAST_CONTEXT, PRIOR = 2, 2, (100.0, 10.0)
+CHUNK_BYTES = 16_000_000
+#: Kinds of rows of a chunk.
+DOCUMENTS, WORDS, HASHES, GRAMS = range(4)
 #: The end of a text as a word; no real word is empty.
 END = b""
 
@@ -57,8 +70,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    chunks = stored(rows.mapInArrow(_chunks, f"chunk long, place int, word binary, trained long, id {kind}, held boolean, n_tokens long, packed binary"), "chunks")
-    words = chunks.where("word is not null").select("chunk", "place", "word", "trained")
+    bits = bucket_bits(docs)
+    made = rows.mapInArrow(lambda batches: _chunks(batches, bits), f"row int, chunk long, place int, word binary, trained long, id {kind}, held boolean, n_tokens long, packed binary")
+    chunks = stored(made, "chunks", "row")
+    grams = stored(gram_counts(chunks.where(F.col("row") == GRAMS)), "gram-counts")
+    released(chunks, f"row={GRAMS}")
+    words = chunks.where(F.col("row") == WORDS).select("chunk", "place", "word", "trained")
     counts = stored(words.groupBy("word").agg(F.sum("trained").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     model = docs.sparkSession.sparkContext.broadcast(suffix_tree(counts.where("c > 0")))
@@ -72,103 +89,190 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     scores = counts.mapInArrow(scored, "word binary, c long, score double")
     known = words.select("chunk", "place", "word").join(scores, "word").select("chunk", "place", "c", "score")
-    found = chunks.where("word is null").select(F.col("chunk").alias("of_chunk"), "id", "held", "n_tokens", "packed")
+    found = chunks.where(F.col("row").isin(DOCUMENTS, HASHES)).select(F.col("chunk").alias("of_chunk"), "row", F.col("place").alias("at"), "id", "held", "n_tokens", "packed")
+    counted = grams.select(F.col("chunk").alias("of_chunk"), F.lit(GRAMS).alias("row"), F.col("place").alias("at"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("n_tokens"), "packed")
     per = total + 0.1 * (distinct + 1)
 
-    def added(documents: pa.Table, lookup: pa.Table) -> pa.Table:
-        n = lookup.num_rows
+    def added(rows: pa.Table, lookup: pa.Table) -> pa.Table:
         order = np.argsort(lookup.column("place").to_numpy())
         c, score = (lookup.column(k).to_numpy()[order] for k in ("c", "score"))
         base = np.log10((c + 0.1) / per)
-        n_known, bases, scores = [], [], []
-        for packed in documents.column("packed"):
-            place, times = _unpacked(packed.as_py())
-            assert not len(place) or place[-1] < n
-            n_known.append(int(times[c[place] > 0].sum()))
-            bases.append(float(base[place] @ times))
-            scores.append(float(score[place] @ times))
+        is_row = lambda kind: pa.compute.equal(rows.column("row"), kind)
+        documents, n_gram = rows.filter(is_row(DOCUMENTS)), rows.filter(is_row(GRAMS)).sort_by("at")
+        hashes = np.concatenate([_unpacked(x.as_py(), np.uint64) for x in rows.filter(is_row(HASHES)).sort_by("at").column("packed")])
+        assert len(c) == len(hashes)
+        # Counts of n-grams stand in the order of their keys; at is the number of tokens before the last, then the bucket.
+        depths = n_gram.column("at").to_numpy() >> 24
+        seen = [np.concatenate([np.zeros(0, np.uint32), *(_unpacked(n_gram.column("packed")[int(i)].as_py(), np.uint32) for i in np.flatnonzero(depths == d))]) for d in range(1, TOKENS + 1)]
         size = documents.num_rows
-        columns = [documents.column("id"), documents.column("held"), documents.column("n_tokens"), pa.array(n_known, pa.int64()), pa.array([total] * size, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())]
+        parts = [_unpacked(x.as_py(), np.uint32) for x in documents.column("packed")]
+        whole = np.concatenate([np.zeros(0, np.uint32), *parts])
+        firsts = np.cumsum([0, *map(len, parts)])
+        keys = [_distinct(np.sort(_keys(hashes, whole, firsts[:-1], d))) for d in range(1, TOKENS + 1)]
+        n_known, bases, scores = [], [], []
+        for k in range(0, size, 200):
+            of = whole[firsts[k] : firsts[min(k + 200, size)]]
+            starts = firsts[k : min(k + 200, size)] - firsts[k]
+            p, context = score[of] * np.log(10), _before(c[of], starts, c[0])  # natural logarithms: a long word's probability can be too small for a float
+            for d in range(1, TOKENS + 1):
+                n = seen[d - 1][np.searchsorted(keys[d - 1], _keys(hashes, of, starts, d))].astype(float)
+                own = np.log(n, out=np.full(len(n), -np.inf), where=n > 0)
+                p = np.where(context >= LEAST_CONTEXT, np.logaddexp(own, p + np.log(PRIOR[d - 1])) - np.log(context + PRIOR[d - 1]), p)
+                # A context of d + 1 tokens is what the token before ended; at the start of a text there is none longer than the end before it.
+                context = _before(n, starts, 0.0)
+            n_known.append(np.add.reduceat((c[of] > 0).astype(np.int64), starts))
+            bases.append(np.add.reduceat(base[of], starts))
+            scores.append(np.add.reduceat(p, starts) / np.log(10))
+        columns = [documents.column("id"), documents.column("held"), documents.column("n_tokens"), pa.array(np.concatenate(n_known)), pa.array([total] * size, pa.int64()), pa.array(np.concatenate(bases)), pa.array(np.concatenate(scores))]
         return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = found.groupBy("of_chunk").cogroup(known.groupBy("chunk")).applyInArrow(added, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = found.unionByName(counted).groupBy("of_chunk").cogroup(known.groupBy("chunk")).applyInArrow(added, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
-def _packed(places: np.ndarray, times: np.ndarray) -> bytes:
+def bucket_bits(docs: DataFrame) -> int:
+    """The leading bits of a key that name its bucket: about 4 MB of input for each, between 16 and 65,536 buckets."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(16, max(4, (size // 4_000_000).bit_length()))
+
+
+def _packed(values: np.ndarray) -> bytes:
     import zstandard
 
-    steps = np.diff(places, prepend=0).astype(np.uint32)
-    return zstandard.ZstdCompressor(level=1).compress(steps.tobytes() + times.astype(np.uint32).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    """What _packed() took: the first bytes of all values stand together, then the second ones."""
     import zstandard
 
-    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
-    half = len(both) // 2
-    return np.cumsum(both[:half], dtype=np.int64), both[half:].astype(np.int64)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _before(values: np.ndarray, starts: np.ndarray, first: float) -> np.ndarray:
+    """For each token the value of the one before it, and first at the start of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
 
+def _keys(hashes: np.ndarray, places: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """For each token a 64-bit key of it and the depth tokens before; before a text stand ends."""
+    own = hashes[places]
+    out, shifted = own, own
+    for _ in range(depth):
+        shifted = _before(shifted, starts, hashes[0])
+        out = _mixed(out + np.uint64(0x9E3779B97F4A7C15)) + shifted
+    return _mixed(out)
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with the places of its words in the chunk's list and how often it has them; then the chunk's list, with training counts."""
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+
+
+def gram_counts(grams: DataFrame) -> DataFrame:
+    """(chunk, place, packed): for each packed list of keys the training counts of its keys over all chunks, in the same order.
+
+    A bucket of keys is one group. A key stands once in a chunk's list, so that a common one does not make a bucket large.
+    """
+
+    def summed(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("word")]
+        times = [_unpacked(x.as_py(), np.uint32) for x in table.column("packed")]
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        sums = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), first)
+        every = every[first]
+        found = [_packed(np.minimum(sums[np.searchsorted(every, k)], 2**32 - 1).astype(np.uint32)) for k in keys]
+        return pa.table([table.column("chunk"), table.column("place"), pa.array(found, pa.binary())], names=["chunk", "place", "packed"])
+
+    return grams.select("chunk", "place", "word", "packed").groupBy("place").applyInArrow(summed, "chunk long, place int, packed binary")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """A chunk's rows: its words with training counts, their hashes, its documents as places in the list of words, and for each depth and bucket the keys of its n-grams with training counts."""
     from pyspark import TaskContext
 
-    names = ["chunk", "place", "word", "trained", "id", "held", "n_tokens", "packed"]
+    names = ["row", "chunk", "place", "word", "trained", "id", "held", "n_tokens", "packed"]
     number = TaskContext.get().partitionId() << 24
     places: dict[bytes, int] = {}
-    trained: list[tuple[np.ndarray, np.ndarray]] = []
+    texts: list[np.ndarray] = []
+    held: list[bool] = []
+    ids: list[pa.Array] = []
     size = 0
     id_type = None
 
     def started() -> None:
-        nonlocal places, trained, size
-        places, trained, size = defaultdict(count().__next__), [], 0
+        nonlocal places, texts, held, ids, size
+        places, texts, held, ids, size = defaultdict(count().__next__), [], [], [], 0
         places[END]  # noqa: B018
 
-    def words() -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(places), np.int64)
-        for at, times in trained:
-            total[at] += times
+    def rows(row: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), id_type, pa.bool_(), pa.int64(), pa.binary()]
+        given = {"row": pa.array([row] * n, pa.int32()), "chunk": pa.array([number] * n, pa.int64())} | columns
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(n, kind) for k, kind in zip(names, kinds, strict=True)], names)
+
+    def chunk() -> Iterator[pa.RecordBatch]:
         every = list(places)
+        places.clear()
+        lengths = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        whole = np.concatenate([np.zeros(0, np.uint32), *texts])
+        trained = ~np.repeat(np.array(held, bool), lengths)
+        for k in range(0, len(texts), 500):
+            n = len(texts[k : k + 500])
+            of = pa.concat_arrays(ids).slice(k, n)
+            yield rows(DOCUMENTS, n, id=of, held=pa.array(held[k : k + n]), n_tokens=pa.array(lengths[k : k + n]), packed=pa.array([_packed(t) for t in texts[k : k + n]], pa.binary()))
+        total = np.bincount(whole[trained], minlength=len(every))
+        hashes = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in every), "<u8")
         for k in range(0, len(every), 50_000):
-            part = every[k : k + 50_000]
-            n = len(part)
-            columns = [pa.array([number] * n, pa.int64()), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(total[k : k + n]), pa.nulls(n, id_type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            n = len(every[k : k + 50_000])
+            yield rows(WORDS, n, place=pa.array(np.arange(k, k + n, dtype=np.int32)), word=pa.array(every[k : k + n], pa.binary()), trained=pa.array(total[k : k + n], pa.int64()))
+            yield rows(HASHES, 1, place=pa.array([k], pa.int32()), packed=pa.array([_packed(hashes[k : k + n])], pa.binary()))
+        del every
+        for depth in range(1, TOKENS + 1):
+            keys = _keys(hashes, whole, starts, depth)
+            own = np.sort(keys[trained])
+            keys = _distinct(np.sort(keys))
+            times = (np.searchsorted(own, keys, "right") - np.searchsorted(own, keys)).astype(np.uint32)
+            del own
+            cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            ends = np.append(cuts[1:], len(keys))
+            for at in range(0, 1 << bits, 256):
+                some = [b for b in range(at, min(at + 256, 1 << bits)) if cuts[b] < ends[b]]
+                lists = [_packed(np.diff(keys[cuts[b] : ends[b]], prepend=np.uint64(0))) for b in some]
+                if some:
+                    yield rows(GRAMS, len(some), place=pa.array([depth << 24 | b for b in some], pa.int32()), word=pa.array(lists, pa.binary()), packed=pa.array([_packed(times[cuts[b] : ends[b]]) for b in some], pa.binary()))
 
     started()
     for batch in batches:
         id_type = batch.schema.field(0).type
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            held, sizes, packed = [], [], []
             for doc_id, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 text = value.as_py() or b""
                 tokens = text.lower().split()  # of bytes: A-Z only, ASCII white space only
                 tokens.append(END)
-                at, times = np.unique(np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
+                texts.append(np.fromiter(map(places.__getitem__, tokens), np.uint32, len(tokens)))
                 held.append(held_out(doc_id))
-                if not held[-1]:
-                    trained.append((at, times))
-                sizes.append(len(tokens))
-                packed.append(_packed(at, times))
                 size += len(text)
-            n = part.num_rows
-            columns = [pa.array([number] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), part.column(0), pa.array(held), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-            if len(trained) > 5000:  # fewer, longer arrays
-                total = np.zeros(len(places), np.int64)
-                for at, times in trained:
-                    total[at] += times
-                kept = np.flatnonzero(total)
-                trained = [(kept, total[kept])]
+            ids.append(part.column(0))
             if size > CHUNK_BYTES:
-                yield from words()
+                yield from chunk()
                 number += 1
                 started()
-    if id_type is not None:
-        yield from words()
+    if texts:
+        yield from chunk()
 
 
 def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

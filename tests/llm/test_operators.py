@@ -468,6 +468,34 @@ def test_model_beats_even_letters_on_held_out_texts(spark):
     assert held and all(r.score > -1.4 * r.n_tokens for r in held)
 
 
+@pytest.mark.parametrize("chunk", [100, 32_000_000])
+def test_score_conditions_tokens_on_those_before(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", chunk)
+    rng, ring = random.Random(19), ["ant", "bee", "cow", "dog", "elk", "fox", "gnu", "hen"]
+    held = [i for i in range(400) if lm_score.held_out(i)]
+    starts = [rng.randrange(8) for _ in range(400)]
+    texts = {i: [ring[(s + k) % 8] for k in range(24)] for i, s in enumerate(starts)}
+    texts[held[1]] = rng.sample(texts[held[0]], 24)
+    got = {r.doc_id: r for r in lm_score.score_documents(documents(spark, [" ".join(texts[i]) for i in range(400)])).collect()}
+    fluent, salad = got[held[0]], got[held[1]]
+    assert fluent.held_out and salad.held_out and fluent.base_score == pytest.approx(salad.base_score)
+    assert fluent.score > salad.score + 10
+    train = [[b"", b""] + [w.encode() for w in texts[i]] + [b""] for i in texts if i not in held]
+    grams = [Counter(tuple(t[k - d : k + 1]) for t in train for k in range(2, len(t))) for d in range(3)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    tree = lm_score.suffix_tree(spark.createDataFrame([(bytearray(w), c) for (w,), c in grams[0].items()], "word binary, c long"))
+    for i in held[:2]:
+        t, total = [b"", b""] + [w.encode() for w in texts[i]] + [b""], 0.0
+        for k in range(2, len(t)):
+            p = (max(grams[0][(t[k],)] - 0.5, 0) + 0.5 * v * 10 ** tree.scores([t[k]])[0]) / n
+            for d in (1, 2):
+                context = grams[0][(t[k - 1],)] if d == 1 else grams[1][tuple(t[k - 2 : k])] if k > 2 else 0
+                if context >= lm_score.LEAST_CONTEXT:
+                    p = (grams[d][tuple(t[k - d : k + 1])] + lm_score.PRIOR[d - 1] * p) / (context + lm_score.PRIOR[d - 1])
+            total += math.log10(p)
+        assert got[i].score == pytest.approx(total)
+
+
 # All operators: nulls in every column, and rows that repeat
 
 
