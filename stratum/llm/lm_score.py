@@ -7,11 +7,11 @@
 2. The chunks' training counts add up to the vocabulary.
 3. From the vocabulary, weighted by counts, come the contexts of up to DEPTH bytes before each byte of a word. A
    word begins after a blank and ends with one; the end of a text is a line feed after the blank. A context is
-   kept if at least LEAST_SHARE of all symbols follow it and its next-symbol distribution diverges from that of
-   the context one byte shorter by LEAST_DIVERGENCE (Kullback-Leibler, in nats). At most DEPTH / LEAST_SHARE
-   contexts and (DEPTH + 1) / LEAST_COUNT_SHARE counts are kept whatever the corpus, which bounds what is broadcast.
+   kept if it occurs LEAST_COUNT times or more and its next symbols gain LEAST_GAIN nats from it against the
+   context one byte shorter, over all occurrences (count times Kullback-Leibler divergence). All counts after a
+   kept context stay. The tree grows with the corpus; it is a table for each depth and is not collected.
 4. A symbol's probability is that of the longest kept suffix of what precedes it in its word. The distributions
-   are smoothed: what a context does not keep, and one count for each symbol that it does, is shared out by the next
+   are smoothed: one count for each symbol that a context has is shared out by the next
    shorter kept context (Witten-Bell), and at the root evenly over all bytes. They add up to one.
 5. A word with all that precedes it is the deepest context of its own end. These contexts are the vocabulary: a
    word's probability is its share of all training tokens, each count lowered by DISCOUNT, and what that leaves is
@@ -23,7 +23,7 @@
    dealt over chunks and buckets.
 7. Each vocabulary word is scored once. Counts and scores go back to the chunks, whose documents add them up.
 
-The shares of the byte tree scale with the corpus.
+No threshold depends on the size of the corpus.
 """
 
 from __future__ import annotations
@@ -32,19 +32,25 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm.common import released, stored
 
 DEPTH = 5
-LEAST_SHARE, LEAST_COUNT_SHARE, LEAST_DIVERGENCE = 1e-5, 1e-6, 0.01
+#: Occurrences that a context of bytes needs, and the nats that its next symbols must gain from it, over all of them.
+LEAST_COUNT, LEAST_GAIN = 10, 3.0
+#: The least share of a context that suffix_tree() takes into memory.
+LEAST_SHARE = 1e-5
+#: Words of a block that are scored together.
+BLOCK_WORDS = 200_000
 DISCOUNT = 0.5
 #: Tokens of the longest context, the training occurrences that a context needs, and the weight of what a context backs off to.
 TOKENS, LEAST_CONTEXT, PRIOR = 2, 2, (100.0, 10.0)
@@ -78,16 +84,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = chunks.where(F.col("row") == WORDS).select("chunk", "place", "word", "trained")
     counts = stored(words.groupBy("word").agg(F.sum("trained").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    model = docs.sparkSession.sparkContext.broadcast(suffix_tree(counts.where("c > 0")))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tree = model.value.scores(batch.column(0).to_pylist())
+            tree = batch.column(2).to_numpy()
             own = np.maximum(batch.column(1).to_numpy() - DISCOUNT, 0)
             score = np.logaddexp(np.log(np.where(own > 0, own, 1) / total) + np.where(own > 0, 0, -np.inf), tree * np.log(10) + np.log(DISCOUNT * distinct / total)) / np.log(10) if total else tree
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["word", "c", "score"])
 
-    scores = counts.mapInArrow(scored, "word binary, c long, score double")
+    scores = word_scores(counts).mapInArrow(scored, "word binary, c long, score double")
     known = words.select("chunk", "place", "word").join(scores, "word").select("chunk", "place", "c", "score")
     found = chunks.where(F.col("row").isin(DOCUMENTS, HASHES)).select(F.col("chunk").alias("of_chunk"), "row", F.col("place").alias("at"), "id", "held", "n_tokens", "packed")
     counted = grams.select(F.col("chunk").alias("of_chunk"), F.lit(GRAMS).alias("row"), F.col("place").alias("at"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("n_tokens"), "packed")
@@ -311,25 +316,88 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def suffix_tree(counts: DataFrame) -> SuffixTree:
-    """The model of a vocabulary (word binary, c long)."""
+def levels(counts: DataFrame) -> list[DataFrame]:
+    """For each depth of contexts, from 0: (gram long, c, n, d long, kept boolean), gram being a context and the symbol after it.
+
+    c are the gram's occurrences, n those of its context, d the different symbols after it. Grams of words without
+    a count are there with c = 0. Everything is joined and grouped by grams and contexts, none of which has more
+    than 256 neighbours, so the tree stays dealt out whatever its size.
+    """
     grams = stored(counts.mapInArrow(_grams, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "grams")
-    total = grams.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    every = F.explode(F.transform(F.sequence(F.lit(0), F.lit(DEPTH)), lambda k: F.struct(k.alias("k"), F.shiftright("code", 8).bitwiseAND(F.element_at(F.array(*(F.lit((1 << 8 * i) - 1) for i in range(DEPTH + 1))), k + 1)).alias("context"))))
-    counted = grams.select(every.alias("x"), F.col("code").bitwiseAND(F.lit(255)).alias("symbol"), "c").select("x.*", "symbol", "c").groupBy("k", "context", "symbol").agg(F.sum("c").alias("c"))
-    counted = stored(counted, "contexts")
+    out: list[DataFrame] = []
+    for k in range(DEPTH, -1, -1):
+        of = F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1)
+        context = Window.partitionBy(F.shiftright("gram", 8))
+        level = grams.groupBy(of.alias("gram")).agg(F.sum("c").alias("c"))
+        out.append(level.withColumns({"n": F.sum("c").over(context), "d": F.count(F.when(F.col("c") > 0, 1)).over(context)}))
+    out.reverse()
+    kept = [stored(out[0].withColumn("kept", F.lit(True)), "level")]
+    for k in range(1, DEPTH + 1):
+        shorter = kept[-1].select(F.col("gram").alias("of"), F.try_divide("c", "n").alias("q"))
+        gain = F.when(F.col("c") > 0, F.col("c") * F.log(F.try_divide(F.try_divide("c", "n"), F.col("q")))).otherwise(0.0)
+        joined = out[k].join(shorter, F.col("gram").bitwiseAND((1 << 8 * k) - 1) == F.col("of"))
+        test = (F.col("n") >= LEAST_COUNT) & (F.sum(gain).over(Window.partitionBy(F.shiftright("gram", 8))) >= LEAST_GAIN)
+        kept.append(stored(joined.withColumn("kept", test).select("gram", "c", "n", "d", "kept"), "level"))
     released(grams)
-    sizes = counted.groupBy("k", "context").agg(F.sum("c").alias("n")).where((F.col("n") >= LEAST_SHARE * total) | (F.col("k") == 0))
-    often = counted.join(sizes, ["k", "context"])
-    shorter = F.element_at(F.array(F.lit(0), *(F.lit((1 << 8 * i) - 1) for i in range(DEPTH))), F.col("k") + 1)
-    parents = often.select((F.col("k") + 1).alias("k"), F.col("context").alias("parent"), "symbol", (F.col("c") / F.col("n")).alias("q"))
-    p = F.col("c") / F.col("n")
-    parted = often.where("k > 0").withColumn("parent", F.col("context").bitwiseAND(shorter)).join(parents, ["k", "parent", "symbol"])
-    diverging = parted.groupBy("k", "context").agg(F.sum(p * F.log(p / F.col("q"))).alias("d")).where(F.col("d") >= LEAST_DIVERGENCE).select("k", "context")
-    root = counted.sparkSession.createDataFrame([(0, 0)], "k int, context long")
-    kept = often.join(diverging.unionByName(root), ["k", "context"], "left_semi")
-    rows = kept.where(F.col("c") >= LEAST_COUNT_SHARE * total).select(F.col("k").cast("long").alias("k"), "context", F.col("symbol").cast("long").alias("symbol"), "c", "n").toArrow()
-    released(counted)
+    return kept
+
+
+def word_scores(counts: DataFrame) -> DataFrame:
+    """(word, c, tree): counts (word binary, c long) with each word's log10 probability by the tree of those with c > 0, which is not collected."""
+    p = None
+    for k, level in enumerate(levels(counts)):
+        if p is None:
+            joined = level.withColumn("q", F.lit(1 / 256))
+        else:
+            joined = level.join(p.select(F.col("gram").alias("of"), F.col("p").alias("q")), F.col("gram").bitwiseAND((1 << 8 * k) - 1) == F.col("of"))
+        whole = F.col("n") + F.col("d")
+        p = joined.select("gram", F.when(F.col("kept") & (whole > 0), F.try_divide(F.col("c") + F.col("d") * F.col("q"), whole)).otherwise(F.col("q")).alias("p"))
+    blocks = stored(counts.mapInArrow(_blocks, "block long, word binary, c long, code long"), "blocks")
+    needed = blocks.where("code is not null").select("block", "code").join(p, F.col("code") == F.col("gram")).select("block", "code", "p")
+    words = blocks.where("word is not null").select(F.col("block").alias("of_block"), "word", "c")
+
+    def summed(words: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.argsort(found.column("code").to_numpy())
+        known, logs = found.column("code").to_numpy()[order], np.log10(found.column("p").to_numpy()[order])
+        codes, of = windows(words.column("word").to_pylist())
+        at = np.searchsorted(known, codes)
+        assert (known[at] == codes).all()
+        return pa.table([words.column("word"), words.column("c"), pa.array(np.bincount(of, logs[at], words.num_rows))], names=["word", "c", "tree"])
+
+    return words.groupBy("of_block").cogroup(needed.groupBy("block")).applyInArrow(summed, "word binary, c long, tree double")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words in blocks, and after each block its different codes."""
+    from pyspark import TaskContext
+
+    number, words = TaskContext.get().partitionId() << 24, 0
+    codes = np.zeros(0, np.int64)
+
+    def wanted() -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(codes), 100_000):
+            part = codes[k : k + 100_000]
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(part)], ["block", "word", "c", "code"])
+
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), batch.column(0), batch.column(1), pa.nulls(n, pa.int64())], ["block", "word", "c", "code"])
+        codes = np.union1d(codes, windows(batch.column(0).to_pylist())[0])
+        words += n
+        if words >= BLOCK_WORDS:
+            yield from wanted()
+            number, words, codes = number + 1, 0, codes[:0]
+    if words:
+        yield from wanted()
+
+
+def suffix_tree(counts: DataFrame) -> SuffixTree:
+    """The model of a vocabulary (word binary, c long) in memory: all of word_scores()' tree, but for contexts below LEAST_SHARE of all symbols, so that a large one fits. It shows and checks the tree; scoring does not use it."""
+    found = levels(counts)
+    total = found[0].agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    rows = [level.where(F.col("kept") & (F.col("c") > 0) & (F.lit(k == 0) | (F.col("n") >= LEAST_SHARE * total))).select(F.lit(k).cast("long").alias("k"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "c", "n") for k, level in enumerate(found)]
+    rows = reduce(DataFrame.unionByName, rows).toArrow()
     return SuffixTree.of(*(rows.column(c).to_numpy() for c in ("k", "context", "symbol", "c", "n")))
 
 

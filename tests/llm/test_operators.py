@@ -496,6 +496,16 @@ def test_score_conditions_tokens_on_those_before(spark, monkeypatch, chunk):
         assert got[i].score == pytest.approx(total)
 
 
+def test_tree_keeps_contexts_of_a_small_share(spark):
+    rng = random.Random(23)
+    words = Counter("".join(rng.choice(["zu", "xo", "qy"]) for _ in range(3)).encode() for _ in range(400))
+    asked = {b"the": 10**9, b"of": 10**9, b"xozuqyxo": 0, b"uzoxyqox": 0, b"": 10**6}
+    got = {bytes(r.word): r.tree for r in lm_score.word_scores(spark.createDataFrame([(bytearray(w), n) for w, n in (words | asked).items()], "word binary, c long")).collect()}
+    assert set(got) == set(words) | set(asked)
+    # Each second letter follows from the first, though the words are less than a millionth of the corpus.
+    assert got[b"xozuqyxo"] > got[b"uzoxyqox"] + 10
+
+
 # All operators: nulls in every column, and rows that repeat
 
 
