@@ -58,6 +58,11 @@ def merged(*parts: DataFrame) -> DataFrame:
     return every.groupBy(*KEY).agg(F.max("block").alias("block"), F.max_by("value", "block").alias("value"), F.array_sort(F.collect_set(F.struct("block", "value"))).alias("versions"))
 
 
+def merged_each(rows: DataFrame, by: list[str]) -> DataFrame:
+    """merged() for each run of by: all runs of a table in one pass."""
+    return rows.groupBy(*by, *KEY).agg(F.max("block").alias("block"), F.max_by("value", "block").alias("value"), F.array_sort(F.collect_set(F.struct("block", "value"))).alias("versions"))
+
+
 def compacted(rows: DataFrame, level: int) -> DataFrame:
     """All rows of a level as one run of the next."""
     return rows.withColumns({"run": F.when(F.col("level") == level, F.lit(0)).otherwise(F.col("run")), "level": F.when(F.col("level") == level, F.lit(level + 1)).otherwise(F.col("level"))})

@@ -59,6 +59,10 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.block_writes(writes(spark, sf_dir))
 
 
+def head_block(c: DataFrame) -> int:
+    return c.agg(F.coalesce(F.max("block"), F.lit(1))).first()[0]
+
+
 def rows_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.with_runs(changes(spark, sf_dir), CAPACITY, RATIO)
 
@@ -355,7 +359,11 @@ def trie_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("trie_pruned_nodes")
 def trie_pruned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.pruned(trie.node_versions(changes(spark, sf_dir), [2, 4, 6, 8]), 6)
+    """Of four snapshots spread over all blocks, the last at the head, the nodes that only the first two use."""
+    c = changes(spark, sf_dir)
+    head = head_block(c)
+    blocks = sorted({max(1, head * i // 4) for i in range(1, 5)})
+    return trie.pruned(trie.node_versions(c, blocks), blocks[len(blocks) // 2])
 
 
 def kv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -514,3 +522,55 @@ def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source.select(F.col("user_id").alias("addr"), F.col("event_type").alias("slot"), (F.floor(F.col("event_id") / BLOCK_SIZE) + 1).alias("block"), F.col("event_id").alias("seq"), F.round(F.col("value") * 100).cast("long").alias("value"))
     streams.append_blocks(rows, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
     return state.latest(spark.read.parquet(f"{path}/rows").drop("batch"))
+
+
+# Whole tables: where the queries above fix a stretch of blocks or runs, as their SQL does.
+
+
+@query("merged_runs_all", f"SELECT CAST(level AS BIGINT) AS level, run, addr, slot, max(block) AS block, arg_max(value, block) AS value, {VERSIONS_SQL} AS versions FROM r GROUP BY level, run, addr, slot")
+def merged_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of each level, merged from all its flushes; what is not flushed yet is run -1 of level -1."""
+    rows = rows_in_runs(spark, sf_dir).withColumns({"level": F.col("level").cast("long"), "run": F.col("run").cast("long")})
+    return lsm.merged_each(rows, ["level", "run"]).withColumn("versions", joined_versions(F.col("versions")))
+
+
+WINDOWS = [2, 4, 8, 16, 32, 64, 128]
+HEAD_SQL = "(SELECT max(block) FROM c)"
+
+
+@query("window_sweep_head", f"SELECT CAST(s AS INTEGER) AS \"window\", count(DISTINCT CAST(addr AS VARCHAR) || '|' || slot) AS n_keys, count(*) AS n_versions FROM c, (SELECT unnest({WINDOWS}) AS s) WHERE block > {HEAD_SQL} - s GROUP BY 1")
+def window_sweep_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all sizes of the reference that end at the table's head."""
+    c = changes(spark, sf_dir)
+    return metrics.window_versions(c, c.select("addr", "slot").distinct(), head_block(c), WINDOWS)
+
+
+@query("dense_provenance_head", f"SELECT k.addr, k.slot, b.block, (SELECT arg_max(value, c.block) FROM c WHERE c.addr = k.addr AND c.slot = k.slot AND c.block <= b.block) AS value FROM (SELECT DISTINCT addr, slot FROM c) k, (SELECT DISTINCT block FROM c WHERE block > {HEAD_SQL} - {WINDOWS[-1]}) b")
+def dense_provenance_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys at each block of the longest window that ends at the head; a key's value may be from any earlier block."""
+    c = changes(spark, sf_dir)
+    head = head_block(c)
+    return state.dense(c, max(1, head - WINDOWS[-1] + 1), head)
+
+
+def level_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all levels as a checkpoint."""
+    return reorg.checkpoint(run_block_ranges(spark, sf_dir), 0)
+
+
+SAVED_SQL = ", s AS (SELECT CAST(level AS BIGINT) AS level, run, min(block) AS lo, max(block) AS hi FROM r GROUP BY level, run)"
+
+
+@query("rewind_plan_all", SAVED_SQL + """, x AS (SELECT flush, min(block) AS lo, max(block) AS hi FROM f GROUP BY flush)
+SELECT s.level, s.run, s.lo AS block_lo, s.hi AS block_hi, CASE WHEN bool_or(x.lo = s.lo AND x.hi = s.hi) THEN 'keep' ELSE 'rebuild' END AS action,
+CASE WHEN bool_or(x.lo = s.lo AND x.hi = s.hi) THEN 1 ELSE count(x.lo) END AS n_sources FROM s LEFT JOIN x ON x.lo <= s.hi AND x.hi >= s.lo GROUP BY s.level, s.run, s.lo, s.hi""")
+def rewind_plan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all flushes back to the runs of all levels."""
+    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY).withColumn("level", F.lit(0).cast("long"))
+    return reorg.plan(lsm.runs(rows.withColumn("run", F.col("flush"))), level_runs(spark, sf_dir))
+
+
+@query("rebuilt_rows_all", SAVED_SQL + " SELECT s.level AS to_level, s.run AS to_run, addr, slot, block, value FROM c JOIN s ON c.block BETWEEN s.lo AND s.hi")
+def rebuilt_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each run of all levels."""
+    return reorg.rebuilt(changes(spark, sf_dir), level_runs(spark, sf_dir)).select("to_level", "to_run", "addr", "slot", "block", "value")
