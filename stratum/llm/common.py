@@ -25,7 +25,16 @@ def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """df, written once to the shared folder and read back: cuts lineage and survives lost executors. Rows of each value of by are in files of their own."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    # A file for each of a few values is open at once; otherwise a task would sort its rows first, in memory.
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers, None)
+    if by:
+        spark.conf.set(writers, "16")
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        if by:
+            spark.conf.set(writers, before) if before is not None else spark.conf.unset(writers)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

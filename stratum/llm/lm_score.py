@@ -81,6 +81,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = stored(made, "chunks", "row")
     grams = stored(gram_counts(chunks.where(F.col("row") == GRAMS)), "gram-counts")
     released(chunks, f"row={GRAMS}")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle of the n-grams, which nothing reads any more
     words = chunks.where(F.col("row") == WORDS).select("chunk", "place", "word", "trained")
     counts = stored(words.groupBy("word").agg(F.sum("trained").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
@@ -234,9 +235,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         starts = np.cumsum(lengths) - lengths
         whole = np.concatenate([np.zeros(0, np.uint32), *texts])
         trained = ~np.repeat(np.array(held, bool), lengths)
+        own_ids = pa.concat_arrays(ids)
         for k in range(0, len(texts), 500):
             n = len(texts[k : k + 500])
-            of = pa.concat_arrays(ids).slice(k, n)
+            of = own_ids.slice(k, n)
             yield rows(DOCUMENTS, n, id=of, held=pa.array(held[k : k + n]), n_tokens=pa.array(lengths[k : k + n]), packed=pa.array([_packed(t) for t in texts[k : k + n]], pa.binary()))
         total = np.bincount(whole[trained], minlength=len(every))
         hashes = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in every), "<u8")
@@ -271,13 +273,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
                 texts.append(np.fromiter(map(places.__getitem__, tokens), np.uint32, len(tokens)))
                 held.append(held_out(doc_id))
                 size += len(text)
-            ids.append(part.column(0))
+            ids.append(pa.array(part.column(0).to_pylist(), id_type))  # a copy: a slice would keep the batch's texts
             if size > CHUNK_BYTES:
                 yield from chunk()
                 number += 1
                 started()
     if texts:
         yield from chunk()
+    pa.default_memory_pool().release_unused()
 
 
 def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
