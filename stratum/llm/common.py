@@ -21,8 +21,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
 
 
-def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts lineage and survives lost executors. Rows of each value of by are in files of their own."""
+def stored(df: DataFrame, tag: str, by: str | None = None, **options: str) -> DataFrame:
+    """df, written once (with options) to the shared folder and read back: cuts lineage and survives lost executors. Rows of each value of by are in files of their own."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     # A file for each of a few values is open at once; otherwise a task would sort its rows first, in memory.
@@ -31,7 +31,7 @@ def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     if by:
         spark.conf.set(writers, "16")
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     finally:
         if by:
             spark.conf.set(writers, before) if before is not None else spark.conf.unset(writers)

@@ -1,29 +1,28 @@
-"""LM scoring with a probabilistic suffix tree over tokens, and at its root one over the bytes of words.
-
-1. Documents are cut into chunks inside the tasks. A chunk has a word list of its own, so that a document is a
-   row of small numbers and a word is counted, shuffled and looked up once a chunk instead of once a token. So is
-   an n-gram, a token and one to TOKENS tokens before it, by a key of 64 bits (at 7e9 n-grams, one pair shares a
-   key). Keys go in packed lists by bucket; each bucket sums the training counts and hands them back to the chunks.
-2. The chunks' training counts add up to the vocabulary.
-3. From the vocabulary, weighted by counts, come the contexts of up to DEPTH bytes before each byte of a word. A
-   word begins after a blank and ends with one; the end of a text is a line feed after the blank. A context is
-   kept if it occurs LEAST_COUNT times or more and its next symbols gain LEAST_GAIN nats from it against the
-   context one byte shorter, over all occurrences (count times Kullback-Leibler divergence). All counts after a
-   kept context stay. The tree grows with the corpus; it is a table for each depth and is not collected.
-4. A symbol's probability is that of the longest kept suffix of what precedes it in its word. The distributions
-   are smoothed: one count for each symbol that a context has is shared out by the next
-   shorter kept context (Witten-Bell), and at the root evenly over all bytes. They add up to one.
-5. A word with all that precedes it is the deepest context of its own end. These contexts are the vocabulary: a
-   word's probability is its share of all training tokens, each count lowered by DISCOUNT, and what that leaves is
-   shared out by the suffix tree.
-6. That is the root of a suffix tree over tokens. Its contexts are the one to TOKENS tokens before a token, in the
-   same text (before it stands an end), that training has LEAST_CONTEXT times or more; all their next tokens
-   count. A token is scored from its longest context, to which each shorter one adds its distribution with the
-   weight of PRIOR occurrences: (c + PRIOR * p) / (n + PRIOR). Contexts and counts grow with the corpus and stay
-   dealt over chunks and buckets.
-7. Each vocabulary word is scored once. Counts and scores go back to the chunks, whose documents add them up.
-
-No threshold depends on the size of the corpus.
+"""LM scoring with a probabilistic suffix tree over tokens, whose root spells unknown words by one over bytes.
+
+1. Documents are cut into chunks inside the tasks. A chunk is one row: its list of words and its documents as packed
+   places in that list, so that a word, or an n-gram (a token and one to TOKENS tokens before it), is counted,
+   shuffled and looked up once a chunk instead of once a token. Before a text stand ends.
+2. N-grams go by a hash key, cut to key_bits(), in packed lists by bucket, words as they are. Each bucket adds up the
+   training counts of its keys and hands them back to the chunks. A key stands once in a chunk's list, so that a
+   common one does not make a bucket large.
+3. A context is the one to TOKENS tokens before a token. It is retained if training has it LEAST_CONTEXT times or
+   more and its next tokens gain LEAST_GAIN nats from it against the context one token shorter, over all of its
+   occurrences, each scored by the counts of the others. That is the divergence between the two distributions, left
+   one out; without that, a context whose next tokens never repeat would always diverge. Chunks add up the
+   gains of their own occurrences, buckets those of the chunks. Terms are rounded to 1 / UNIT nats, so that sums
+   do not depend on how the documents were cut.
+4. A token's state is the longest retained suffix of what stands before it. Its distribution is smoothed by
+   the next shorter one with the weight of PRIOR occurrences: (c + PRIOR * p) / (n + PRIOR). At the root, a token has
+   its share c / (N + V), and V / (N + V) (Witten-Bell) goes to words that training does not have.
+5. These are spelled by a suffix tree over bytes, from the distinct training words: contexts of up to DEPTH bytes
+   inside a word, before which stands a blank, and which ends with one (an end is a line feed). A context is kept if it
+   occurs LEAST_COUNT times or more and its next bytes gain LEAST_BYTE_GAIN nats against the context one byte
+   shorter; the distributions are smoothed by Witten-Bell, at the root evenly over all bytes. Contexts that share
+   their last two bytes are handled together, so the tree is dealt out, whatever its size.
+
+Contexts, counts and thresholds are absolute: what is gathered grows with the corpus, and nothing of it is collected.
+The spelling of known words is not excluded, so that a state's probabilities add up to one or a little less.
 """
 
 from __future__ import annotations
@@ -32,33 +31,28 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from hashlib import blake2b
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import released, stored
-
-DEPTH = 5
-#: Occurrences that a context of bytes needs, and the nats that its next symbols must gain from it, over all of them.
-LEAST_COUNT, LEAST_GAIN = 10, 3.0
-#: The least share of a context that suffix_tree() takes into memory.
-LEAST_SHARE = 1e-5
-#: Words of a block that are scored together.
-BLOCK_WORDS = 200_000
-DISCOUNT = 0.5
-#: Tokens of the longest context, the training occurrences that a context needs, and the weight of what a context backs off to.
-TOKENS, LEAST_CONTEXT, PRIOR = 2, 2, (100.0, 10.0)
+from stratum.llm.common import stored
+
+#: Tokens of the longest context, the training occurrences that a context needs, the nats that it must gain, and the weight of what a context backs off to, by length.
+TOKENS, LEAST_CONTEXT, LEAST_GAIN, PRIOR = 2, 2, 2.0, (100.0, 10.0)
+UNIT = 64
+#: The same for the tree over bytes.
+DEPTH, LEAST_COUNT, LEAST_BYTE_GAIN = 5, 10, 3.0
 CHUNK_BYTES = 16_000_000
-#: Kinds of rows of a chunk.
-DOCUMENTS, WORDS, HASHES, GRAMS = range(4)
+#: Unknown words that are spelled together, and distinct strings of bytes of a group.
+BLOCK_WORDS, GROUP_CODES = 100_000, 200_000
 #: The end of a text as a word; no real word is empty.
 END = b""
+#: A hash key's bits above those that tell apart as many n-grams as the input has bytes: of 4 million n-grams, one at most is taken for another.
+SPARE_BITS = 20
 
 
 def held_out(doc_id) -> bool:  # noqa: ANN001
@@ -72,88 +66,94 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Tokens are words (A-Z in lower case) and one end. base_score is the sum over tokens of
     log10((c + 0.1) / (N + 0.1 * (V + 1))) from the training documents; n_known counts tokens with c > 0; score is
     the model's log10 probability of the tokens. Null and empty texts are one end. Without any training
-    document N and V are 0 and the tree is its even root. Repeated rows count and come out as often as they go in.
+    document N and V are 0 and every word is spelled by even bytes. Repeated rows count and come out as often as
+    they go in; other columns are not read.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    bits = bucket_bits(docs)
-    made = rows.mapInArrow(lambda batches: _chunks(batches, bits), f"row int, chunk long, place int, word binary, trained long, id {kind}, held boolean, n_tokens long, packed binary")
-    chunks = stored(made, "chunks", "row")
-    grams = stored(gram_counts(chunks.where(F.col("row") == GRAMS)), "gram-counts")
-    released(chunks, f"row={GRAMS}")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle of the n-grams, which nothing reads any more
-    words = chunks.where(F.col("row") == WORDS).select("chunk", "place", "word", "trained")
-    counts = stored(words.groupBy("word").agg(F.sum("trained").alias("c")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tree = batch.column(2).to_numpy()
-            own = np.maximum(batch.column(1).to_numpy() - DISCOUNT, 0)
-            score = np.logaddexp(np.log(np.where(own > 0, own, 1) / total) + np.where(own > 0, 0, -np.inf), tree * np.log(10) + np.log(DISCOUNT * distinct / total)) / np.log(10) if total else tree
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["word", "c", "score"])
-
-    scores = word_scores(counts).mapInArrow(scored, "word binary, c long, score double")
-    known = words.select("chunk", "place", "word").join(scores, "word").select("chunk", "place", "c", "score")
-    found = chunks.where(F.col("row").isin(DOCUMENTS, HASHES)).select(F.col("chunk").alias("of_chunk"), "row", F.col("place").alias("at"), "id", "held", "n_tokens", "packed")
-    counted = grams.select(F.col("chunk").alias("of_chunk"), F.lit(GRAMS).alias("row"), F.col("place").alias("at"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("n_tokens"), "packed")
-    per = total + 0.1 * (distinct + 1)
-
-    def added(rows: pa.Table, lookup: pa.Table) -> pa.Table:
-        order = np.argsort(lookup.column("place").to_numpy())
-        c, score = (lookup.column(k).to_numpy()[order] for k in ("c", "score"))
-        base = np.log10((c + 0.1) / per)
-        is_row = lambda kind: pa.compute.equal(rows.column("row"), kind)
-        documents, n_gram = rows.filter(is_row(DOCUMENTS)), rows.filter(is_row(GRAMS)).sort_by("at")
-        hashes = np.concatenate([_unpacked(x.as_py(), np.uint64) for x in rows.filter(is_row(HASHES)).sort_by("at").column("packed")])
-        assert len(c) == len(hashes)
-        # Counts of n-grams stand in the order of their keys; at is the number of tokens before the last, then the bucket.
-        depths = n_gram.column("at").to_numpy() >> 24
-        seen = [np.concatenate([np.zeros(0, np.uint32), *(_unpacked(n_gram.column("packed")[int(i)].as_py(), np.uint32) for i in np.flatnonzero(depths == d))]) for d in range(1, TOKENS + 1)]
-        size = documents.num_rows
-        parts = [_unpacked(x.as_py(), np.uint32) for x in documents.column("packed")]
-        whole = np.concatenate([np.zeros(0, np.uint32), *parts])
-        firsts = np.cumsum([0, *map(len, parts)])
-        keys = [_distinct(np.sort(_keys(hashes, whole, firsts[:-1], d))) for d in range(1, TOKENS + 1)]
-        n_known, bases, scores = [], [], []
-        for k in range(0, size, 200):
-            of = whole[firsts[k] : firsts[min(k + 200, size)]]
-            starts = firsts[k : min(k + 200, size)] - firsts[k]
-            p, context = score[of] * np.log(10), _before(c[of], starts, c[0])  # natural logarithms: a long word's probability can be too small for a float
-            for d in range(1, TOKENS + 1):
-                n = seen[d - 1][np.searchsorted(keys[d - 1], _keys(hashes, of, starts, d))].astype(float)
-                own = np.log(n, out=np.full(len(n), -np.inf), where=n > 0)
-                p = np.where(context >= LEAST_CONTEXT, np.logaddexp(own, p + np.log(PRIOR[d - 1])) - np.log(context + PRIOR[d - 1]), p)
-                # A context of d + 1 tokens is what the token before ended; at the start of a text there is none longer than the end before it.
-                context = _before(n, starts, 0.0)
-            n_known.append(np.add.reduceat((c[of] > 0).astype(np.int64), starts))
-            bases.append(np.add.reduceat(base[of], starts))
-            scores.append(np.add.reduceat(p, starts) / np.log(10))
-        columns = [documents.column("id"), documents.column("held"), documents.column("n_tokens"), pa.array(np.concatenate(n_known)), pa.array([total] * size, pa.int64()), pa.array(np.concatenate(bases)), pa.array(np.concatenate(scores))]
-        return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = found.unionByName(counted).groupBy("of_chunk").cogroup(known.groupBy("chunk")).applyInArrow(added, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sizes = Sizes.of(docs)
+    # Chunks are rows of some MB; small row groups keep those in memory few.
+    made = rows.mapInArrow(_chunks, f"chunk long, ids array<{kind}>, held binary, lengths binary, places binary, words binary, trained binary")
+    chunks = stored(made, "chunks", **{"parquet.block.size": str(1 << 24), "parquet.enable.dictionary": "false"})
+
+    asked = chunks.select("chunk", "held", "lengths", "places", "words", "trained").mapInArrow(sizes.lists, LISTS)
+    counted = asked.groupBy("place").applyInArrow(_summed, "chunk long, place int, packed binary, unknown array<binary>, vocabulary binary, n long, v long")
+    counts = stored(counted, "counts")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    _dropped_shuffles(docs)
+
+    answers = counts.where("chunk is not null").select(F.col("chunk").alias("to"), F.lit(0).alias("row"), "place", "packed", *_nulls("word binary", "tree double"))
+    own = chunks.drop("ids").groupBy("chunk")
+    gains = own.cogroup(answers.groupBy("to")).applyInArrow(lambda chunk, found: sizes.gains(chunk, found, total, distinct), LISTS)
+    kept = stored(gains.groupBy("place").applyInArrow(_retained, "chunk long, place int, packed binary"), "kept")
+    _dropped_shuffles(docs)
+
+    unknown = counts.where("chunk is not null").select(F.col("chunk").alias("to"), F.explode("unknown").alias("word"))
+    vocabulary = counts.where("vocabulary is not null").select("vocabulary").mapInArrow(_split, "word binary")
+    spelled = unknown.join(spelling(vocabulary, unknown.select("word").distinct()), "word").select("to", F.lit(2).alias("row"), *_nulls("place int", "packed binary"), "word", "tree")
+    flags = kept.select(F.col("chunk").alias("to"), F.lit(1).alias("row"), "place", "packed", *_nulls("word binary", "tree double"))
+    found = answers.unionByName(flags).unionByName(spelled)
+    out = chunks.groupBy("chunk").cogroup(found.groupBy("to")).applyInArrow(lambda chunk, found: sizes.scores(chunk, found, total, distinct), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
-def bucket_bits(docs: DataFrame) -> int:
-    """The leading bits of a key that name its bucket: about 4 MB of input for each, between 16 and 65,536 buckets."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(16, max(4, (size // 4_000_000).bit_length()))
+#: Packed lists of keys by bucket, with a number for each key.
+LISTS = "chunk long, place int, keys binary, numbers binary"
 
 
-def _packed(values: np.ndarray) -> bytes:
+def _nulls(*columns: str) -> list[Column]:
+    return [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in columns)]
+
+
+def _dropped_shuffles(docs: DataFrame) -> None:
+    """Lets Spark delete the files of shuffles that nothing reads any more, which it does when their objects are collected."""
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
+def _compressed(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    """What _packed() took: the first bytes of all values stand together, then the second ones."""
+def _plain(data: bytes) -> bytes:
     import zstandard
 
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return _compressed(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    """What _packed() took: the first bytes of all values stand together, then the second ones."""
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(_plain(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _joined(words: list[bytes]) -> bytes:
+    return _compressed(b" ".join(words))
+
+
+def _words(data: bytes) -> list[bytes]:
+    """What _joined() took, at least one word; none has a blank in it."""
+    return _plain(data).split(b" ")
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and for each key its place among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(keys) else np.zeros(0, bool)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], of
+
+
+def _added(of: np.ndarray, numbers: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by place; exact, as none reaches 2**53."""
+    return np.rint(np.bincount(of, numbers, n)).astype(np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -170,119 +170,244 @@ def _before(values: np.ndarray, starts: np.ndarray, first: float) -> np.ndarray:
     return out
 
 
-def _keys(hashes: np.ndarray, places: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """For each token a 64-bit key of it and the depth tokens before; before a text stand ends."""
-    own = hashes[places]
-    out, shifted = own, own
-    for _ in range(depth):
-        shifted = _before(shifted, starts, hashes[0])
-        out = _mixed(out + np.uint64(0x9E3779B97F4A7C15)) + shifted
-    return _mixed(out)
-
-
-def _distinct(ordered: np.ndarray) -> np.ndarray:
-    return ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
-
-
-def gram_counts(grams: DataFrame) -> DataFrame:
-    """(chunk, place, packed): for each packed list of keys the training counts of its keys over all chunks, in the same order.
-
-    A bucket of keys is one group. A key stands once in a chunk's list, so that a common one does not make a bucket large.
-    """
-
-    def summed(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("word")]
-        times = [_unpacked(x.as_py(), np.uint32) for x in table.column("packed")]
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        every = every[order]
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        sums = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), first)
-        every = every[first]
-        found = [_packed(np.minimum(sums[np.searchsorted(every, k)], 2**32 - 1).astype(np.uint32)) for k in keys]
-        return pa.table([table.column("chunk"), table.column("place"), pa.array(found, pa.binary())], names=["chunk", "place", "packed"])
-
-    return grams.select("chunk", "place", "word", "packed").groupBy("place").applyInArrow(summed, "chunk long, place int, packed binary")
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """A chunk's rows: its words with training counts, their hashes, its documents as places in the list of words, and for each depth and bucket the keys of its n-grams with training counts."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, text) as chunks of CHUNK_BYTES of text or a little more; the end is the first word of each."""
     from pyspark import TaskContext
 
-    names = ["row", "chunk", "place", "word", "trained", "id", "held", "n_tokens", "packed"]
-    number = TaskContext.get().partitionId() << 24
-    places: dict[bytes, int] = {}
+    number, size = TaskContext.get().partitionId() << 24, 0
+    places: dict[bytes, int] = defaultdict(count().__next__)
     texts: list[np.ndarray] = []
-    held: list[bool] = []
-    ids: list[pa.Array] = []
-    size = 0
+    ids: list = []
     id_type = None
 
-    def started() -> None:
-        nonlocal places, texts, held, ids, size
-        places, texts, held, ids, size = defaultdict(count().__next__), [], [], [], 0
-        places[END]  # noqa: B018
-
-    def rows(row: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), id_type, pa.bool_(), pa.int64(), pa.binary()]
-        given = {"row": pa.array([row] * n, pa.int32()), "chunk": pa.array([number] * n, pa.int64())} | columns
-        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(n, kind) for k, kind in zip(names, kinds, strict=True)], names)
-
-    def chunk() -> Iterator[pa.RecordBatch]:
-        every = list(places)
-        places.clear()
+    def chunk() -> pa.RecordBatch:
+        held = np.array([held_out(i) for i in ids], np.uint8)
         lengths = np.array([len(t) for t in texts], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        whole = np.concatenate([np.zeros(0, np.uint32), *texts])
-        trained = ~np.repeat(np.array(held, bool), lengths)
-        own_ids = pa.concat_arrays(ids)
-        for k in range(0, len(texts), 500):
-            n = len(texts[k : k + 500])
-            of = own_ids.slice(k, n)
-            yield rows(DOCUMENTS, n, id=of, held=pa.array(held[k : k + n]), n_tokens=pa.array(lengths[k : k + n]), packed=pa.array([_packed(t) for t in texts[k : k + n]], pa.binary()))
-        total = np.bincount(whole[trained], minlength=len(every))
-        hashes = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in every), "<u8")
-        for k in range(0, len(every), 50_000):
-            n = len(every[k : k + 50_000])
-            yield rows(WORDS, n, place=pa.array(np.arange(k, k + n, dtype=np.int32)), word=pa.array(every[k : k + n], pa.binary()), trained=pa.array(total[k : k + n], pa.int64()))
-            yield rows(HASHES, 1, place=pa.array([k], pa.int32()), packed=pa.array([_packed(hashes[k : k + n])], pa.binary()))
-        del every
-        for depth in range(1, TOKENS + 1):
-            keys = _keys(hashes, whole, starts, depth)
-            own = np.sort(keys[trained])
-            keys = _distinct(np.sort(keys))
-            times = (np.searchsorted(own, keys, "right") - np.searchsorted(own, keys)).astype(np.uint32)
-            del own
-            cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-            ends = np.append(cuts[1:], len(keys))
-            for at in range(0, 1 << bits, 256):
-                some = [b for b in range(at, min(at + 256, 1 << bits)) if cuts[b] < ends[b]]
-                lists = [_packed(np.diff(keys[cuts[b] : ends[b]], prepend=np.uint64(0))) for b in some]
-                if some:
-                    yield rows(GRAMS, len(some), place=pa.array([depth << 24 | b for b in some], pa.int32()), word=pa.array(lists, pa.binary()), packed=pa.array([_packed(times[cuts[b] : ends[b]]) for b in some], pa.binary()))
-
-    started()
+        whole = np.concatenate(texts)
+        trained = np.bincount(whole[np.repeat(held, lengths) == 0], minlength=len(places))
+        blobs = [_packed(held), _packed(lengths), _packed(whole), _joined(list(places)), _packed(trained)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "ids", "held", "lengths", "places", "words", "trained"])
+
     for batch in batches:
         id_type = batch.schema.field(0).type
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            for doc_id, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                text = value.as_py() or b""
-                tokens = text.lower().split()  # of bytes: A-Z only, ASCII white space only
-                tokens.append(END)
-                texts.append(np.fromiter(map(places.__getitem__, tokens), np.uint32, len(tokens)))
-                held.append(held_out(doc_id))
-                size += len(text)
-            ids.append(pa.array(part.column(0).to_pylist(), id_type))  # a copy: a slice would keep the batch's texts
+        for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if not texts:
+                places[END]  # noqa: B018
+            text = value.as_py() or b""
+            tokens = text.lower().split()  # of bytes: A-Z only, ASCII white space only
+            tokens.append(END)
+            texts.append(np.fromiter(map(places.__getitem__, tokens), np.uint32, len(tokens)))
+            ids.append(doc_id)
+            size += len(text)
             if size > CHUNK_BYTES:
-                yield from chunk()
-                number += 1
-                started()
+                yield chunk()
+                number, size, places, texts, ids = number + 1, 0, defaultdict(count().__next__), [], []
     if texts:
-        yield from chunk()
+        yield chunk()
     pa.default_memory_pool().release_unused()
 
 
+@dataclass
+class Chunk:
+    """A chunk's tokens. grams[d] are the distinct keys of tokens with d tokens before them, of[d] the token's place among them; for d = 0, among the chunk's words in the order of their keys."""
+
+    number: int
+    starts: np.ndarray
+    lengths: np.ndarray
+    held: np.ndarray
+    trained: np.ndarray
+    words: list[bytes]
+    grams: list[np.ndarray]
+    of: list[np.ndarray]
+
+    @classmethod
+    def read(cls, row: dict, key_bits: int) -> Chunk:
+        import xxhash
+
+        words = _words(row["words"])
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        whole = _unpacked(row["places"], np.uint32)
+        lengths = _unpacked(row["lengths"], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        cut = np.uint64(64 - key_bits)
+        grams, of = [hashes[order] >> cut], [rank[whole]]
+        own = hashes[whole]
+        out, shifted = own, own
+        for _ in range(TOKENS):
+            shifted = _before(shifted, starts, hashes[0])
+            out = _mixed(out + np.uint64(0x9E3779B97F4A7C15)) + shifted
+            distinct, places = _grouped(_mixed(out) >> cut)
+            grams.append(distinct)
+            of.append(places)
+        held = _unpacked(row["held"], np.uint8)
+        return cls(row["chunk"], starts, lengths, held, np.repeat(held, lengths) == 0, [words[i] for i in order], grams, of)
+
+    def contexts(self, counts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length d: for each token the place of the d tokens before it among grams[d - 1] and how often training has them (0 at the start of a text, but for the end that stands before it), and its own count with them."""
+        end = int(self.of[0][self.starts[0] + self.lengths[0] - 1])
+        for d in range(1, TOKENS + 1):
+            places = _before(self.of[d - 1], self.starts, end if d == 1 else 0)
+            n = counts[d - 1][places]
+            if d > 1:
+                # Two tokens before the first one would be two ends.
+                n[self.starts] = 0
+            yield d, places, n, counts[d][self.of[d]]
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """The bits of a hash key, and its leading ones that name its bucket."""
+
+    key_bits: int
+    bucket_bits: int
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Sizes:
+        """A bucket for about 4 MB of input, between 16 and a million."""
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return cls(min(64, size.bit_length() + SPARE_BITS), min(20, max(4, (size // 4_000_000).bit_length())))
+
+    def cuts(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(bucket, from, to) of sorted keys."""
+        at = np.searchsorted(keys, np.arange(1, 1 << self.bucket_bits, dtype=np.uint64) << np.uint64(self.key_bits - self.bucket_bits))
+        at = np.concatenate([[0], at, [len(keys)]])
+        return ((int(b), int(at[b]), int(at[b + 1])) for b in np.flatnonzero(at[1:] > at[:-1]))
+
+    def dealt(self, chunk: int, depth: int, keys: np.ndarray, numbers: np.ndarray, words: list[bytes] | None = None) -> pa.Table:
+        """Sorted keys (or the words that have them) and a number for each, in lists by bucket."""
+        cuts = list(self.cuts(keys))
+        lists = [_joined(words[a:b]) if words else _packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in cuts]
+        return pa.table([pa.array([chunk] * len(cuts), pa.int64()), pa.array([depth << 24 | c[0] for c in cuts], pa.int32()), pa.array(lists, pa.binary()), pa.array([_packed(numbers[a:b]) for _, a, b in cuts], pa.binary())], names=["chunk", "place", "keys", "numbers"])
+
+    def lists(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's words and n-grams with their counts in its training documents."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = Chunk.read({c: batch.column(c)[i].as_py() for c in batch.schema.names}, self.key_bits)
+                for d in range(TOKENS + 1):
+                    numbers = np.bincount(chunk.of[d][chunk.trained], minlength=len(chunk.grams[d]))
+                    yield from self.dealt(chunk.number, d, chunk.grams[d], numbers, None if d else chunk.words).to_batches()
+
+    def answered(self, chunk: Chunk, found: pa.Table, row: int, sizes: dict[int, int], kind: type) -> dict[int, np.ndarray]:
+        """By depth, the buckets' answers to a chunk's lists, in their order."""
+        rows = found.filter(pc.equal(found.column("row"), row)).sort_by("place")
+        out: dict[int, list[np.ndarray]] = {d: [np.zeros(0, kind)] for d in sizes}
+        for place, packed in zip(rows.column("place").to_pylist(), rows.column("packed"), strict=True):
+            out[place >> 24].append(_unpacked(packed.as_py(), kind))
+        joined = {d: np.concatenate(parts) for d, parts in out.items()}
+        assert {d: len(a) for d, a in joined.items()} == sizes, (chunk.number, row)
+        return joined
+
+    def counts(self, chunk: Chunk, found: pa.Table) -> list[np.ndarray]:
+        return list(self.answered(chunk, found, 0, {d: len(k) for d, k in enumerate(chunk.grams)}, np.int64).values())
+
+    def gains(self, chunks: pa.Table, found: pa.Table, total: int, distinct: int) -> pa.Table:
+        """What the chunk's own training tokens gain from each of its contexts, in lists by bucket; 0 from a context of held-out documents only."""
+        chunk = Chunk.read(chunks.to_pylist()[0], self.key_bits)
+        counts = self.counts(chunk, found)
+        own, out = chunk.trained, []
+        p = counts[0][chunk.of[0][own]] / max(total + distinct, 1)
+        for d, places, n, c in chunk.contexts(counts):
+            n, c = n[own], c[own]
+            left = (c - 1 + PRIOR[d - 1] * p) / (np.maximum(n - 1, 0) + PRIOR[d - 1])
+            gain = np.where(n >= LEAST_CONTEXT, np.rint(UNIT * np.log(left / p)), 0)
+            gained = _added(places[own], gain, len(chunk.grams[d - 1]))
+            out.append(self.dealt(chunk.number, d, *(a[self.judged(counts[d - 1])] for a in (chunk.grams[d - 1], gained))))
+            p = np.where(n >= LEAST_CONTEXT, left, p)
+        return pa.concat_tables(out)
+
+    @staticmethod
+    def judged(counts: np.ndarray) -> np.ndarray:
+        """Which n-grams are asked about as contexts; the rest is none."""
+        return counts >= LEAST_CONTEXT
+
+    def scores(self, chunks: pa.Table, found: pa.Table, total: int, distinct: int) -> pa.Table:
+        chunk = Chunk.read(chunks.drop_columns(["ids"]).to_pylist()[0], self.key_bits)
+        counts = self.counts(chunk, found)
+        judged = [self.judged(counts[d]) for d in range(TOKENS)]
+        flags = self.answered(chunk, found, 1, {d + 1: int(j.sum()) for d, j in enumerate(judged)}, np.uint8)
+        c = counts[0]
+        # Natural logarithms: a long word's probability can be too small for a float.
+        root = np.log(c / (total + distinct), out=np.full(len(c), np.nan), where=c > 0)
+        spelled = found.filter(pc.equal(found.column("row"), 2))
+        trees = dict(zip(spelled.column("word").to_pylist(), spelled.column("tree").to_pylist(), strict=True))
+        unseen = np.flatnonzero(c == 0)
+        root[unseen] = np.fromiter((trees[chunk.words[i]] for i in unseen), float, len(unseen)) + (np.log(distinct / (total + distinct)) if total else 0.0)
+        p = root[chunk.of[0]]
+        score = p
+        for d, places, n, own in chunk.contexts(counts):
+            kept = np.zeros(len(judged[d - 1]), bool)
+            kept[judged[d - 1]] = flags[d] > 0
+            is_context = n >= LEAST_CONTEXT
+            logs = np.log(own, out=np.full(len(own), -np.inf), where=own > 0)
+            p = np.where(is_context, np.logaddexp(logs, p + np.log(PRIOR[d - 1])) - np.log(n + PRIOR[d - 1]), p)
+            score = np.where(is_context & kept[places], p, score)
+        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
+        sums = [np.add.reduceat(x, chunk.starts) for x in ((c > 0)[chunk.of[0]].astype(np.int64), base[chunk.of[0]], score)]
+        size = len(chunk.starts)
+        columns = [chunks.column("ids").combine_chunks().flatten(), pa.array(chunk.held == 1), pa.array(chunk.lengths), pa.array(sums[0]), pa.array([total] * size, pa.int64()), pa.array(sums[1]), pa.array(sums[2] / np.log(10))]
+        return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def _parts(table: pa.Table, kind: type) -> tuple[list, np.ndarray, np.ndarray]:
+    """The numbers of a bucket's lists, all together, and where each list begins and ends."""
+    numbers = [_unpacked(x.as_py(), kind) for x in table.column("numbers")]
+    return np.concatenate(numbers), np.cumsum([0, *map(len, numbers)])
+
+
+def _key_lists(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """For each list of a bucket the counts of its keys over all chunks, in the same order. Of words, also those of the list that training does not have, and a row with the bucket's vocabulary."""
+    numbers, ends = _parts(table, np.int64)
+    vocabulary: list[bytes] = []
+    unknown: list[list[bytes] | None] = [None] * table.num_rows
+    if table.column("place")[0].as_py() >> 24 == 0:
+        words = [w for x in table.column("keys") for w in _words(x.as_py())]
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        of = coded.indices.to_numpy()
+        sums = _added(of, numbers, len(coded.dictionary))
+        unknown = [[words[i] for i in range(a, b) if sums[of[i]] == 0] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        vocabulary = coded.dictionary.filter(pa.array(sums > 0)).to_pylist()
+    else:
+        distinct, of = _grouped(_key_lists(table))
+        sums = _added(of, numbers, len(distinct))
+    found = sums[of]
+    rows = {
+        "chunk": table.column("chunk").to_pylist(),
+        "place": table.column("place").to_pylist(),
+        "packed": [_packed(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)],
+        "unknown": unknown,
+        "vocabulary": [None] * table.num_rows,
+        "n": [None] * table.num_rows,
+        "v": [None] * table.num_rows,
+    }
+    if vocabulary:
+        for name, value in zip(rows, (None, None, None, None, _joined(vocabulary), int(sums.sum()), len(vocabulary)), strict=True):
+            rows[name].append(value)
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+
+def _retained(table: pa.Table) -> pa.Table:
+    """For each list of a bucket which of its contexts gain enough over all chunks."""
+    numbers, ends = _parts(table, np.int64)
+    distinct, of = _grouped(_key_lists(table))
+    kept = (_added(of, numbers, len(distinct)) >= UNIT * LEAST_GAIN)[of].astype(np.uint8)
+    return pa.table([table.column("chunk"), table.column("place"), pa.array([_packed(kept[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["chunk", "place", "packed"])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(_words(data.as_py()), pa.binary())], ["word"])
+
+
 def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol of each word, the DEPTH bytes before it and itself as one number, and the word's place. Before the word stand a blank and zeros."""
     pad = b"\0" * (DEPTH - 1) + b" "
@@ -297,174 +422,109 @@ def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code, of
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The codes of words with their occurrences, added up as far as memory allows."""
     codes, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def merged(c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(c, kind="stable")
-        c, s = c[order], s[order]
-        first = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
-        return c[first], np.add.reduceat(s, first) if len(c) else s
-
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], ["code", "c"])
 
     for batch in batches:
-        code, of = windows(batch.column(0).to_pylist())
-        c, s = merged(code, batch.column(1).to_numpy()[of])
-        codes, sums = merged(np.append(codes, c), np.append(sums, s))
-        if len(codes) > 2_000_000:
-            yield out()
-            codes, sums = codes[:0], sums[:0]
+        for k in range(0, batch.num_rows, BLOCK_WORDS):
+            code, _ = windows(batch.column(0).slice(k, BLOCK_WORDS).to_pylist())
+            every, of = _grouped(np.append(codes, code))
+            codes, sums = every, _added(of, np.append(sums, np.ones(len(code), np.int64)), len(every))
+            if len(codes) > 2_000_000:
+                yield out()
+                codes, sums = codes[:0], sums[:0]
     yield out()
 
 
-def levels(counts: DataFrame) -> list[DataFrame]:
-    """For each depth of contexts, from 0: (gram long, c, n, d long, kept boolean), gram being a context and the symbol after it.
+@dataclass
+class Level:
+    """Contexts of one length, in order, with their occurrences n, different next bytes d and whether they are kept; grams are contexts with the next byte, with their occurrences c and share of the context."""
 
-    c are the gram's occurrences, n those of its context, d the different symbols after it. Grams of words without
-    a count are there with c = 0. Everything is joined and grouped by grams and contexts, none of which has more
-    than 256 neighbours, so the tree stays dealt out whatever its size.
-    """
-    grams = stored(counts.mapInArrow(_grams, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "grams")
-    out: list[DataFrame] = []
-    for k in range(DEPTH, -1, -1):
-        of = F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1)
-        context = Window.partitionBy(F.shiftright("gram", 8))
-        level = grams.groupBy(of.alias("gram")).agg(F.sum("c").alias("c"))
-        out.append(level.withColumns({"n": F.sum("c").over(context), "d": F.count(F.when(F.col("c") > 0, 1)).over(context)}))
-    out.reverse()
-    kept = [stored(out[0].withColumn("kept", F.lit(True)), "level")]
-    for k in range(1, DEPTH + 1):
-        shorter = kept[-1].select(F.col("gram").alias("of"), F.try_divide("c", "n").alias("q"))
-        gain = F.when(F.col("c") > 0, F.col("c") * F.log(F.try_divide(F.try_divide("c", "n"), F.col("q")))).otherwise(0.0)
-        joined = out[k].join(shorter, F.col("gram").bitwiseAND((1 << 8 * k) - 1) == F.col("of"))
-        test = (F.col("n") >= LEAST_COUNT) & (F.sum(gain).over(Window.partitionBy(F.shiftright("gram", 8))) >= LEAST_GAIN)
-        kept.append(stored(joined.withColumn("kept", test).select("gram", "c", "n", "d", "kept"), "level"))
-    released(grams)
-    return kept
-
-
-def word_scores(counts: DataFrame) -> DataFrame:
-    """(word, c, tree): counts (word binary, c long) with each word's log10 probability by the tree of those with c > 0, which is not collected."""
-    p = None
-    for k, level in enumerate(levels(counts)):
-        if p is None:
-            joined = level.withColumn("q", F.lit(1 / 256))
-        else:
-            joined = level.join(p.select(F.col("gram").alias("of"), F.col("p").alias("q")), F.col("gram").bitwiseAND((1 << 8 * k) - 1) == F.col("of"))
-        whole = F.col("n") + F.col("d")
-        p = joined.select("gram", F.when(F.col("kept") & (whole > 0), F.try_divide(F.col("c") + F.col("d") * F.col("q"), whole)).otherwise(F.col("q")).alias("p"))
-    blocks = stored(counts.mapInArrow(_blocks, "block long, word binary, c long, code long"), "blocks")
-    needed = blocks.where("code is not null").select("block", "code").join(p, F.col("code") == F.col("gram")).select("block", "code", "p")
-    words = blocks.where("word is not null").select(F.col("block").alias("of_block"), "word", "c")
+    grams: np.ndarray
+    c: np.ndarray
+    share: np.ndarray
+    contexts: np.ndarray
+    n: np.ndarray
+    d: np.ndarray
+    kept: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, times: np.ndarray, length: int, shorter: Level | None) -> Level:
+        grams, of = _grouped(codes & ((1 << 8 * (length + 1)) - 1))
+        c = _added(of, times, len(grams))
+        contexts, of = _grouped(grams >> 8)
+        n, d = _added(of, c, len(contexts)), np.bincount(of, minlength=len(contexts))
+        share = c / n[of]
+        if shorter is None:
+            return cls(grams, c, share, contexts, n, d, np.ones(len(contexts), bool))
+        parent = shorter.share[np.searchsorted(shorter.grams, grams & ((1 << 8 * length) - 1))]
+        gain = np.bincount(of, c * np.log(share / parent), len(contexts))
+        return cls(grams, c, share, contexts, n, d, (n >= LEAST_COUNT) & (gain >= LEAST_BYTE_GAIN))
+
+    def smoothed(self, codes: np.ndarray, length: int, p: np.ndarray) -> np.ndarray:
+        """Probabilities of the last byte of codes by this length's contexts, p being those by shorter ones."""
+        if not len(self.grams):
+            return p
+        wanted = codes & ((1 << 8 * (length + 1)) - 1)
+        at = np.minimum(np.searchsorted(self.contexts, wanted >> 8), len(self.contexts) - 1)
+        is_kept = (self.contexts[at] == wanted >> 8) & self.kept[at]
+        gram = np.minimum(np.searchsorted(self.grams, wanted), len(self.grams) - 1)
+        c = np.where(self.grams[gram] == wanted, self.c[gram], 0)
+        return np.where(is_kept, (c + self.d[at] * p) / (self.n[at] + self.d[at]), p)
+
+
+def spelling(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, tree): for each of asked (word binary) the natural logarithm of its probability by the bytes of vocabulary (word binary, each once)."""
+    codes = stored(vocabulary.mapInArrow(_codes, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")), "codes")
+    # Pairs of bytes: 65,536 rows at most. The rest of the tree is below one pair of context bytes each.
+    pairs = codes.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+    code, c = (pairs.column(k).to_numpy().astype(np.int64) for k in ("code", "c"))
+    root = Level.of(code, c, 0, None)
+    first = Level.of(code, c, 1, root)
+    groups = max(1, int(pc.sum(pairs.column("n")).as_py() or 0) // GROUP_CODES)
+    group = F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND(0xFFFF)), F.lit(groups))
+
+    def evaluated(trained: pa.Table, wanted: pa.Table) -> pa.Table:
+        codes, times = (trained.column(k).to_numpy() for k in ("code", "c"))
+        asked = wanted.column("code").to_numpy()
+        levels = [root, first]
+        # A group has all codes of its pairs: counts of contexts of two bytes and more are whole.
+        p = np.full(len(asked), 1 / 256)
+        for length in range(DEPTH + 1):
+            if length > 1:
+                levels.append(Level.of(codes, times, length, levels[-1]))
+            p = levels[length].smoothed(asked, length, p)
+        return pa.table([wanted.column("block"), wanted.column("code"), pa.array(np.log(p))], names=["block", "code", "p"])
+
+    blocks = stored(asked.mapInArrow(_blocks, "block long, word binary, code long"), "blocks")
+    wanted = blocks.where("code is not null").select("block", "code")
+    valued = codes.groupBy(group).cogroup(wanted.groupBy(group)).applyInArrow(evaluated, "block long, code long, p double")
 
     def summed(words: pa.Table, found: pa.Table) -> pa.Table:
         order = np.argsort(found.column("code").to_numpy())
-        known, logs = found.column("code").to_numpy()[order], np.log10(found.column("p").to_numpy()[order])
-        codes, of = windows(words.column("word").to_pylist())
-        at = np.searchsorted(known, codes)
-        assert (known[at] == codes).all()
-        return pa.table([words.column("word"), words.column("c"), pa.array(np.bincount(of, logs[at], words.num_rows))], names=["word", "c", "tree"])
+        known, logs = found.column("code").to_numpy()[order], found.column("p").to_numpy()[order]
+        code, of = windows(words.column("word").to_pylist())
+        at = np.searchsorted(known, code)
+        assert (known[at] == code).all()
+        return pa.table([words.column("word"), pa.array(np.bincount(of, logs[at], words.num_rows))], names=["word", "tree"])
 
-    return words.groupBy("of_block").cogroup(needed.groupBy("block")).applyInArrow(summed, "word binary, c long, tree double")
+    words = blocks.where("word is not null").select(F.col("block").alias("of_block"), "word")
+    return words.groupBy("of_block").cogroup(valued.groupBy("block")).applyInArrow(summed, "word binary, tree double")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words in blocks, and after each block its different codes."""
     from pyspark import TaskContext
 
-    number, words = TaskContext.get().partitionId() << 24, 0
-    codes = np.zeros(0, np.int64)
-
-    def wanted() -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(codes), 100_000):
-            part = codes[k : k + 100_000]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(part)], ["block", "word", "c", "code"])
-
+    number = TaskContext.get().partitionId() << 24
     for batch in batches:
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), batch.column(0), batch.column(1), pa.nulls(n, pa.int64())], ["block", "word", "c", "code"])
-        codes = np.union1d(codes, windows(batch.column(0).to_pylist())[0])
-        words += n
-        if words >= BLOCK_WORDS:
-            yield from wanted()
-            number, words, codes = number + 1, 0, codes[:0]
-    if words:
-        yield from wanted()
-
-
-def suffix_tree(counts: DataFrame) -> SuffixTree:
-    """The model of a vocabulary (word binary, c long) in memory: all of word_scores()' tree, but for contexts below LEAST_SHARE of all symbols, so that a large one fits. It shows and checks the tree; scoring does not use it."""
-    found = levels(counts)
-    total = found[0].agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    rows = [level.where(F.col("kept") & (F.col("c") > 0) & (F.lit(k == 0) | (F.col("n") >= LEAST_SHARE * total))).select(F.lit(k).cast("long").alias("k"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "c", "n") for k, level in enumerate(found)]
-    rows = reduce(DataFrame.unionByName, rows).toArrow()
-    return SuffixTree.of(*(rows.column(c).to_numpy() for c in ("k", "context", "symbol", "c", "n")))
-
-
-@dataclass
-class SuffixTree:
-    """States by depth: contexts in order, with the state's number. shares[state, symbol] are in two sorted arrays; rest is the share that the parent gives."""
-
-    contexts: list[np.ndarray]
-    states: list[np.ndarray]
-    parent: np.ndarray
-    rest: np.ndarray
-    keys: np.ndarray
-    shares: np.ndarray
-
-    @classmethod
-    def of(cls, k: np.ndarray, context: np.ndarray, symbol: np.ndarray, c: np.ndarray, n: np.ndarray) -> SuffixTree:
-        order = np.lexsort((symbol, context, k))
-        k, context, symbol, c, n = (x[order] for x in (k, context, symbol, c, n))
-        new = np.append(True, (k[1:] != k[:-1]) | (context[1:] != context[:-1])) if len(k) else np.zeros(0, bool)
-        if not len(k) or k[0] != 0:  # the root is always there
-            k, context, symbol, c, n, new = (np.append(v, x) for v, x in ((0, k), (0, context), (0, symbol), (0, c), (0, n), (True, new)))
-        state = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        depth, ctx, size = k[first], context[first], n[first].astype(float)
-        distinct = np.bincount(state, c > 0).astype(float)
-        held = np.bincount(state, c)
-        whole = size + distinct
-        contexts = [ctx[depth == d] for d in range(DEPTH + 1)]
-        states = [np.flatnonzero(depth == d) for d in range(DEPTH + 1)]
-        number = {(int(d), int(x)): i for i, (d, x) in enumerate(zip(depth, ctx, strict=True))}
-        parent = np.full(len(first), -1)
-        for i in range(1, len(first)):
-            d = int(depth[i]) - 1
-            while (d, int(ctx[i]) & ((1 << 8 * d) - 1)) not in number:
-                d -= 1
-            parent[i] = number[d, int(ctx[i]) & ((1 << 8 * d) - 1)]
-        safe = np.where(whole > 0, whole, 1)
-        return cls(contexts, states, parent, np.where(whole > 0, (size - held + distinct) / safe, 1.0), state * 256 + symbol, c / safe[state])
-
-    def probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Of the last symbol of each code, after the bytes before it."""
-        state = np.full(len(codes), -1)
-        for d in range(DEPTH, -1, -1):
-            left = np.flatnonzero(state < 0)
-            if len(self.contexts[d]):
-                wanted = codes[left] >> 8 & ((1 << 8 * d) - 1)
-                at = np.minimum(np.searchsorted(self.contexts[d], wanted), len(self.contexts[d]) - 1)
-                hit = self.contexts[d][at] == wanted
-                state[left[hit]] = self.states[d][at[hit]]
-        out, weight, symbol = np.zeros(len(codes)), np.ones(len(codes)), codes & 255
-        live = np.arange(len(codes))
-        while len(live):
-            key = state[live] * 256 + symbol[live]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[live] += weight[live] * np.where(self.keys[at] == key, self.shares[at], 0.0)
-            weight[live] *= self.rest[state[live]]
-            state[live] = self.parent[state[live]]
-            live = live[state[live] >= 0]
-        return out + weight / 256
-
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        """log10 probabilities of whole words."""
-        if not words:
-            return np.zeros(0)
-        codes, of = windows(words)
-        distinct, inverse = np.unique(codes, return_inverse=True)
-        return np.bincount(of, np.log10(self.probabilities(distinct))[inverse], len(words))
+        for k in range(0, batch.num_rows, BLOCK_WORDS):
+            words = batch.column(0).slice(k, BLOCK_WORDS)
+            codes = np.unique(windows(words.to_pylist())[0])
+            for n, word, code in ((len(words), words, None), (len(codes), None, codes)):
+                yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), pa.nulls(n, pa.binary()) if word is None else word, pa.nulls(n, pa.int64()) if code is None else pa.array(code)], ["block", "word", "code"])
+            number += 1

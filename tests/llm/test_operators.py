@@ -445,20 +445,82 @@ def test_base_scores_equal_brute_force(spark, docs, no_docs, monkeypatch, chunk)
     assert lm_score.score_documents(no_docs).count() == 0
 
 
-def test_tree_is_a_distribution_and_uses_longest_contexts(spark):
+def plain_spelling(vocabulary, asked):
+    """The natural logarithms of asked words' probabilities by a byte tree of dictionaries, and the distribution after a context."""
+    symbols = lambda w: [((b"\0" * (lm_score.DEPTH - 1) + b" " + w)[: lm_score.DEPTH + k][-lm_score.DEPTH :], s) for k, s in enumerate(w + b" " if w else b"\n")]
+    levels = [defaultdict(Counter) for _ in range(lm_score.DEPTH + 1)]
+    for w in vocabulary:
+        for context, s in symbols(w):
+            for k, level in enumerate(levels):
+                level[context[len(context) - k :]][s] += 1
+
+    def kept(context):
+        own = levels[len(context)].get(context)
+        if not own or not context:
+            return own
+        n, shorter = sum(own.values()), levels[len(context) - 1][context[1:]]
+        gain = sum(c * math.log(c / n * sum(shorter.values()) / shorter[s]) for s, c in own.items())
+        return own if n >= lm_score.LEAST_COUNT and gain >= lm_score.LEAST_BYTE_GAIN else None
+
+    def p(context, s):
+        out = 1 / 256
+        for k in range(lm_score.DEPTH + 1):
+            if own := kept(context[len(context) - k :]):
+                out = (own[s] + len(own) * out) / (sum(own.values()) + len(own))
+        return out
+
+    return {w: sum(math.log(p(*x)) for x in symbols(w)) for w in asked}, p
+
+
+def plain_model(texts, trained):
+    """Each text's log10 probability by token contexts in dictionaries; texts and trained are lists of words and booleans."""
+    rows = [[b"", b"", *t, b""] for t in texts]
+    grams = [Counter(tuple(t[k - d : k + 1]) for t, own in zip(rows, trained) if own for k in range(2, len(t))) for d in range(3)]
+    total, distinct = sum(grams[0].values()), len(grams[0])
+    spelled, _ = plain_spelling([w for (w,) in grams[0]], {w for t in rows for w in t})
+    root = lambda w: grams[0][(w,)] / (total + distinct) if (w,) in grams[0] else math.exp(spelled[w]) * (distinct / (total + distinct) if total else 1)
+
+    def contexts(t, k):
+        """Of the token k by length: the context and how often training has it."""
+        return [(d, tuple(t[k - d : k]), (grams[0][(t[k - 1],)], grams[1][tuple(t[k - 2 : k])] if k > 2 else 0)[d - 1]) for d in (1, 2)]
+
+    gains = Counter()
+    for t, own in zip(rows, trained):
+        for k in range(2, len(t) if own else 0):
+            p = root(t[k])
+            for d, context, n in contexts(t, k):
+                if n >= lm_score.LEAST_CONTEXT:
+                    q = (grams[d][(*context, t[k])] - 1 + lm_score.PRIOR[d - 1] * p) / (n - 1 + lm_score.PRIOR[d - 1])
+                    gains[context] += round(lm_score.UNIT * math.log(q / p))
+                    p = q
+    out = []
+    for t in rows:
+        score = 0.0
+        for k in range(2, len(t)):
+            state = p = root(t[k])
+            for d, context, n in contexts(t, k):
+                if n >= lm_score.LEAST_CONTEXT:
+                    p = (grams[d][(*context, t[k])] + lm_score.PRIOR[d - 1] * p) / (n + lm_score.PRIOR[d - 1])
+                    state = p if gains[context] >= lm_score.UNIT * lm_score.LEAST_GAIN else state
+            score += math.log10(state)
+        out.append(score)
+    return out, gains
+
+
+def test_spelling_is_a_distribution_and_equals_a_plain_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP_CODES", 300)
     rng = random.Random(13)
-    words = Counter("".join(rng.choice(["ba", "na", "ki"]) for _ in range(rng.randint(1, 4))).encode() for _ in range(3000))
-    words[b""] = 200
-    tree = lm_score.suffix_tree(spark.createDataFrame([(bytearray(w), n) for w, n in words.items()], "word binary, c long"))
-    for before in (b" ", b" ba", b" bana", b" zz", b"qqqqqqqq"):
-        code = 0
-        for b in before[-lm_score.DEPTH :]:
-            code = code << 8 | b
-        p = tree.probabilities(np.array([code << 8 | s for s in range(256)], np.int64))
-        assert p.sum() == pytest.approx(1) and (p > 0).all()
-    assert tree.scores([b"bana"])[0] > tree.scores([b"abna"])[0] + 3
-    assert len(tree.contexts[1]) and sum(map(len, tree.contexts)) <= 1 + lm_score.DEPTH / lm_score.LEAST_SHARE
-    assert lm_score.SuffixTree.of(*(np.zeros(0, np.int64) for _ in range(5))).scores([b"a"])[0] == pytest.approx(2 * math.log10(1 / 256))
+    words = {"".join(rng.choice(["ba", "na", "ki", "é"]) for _ in range(rng.randint(1, 6))).encode() for _ in range(3000)}
+    asked = {b"bana", b"abna", b"zz", b"", "éba".encode(), b"x" * 700, *list(words)[:5]}
+    frame = lambda ws: spark.createDataFrame([(bytearray(w),) for w in ws], "word binary").repartition(3)
+    got = {bytes(r.word): r.tree for r in lm_score.spelling(frame(words), frame(asked)).collect()}
+    expected, p = plain_spelling(words, asked)
+    assert got.keys() == expected.keys() and all(got[w] == pytest.approx(expected[w]) for w in asked)
+    assert got[b"bana"] > got[b"abna"] + 3
+    for context in (b"\0\0\0\0 ", b"\0\0 ba", b" bana", b"qqqqq"):
+        assert sum(p(context, s) for s in range(256)) == pytest.approx(1)
+    nothing = {bytes(r.word): r.tree for r in lm_score.spelling(frame([]), frame([b"a"])).collect()}
+    assert nothing[b"a"] == pytest.approx(2 * math.log(1 / 256))
 
 
 def test_model_beats_even_letters_on_held_out_texts(spark):
@@ -469,41 +531,31 @@ def test_model_beats_even_letters_on_held_out_texts(spark):
 
 
 @pytest.mark.parametrize("chunk", [100, 32_000_000])
-def test_score_conditions_tokens_on_those_before(spark, monkeypatch, chunk):
+def test_score_equals_a_plain_suffix_tree(spark, monkeypatch, chunk):
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", chunk)
     rng, ring = random.Random(19), ["ant", "bee", "cow", "dog", "elk", "fox", "gnu", "hen"]
     held = [i for i in range(400) if lm_score.held_out(i)]
-    starts = [rng.randrange(8) for _ in range(400)]
-    texts = {i: [ring[(s + k) % 8] for k in range(24)] for i, s in enumerate(starts)}
+    texts = [[ring[(s + k) % 8] if rng.random() < 0.9 else rng.choice([*ring, f"w{rng.randrange(500)}"]) for k in range(24)] for s in (rng.randrange(8) for _ in range(400))]
+    texts[held[0]] = [ring[k % 8] for k in range(24)]
     texts[held[1]] = rng.sample(texts[held[0]], 24)
-    got = {r.doc_id: r for r in lm_score.score_documents(documents(spark, [" ".join(texts[i]) for i in range(400)])).collect()}
+    texts[held[2]], texts[held[3]] = [], ["zebra", "x" * 40]
+    got = {r.doc_id: r for r in lm_score.score_documents(documents(spark, [" ".join(t) for t in texts]).repartition(3)).collect()}
+    expected, gains = plain_model([[w.encode() for w in t] for t in texts], [i not in held for i in range(400)])
+    assert [got[i].score for i in range(400)] == pytest.approx(expected)
+    of_two = [g for context, g in gains.items() if len(context) == 2]
+    assert min(of_two) < 0 < lm_score.UNIT * lm_score.LEAST_GAIN < max(of_two)  # some are retained and some not
     fluent, salad = got[held[0]], got[held[1]]
-    assert fluent.held_out and salad.held_out and fluent.base_score == pytest.approx(salad.base_score)
-    assert fluent.score > salad.score + 10
-    train = [[b"", b""] + [w.encode() for w in texts[i]] + [b""] for i in texts if i not in held]
-    grams = [Counter(tuple(t[k - d : k + 1]) for t in train for k in range(2, len(t))) for d in range(3)]
-    n, v = sum(grams[0].values()), len(grams[0])
-    tree = lm_score.suffix_tree(spark.createDataFrame([(bytearray(w), c) for (w,), c in grams[0].items()], "word binary, c long"))
-    for i in held[:2]:
-        t, total = [b"", b""] + [w.encode() for w in texts[i]] + [b""], 0.0
-        for k in range(2, len(t)):
-            p = (max(grams[0][(t[k],)] - 0.5, 0) + 0.5 * v * 10 ** tree.scores([t[k]])[0]) / n
-            for d in (1, 2):
-                context = grams[0][(t[k - 1],)] if d == 1 else grams[1][tuple(t[k - 2 : k])] if k > 2 else 0
-                if context >= lm_score.LEAST_CONTEXT:
-                    p = (grams[d][tuple(t[k - d : k + 1])] + lm_score.PRIOR[d - 1] * p) / (context + lm_score.PRIOR[d - 1])
-            total += math.log10(p)
-        assert got[i].score == pytest.approx(total)
-
-
-def test_tree_keeps_contexts_of_a_small_share(spark):
-    rng = random.Random(23)
-    words = Counter("".join(rng.choice(["zu", "xo", "qy"]) for _ in range(3)).encode() for _ in range(400))
-    asked = {b"the": 10**9, b"of": 10**9, b"xozuqyxo": 0, b"uzoxyqox": 0, b"": 10**6}
-    got = {bytes(r.word): r.tree for r in lm_score.word_scores(spark.createDataFrame([(bytearray(w), n) for w, n in (words | asked).items()], "word binary, c long")).collect()}
-    assert set(got) == set(words) | set(asked)
-    # Each second letter follows from the first, though the words are less than a millionth of the corpus.
-    assert got[b"xozuqyxo"] > got[b"uzoxyqox"] + 10
+    assert fluent.base_score == pytest.approx(salad.base_score) and fluent.score > salad.score + 10
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(120)]
+    ids = [i for i in range(120) if not lm_score.held_out(i)]
+    texts[ids[1]] = texts[ids[0]]
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_score.score_documents(documents(spark, texts)).collect()}
+    assert min(got[ids[0]], got[ids[1]]) > max(got[i] for i in range(120) if i not in ids[:2]) + 1
 
 
 # All operators: nulls in every column, and rows that repeat
