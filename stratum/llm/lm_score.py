@@ -46,7 +46,7 @@ TOKENS, LEAST_CONTEXT, LEAST_GAIN, PRIOR = 2, 2, 2.0, (100.0, 10.0)
 UNIT = 64
 #: The same for the tree over bytes.
 DEPTH, LEAST_COUNT, LEAST_BYTE_GAIN = 5, 10, 3.0
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 #: Unknown words that are spelled together, and distinct strings of bytes of a group.
 BLOCK_WORDS, GROUP_CODES = 100_000, 200_000
 #: The end of a text as a word; no real word is empty.
@@ -146,8 +146,8 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     ordered = keys[order]
     new = np.append(True, ordered[1:] != ordered[:-1]) if len(keys) else np.zeros(0, bool)
-    of = np.empty(len(keys), np.int64)
-    of[order] = np.cumsum(new) - 1
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
     return ordered[new], of
 
 
@@ -209,7 +209,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Chunk:
-    """A chunk's tokens. grams[d] are the distinct keys of tokens with d tokens before them, of[d] the token's place among them; for d = 0, among the chunk's words in the order of their keys."""
+    """A chunk's tokens, as places in its list of words, which is in the order of their keys."""
 
     number: int
     starts: np.ndarray
@@ -217,44 +217,43 @@ class Chunk:
     held: np.ndarray
     trained: np.ndarray
     words: list[bytes]
-    grams: list[np.ndarray]
-    of: list[np.ndarray]
+    hashes: np.ndarray
+    places: np.ndarray
+    end: int
 
     @classmethod
-    def read(cls, row: dict, key_bits: int) -> Chunk:
+    def read(cls, row: dict) -> Chunk:
         import xxhash
 
         words = _words(row["words"])
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        whole = _unpacked(row["places"], np.uint32)
-        lengths = _unpacked(row["lengths"], np.int64)
-        starts = np.cumsum(lengths) - lengths
         order = np.argsort(hashes)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        lengths, held = _unpacked(row["lengths"], np.int64), _unpacked(row["held"], np.uint8)
+        return cls(row["chunk"], np.cumsum(lengths) - lengths, lengths, held, np.repeat(held, lengths) == 0, [words[i] for i in order], hashes[order], rank[_unpacked(row["places"], np.uint32)], int(rank[0]))
+
+    def grams(self, key_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """From words on, by the tokens before: the distinct keys in order, and for each token the place of its own."""
         cut = np.uint64(64 - key_bits)
-        grams, of = [hashes[order] >> cut], [rank[whole]]
-        own = hashes[whole]
-        out, shifted = own, own
+        yield self.hashes >> cut, self.places
+        out = shifted = self.hashes[self.places]
         for _ in range(TOKENS):
-            shifted = _before(shifted, starts, hashes[0])
+            shifted = _before(shifted, self.starts, self.hashes[self.end])
             out = _mixed(out + np.uint64(0x9E3779B97F4A7C15)) + shifted
-            distinct, places = _grouped(_mixed(out) >> cut)
-            grams.append(distinct)
-            of.append(places)
-        held = _unpacked(row["held"], np.uint8)
-        return cls(row["chunk"], starts, lengths, held, np.repeat(held, lengths) == 0, [words[i] for i in order], grams, of)
-
-    def contexts(self, counts: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """By length d: for each token the place of the d tokens before it among grams[d - 1] and how often training has them (0 at the start of a text, but for the end that stands before it), and its own count with them."""
-        end = int(self.of[0][self.starts[0] + self.lengths[0] - 1])
-        for d in range(1, TOKENS + 1):
-            places = _before(self.of[d - 1], self.starts, end if d == 1 else 0)
-            n = counts[d - 1][places]
-            if d > 1:
-                # Two tokens before the first one would be two ends.
-                n[self.starts] = 0
-            yield d, places, n, counts[d][self.of[d]]
+            yield _grouped(_mixed(out) >> cut)
+
+    def contexts(self, key_bits: int, answers: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length: the keys that contexts can have and how often training has them; for each token the place of its context among them, how often training has that (0 where it would begin before a text's start, but for the end that stands there), and the token with it."""
+        shorter = None
+        for d, (keys, of) in enumerate(self.grams(key_bits)):
+            counts = answers[d]
+            if shorter:
+                n = (before := shorter[1])[places := _before(shorter[2], self.starts, self.end if d == 1 else 0)]
+                if d > 1:
+                    n[self.starts] = 0
+                yield shorter[0], before, places, n, counts[of]
+            shorter = keys, counts, of
 
 
 @dataclass(frozen=True)
@@ -286,67 +285,54 @@ class Sizes:
         """A chunk's words and n-grams with their counts in its training documents."""
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk = Chunk.read({c: batch.column(c)[i].as_py() for c in batch.schema.names}, self.key_bits)
-                for d in range(TOKENS + 1):
-                    numbers = np.bincount(chunk.of[d][chunk.trained], minlength=len(chunk.grams[d]))
-                    yield from self.dealt(chunk.number, d, chunk.grams[d], numbers, None if d else chunk.words).to_batches()
+                chunk = Chunk.read({c: batch.column(c)[i].as_py() for c in batch.schema.names})
+                for d, (keys, of) in enumerate(chunk.grams(self.key_bits)):
+                    yield from self.dealt(chunk.number, d, keys, np.bincount(of[chunk.trained], minlength=len(keys)), None if d else chunk.words).to_batches()
 
-    def answered(self, chunk: Chunk, found: pa.Table, row: int, sizes: dict[int, int], kind: type) -> dict[int, np.ndarray]:
+    @staticmethod
+    def answered(found: pa.Table, row: int, kind: type) -> dict[int, np.ndarray]:
         """By depth, the buckets' answers to a chunk's lists, in their order."""
         rows = found.filter(pc.equal(found.column("row"), row)).sort_by("place")
-        out: dict[int, list[np.ndarray]] = {d: [np.zeros(0, kind)] for d in sizes}
+        out: dict[int, list[np.ndarray]] = {d: [np.zeros(0, kind)] for d in range(TOKENS + 1)}
         for place, packed in zip(rows.column("place").to_pylist(), rows.column("packed"), strict=True):
             out[place >> 24].append(_unpacked(packed.as_py(), kind))
-        joined = {d: np.concatenate(parts) for d, parts in out.items()}
-        assert {d: len(a) for d, a in joined.items()} == sizes, (chunk.number, row)
-        return joined
-
-    def counts(self, chunk: Chunk, found: pa.Table) -> list[np.ndarray]:
-        return list(self.answered(chunk, found, 0, {d: len(k) for d, k in enumerate(chunk.grams)}, np.int64).values())
+        return {d: np.concatenate(parts) for d, parts in out.items()}
 
     def gains(self, chunks: pa.Table, found: pa.Table, total: int, distinct: int) -> pa.Table:
         """What the chunk's own training tokens gain from each of its contexts, in lists by bucket; 0 from a context of held-out documents only."""
-        chunk = Chunk.read(chunks.to_pylist()[0], self.key_bits)
-        counts = self.counts(chunk, found)
+        chunk = Chunk.read(chunks.to_pylist()[0])
+        answers = self.answered(found, 0, np.int64)
         own, out = chunk.trained, []
-        p = counts[0][chunk.of[0][own]] / max(total + distinct, 1)
-        for d, places, n, c in chunk.contexts(counts):
+        p = answers[0][chunk.places[own]] / max(total + distinct, 1)
+        for d, (keys, times, places, n, c) in enumerate(chunk.contexts(self.key_bits, answers), 1):
             n, c = n[own], c[own]
             left = (c - 1 + PRIOR[d - 1] * p) / (np.maximum(n - 1, 0) + PRIOR[d - 1])
             gain = np.where(n >= LEAST_CONTEXT, np.rint(UNIT * np.log(left / p)), 0)
-            gained = _added(places[own], gain, len(chunk.grams[d - 1]))
-            out.append(self.dealt(chunk.number, d, *(a[self.judged(counts[d - 1])] for a in (chunk.grams[d - 1], gained))))
+            asked = times >= LEAST_CONTEXT
+            out.append(self.dealt(chunk.number, d, keys[asked], _added(places[own], gain, len(keys))[asked]))
             p = np.where(n >= LEAST_CONTEXT, left, p)
         return pa.concat_tables(out)
 
-    @staticmethod
-    def judged(counts: np.ndarray) -> np.ndarray:
-        """Which n-grams are asked about as contexts; the rest is none."""
-        return counts >= LEAST_CONTEXT
-
     def scores(self, chunks: pa.Table, found: pa.Table, total: int, distinct: int) -> pa.Table:
-        chunk = Chunk.read(chunks.drop_columns(["ids"]).to_pylist()[0], self.key_bits)
-        counts = self.counts(chunk, found)
-        judged = [self.judged(counts[d]) for d in range(TOKENS)]
-        flags = self.answered(chunk, found, 1, {d + 1: int(j.sum()) for d, j in enumerate(judged)}, np.uint8)
-        c = counts[0]
+        chunk = Chunk.read(chunks.drop_columns(["ids"]).to_pylist()[0])
+        answers, flags = self.answered(found, 0, np.int64), self.answered(found, 1, np.uint8)
+        c = answers[0]
         # Natural logarithms: a long word's probability can be too small for a float.
-        root = np.log(c / (total + distinct), out=np.full(len(c), np.nan), where=c > 0)
+        root = np.log(c / max(total + distinct, 1), out=np.full(len(c), np.nan), where=c > 0)
         spelled = found.filter(pc.equal(found.column("row"), 2))
         trees = dict(zip(spelled.column("word").to_pylist(), spelled.column("tree").to_pylist(), strict=True))
         unseen = np.flatnonzero(c == 0)
         root[unseen] = np.fromiter((trees[chunk.words[i]] for i in unseen), float, len(unseen)) + (np.log(distinct / (total + distinct)) if total else 0.0)
-        p = root[chunk.of[0]]
-        score = p
-        for d, places, n, own in chunk.contexts(counts):
-            kept = np.zeros(len(judged[d - 1]), bool)
-            kept[judged[d - 1]] = flags[d] > 0
+        score = p = root[chunk.places]
+        for d, (_, times, places, n, own) in enumerate(chunk.contexts(self.key_bits, answers), 1):
+            kept = np.zeros(len(times), bool)
+            kept[times >= LEAST_CONTEXT] = flags[d] > 0
             is_context = n >= LEAST_CONTEXT
             logs = np.log(own, out=np.full(len(own), -np.inf), where=own > 0)
             p = np.where(is_context, np.logaddexp(logs, p + np.log(PRIOR[d - 1])) - np.log(n + PRIOR[d - 1]), p)
             score = np.where(is_context & kept[places], p, score)
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        sums = [np.add.reduceat(x, chunk.starts) for x in ((c > 0)[chunk.of[0]].astype(np.int64), base[chunk.of[0]], score)]
+        sums = [np.add.reduceat(x, chunk.starts) for x in ((c > 0)[chunk.places].astype(np.int64), base[chunk.places], score)]
         size = len(chunk.starts)
         columns = [chunks.column("ids").combine_chunks().flatten(), pa.array(chunk.held == 1), pa.array(chunk.lengths), pa.array(sums[0]), pa.array([total] * size, pa.int64()), pa.array(sums[1]), pa.array(sums[2] / np.log(10))]
         return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
