@@ -21,30 +21,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
 
 
-def stored(df: DataFrame, tag: str, by: str | None = None, **options: str) -> DataFrame:
-    """df, written once (with options) to the shared folder and read back: cuts lineage and survives lost executors. Rows of each value of by are in files of their own."""
+#: Whether Spark deletes the files of a query's shuffles when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """df, written once (with options) to the shared folder and read back: cuts lineage and survives lost executors. The shuffles it took are deleted at once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    # A file for each of a few values is open at once; otherwise a task would sort its rows first, in memory.
-    writers = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(writers, None)
-    if by:
-        spark.conf.set(writers, "16")
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
-        (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
-        if by:
-            spark.conf.set(writers, before) if before is not None else spark.conf.unset(writers)
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
-def released(df: DataFrame, part: str = "") -> None:
-    """Deletes the files of a table that stored() gave, or of a part of it (by=value), and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.stored_at}/{part}" if part else df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() gave and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         new = stored(small, "edges")
         now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        for old in (e, low, large, low2):
-            released(old)
+        released(e, low, large, low2)
         e = new
         if state == now:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -10,8 +10,8 @@
    more and its next tokens gain LEAST_GAIN nats from it against the context one token shorter, over all of its
    occurrences, each scored by the counts of the others. That is the divergence between the two distributions, left
    one out; without that, a context whose next tokens never repeat would always diverge. Chunks add up the
-   gains of their own occurrences, buckets those of the chunks. Terms are rounded to 1 / UNIT nats, so that sums
-   do not depend on how the documents were cut.
+   gains of their own occurrences, buckets those of the chunks, by the place that a context has in the bucket.
+   Terms are rounded to 1 / UNIT nats, so that sums do not depend on how the documents were cut.
 4. A token's state is the longest retained suffix of what stands before it. Its distribution is smoothed by
    the next shorter one with the weight of PRIOR occurrences: (c + PRIOR * p) / (n + PRIOR). At the root, a token has
    its share c / (N + V), and V / (N + V) (Witten-Bell) goes to words that training does not have.
@@ -43,16 +43,16 @@ from stratum.llm.common import stored
 
 #: Tokens of the longest context, the training occurrences that a context needs, the nats that it must gain, and the weight of what a context backs off to, by length.
 TOKENS, LEAST_CONTEXT, LEAST_GAIN, PRIOR = 2, 2, 2.0, (100.0, 10.0)
-UNIT = 64
+UNIT = 16
 #: The same for the tree over bytes.
 DEPTH, LEAST_COUNT, LEAST_BYTE_GAIN = 5, 10, 3.0
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Unknown words that are spelled together, and distinct strings of bytes of a group.
 BLOCK_WORDS, GROUP_CODES = 100_000, 200_000
 #: The end of a text as a word; no real word is empty.
 END = b""
-#: A hash key's bits above those that tell apart as many n-grams as the input has bytes: of 4 million n-grams, one at most is taken for another.
-SPARE_BITS = 20
+#: A hash key's bits above those that number the input's bytes: of 65,536 n-grams, one at most is taken for another.
+SPARE_BITS = 16
 
 
 def held_out(doc_id) -> bool:  # noqa: ANN001
@@ -77,16 +77,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = stored(made, "chunks", **{"parquet.block.size": str(1 << 24), "parquet.enable.dictionary": "false"})
 
     asked = chunks.select("chunk", "held", "lengths", "places", "words", "trained").mapInArrow(sizes.lists, LISTS)
-    counted = asked.groupBy("place").applyInArrow(_summed, "chunk long, place int, packed binary, unknown array<binary>, vocabulary binary, n long, v long")
+    counted = asked.groupBy("place").applyInArrow(_summed, "chunk long, place int, packed binary, contexts binary, unknown array<binary>, vocabulary binary, n long, v long")
     counts = stored(counted, "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    _dropped_shuffles(docs)
 
     answers = counts.where("chunk is not null").select(F.col("chunk").alias("to"), F.lit(0).alias("row"), "place", "packed", *_nulls("word binary", "tree double"))
     own = chunks.drop("ids").groupBy("chunk")
-    gains = own.cogroup(answers.groupBy("to")).applyInArrow(lambda chunk, found: sizes.gains(chunk, found, total, distinct), LISTS)
-    kept = stored(gains.groupBy("place").applyInArrow(_retained, "chunk long, place int, packed binary"), "kept")
-    _dropped_shuffles(docs)
+    gains = own.cogroup(answers.groupBy("to")).applyInArrow(lambda chunk, found: sizes.gains(chunk, found, total, distinct), "chunk long, place int, numbers binary")
+    contexts = counts.where("contexts is not null").select(F.col("chunk").alias("of"), F.col("place").alias("bucket"), "contexts")
+    kept = stored(gains.groupBy("place").cogroup(contexts.groupBy("bucket")).applyInArrow(_retained, "chunk long, place int, packed binary"), "kept")
 
     unknown = counts.where("chunk is not null").select(F.col("chunk").alias("to"), F.explode("unknown").alias("word"))
     vocabulary = counts.where("vocabulary is not null").select("vocabulary").mapInArrow(_split, "word binary")
@@ -105,11 +104,6 @@ def _nulls(*columns: str) -> list[Column]:
     return [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in columns)]
 
 
-def _dropped_shuffles(docs: DataFrame) -> None:
-    """Lets Spark delete the files of shuffles that nothing reads any more, which it does when their objects are collected."""
-    docs.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _compressed(data: bytes) -> bytes:
     import zstandard
 
@@ -123,7 +117,7 @@ def _plain(data: bytes) -> bytes:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return _compressed(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return _compressed(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
@@ -275,19 +269,16 @@ class Sizes:
         at = np.concatenate([[0], at, [len(keys)]])
         return ((int(b), int(at[b]), int(at[b + 1])) for b in np.flatnonzero(at[1:] > at[:-1]))
 
-    def dealt(self, chunk: int, depth: int, keys: np.ndarray, numbers: np.ndarray, words: list[bytes] | None = None) -> pa.Table:
-        """Sorted keys (or the words that have them) and a number for each, in lists by bucket."""
-        cuts = list(self.cuts(keys))
-        lists = [_joined(words[a:b]) if words else _packed(np.diff(keys[a:b], prepend=np.uint64(0))) for _, a, b in cuts]
-        return pa.table([pa.array([chunk] * len(cuts), pa.int64()), pa.array([depth << 24 | c[0] for c in cuts], pa.int32()), pa.array(lists, pa.binary()), pa.array([_packed(numbers[a:b]) for _, a, b in cuts], pa.binary())], names=["chunk", "place", "keys", "numbers"])
-
     def lists(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk's words and n-grams with their counts in its training documents."""
+        """A chunk's words and n-grams with their counts in its training documents, in lists by bucket; words as they are, keys as differences."""
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk.read({c: batch.column(c)[i].as_py() for c in batch.schema.names})
                 for d, (keys, of) in enumerate(chunk.grams(self.key_bits)):
-                    yield from self.dealt(chunk.number, d, keys, np.bincount(of[chunk.trained], minlength=len(keys)), None if d else chunk.words).to_batches()
+                    numbers, cuts = np.bincount(of[chunk.trained], minlength=len(keys)), list(self.cuts(keys))
+                    lists = [_packed(np.diff(keys[a:b], prepend=np.uint64(0))) if d else _joined(chunk.words[a:b]) for _, a, b in cuts]
+                    columns = [pa.array([chunk.number] * len(cuts), pa.int64()), pa.array([d << 24 | c[0] for c in cuts], pa.int32()), pa.array(lists, pa.binary()), pa.array([_packed(numbers[a:b]) for _, a, b in cuts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["chunk", "place", "keys", "numbers"])
 
     @staticmethod
     def answered(found: pa.Table, row: int, kind: type) -> dict[int, np.ndarray]:
@@ -299,7 +290,7 @@ class Sizes:
         return {d: np.concatenate(parts) for d, parts in out.items()}
 
     def gains(self, chunks: pa.Table, found: pa.Table, total: int, distinct: int) -> pa.Table:
-        """What the chunk's own training tokens gain from each of its contexts, in lists by bucket; 0 from a context of held-out documents only."""
+        """What the chunk's own training tokens gain from each of its contexts, in lists by bucket and in the order of its keys; 0 from a context of held-out documents only."""
         chunk = Chunk.read(chunks.to_pylist()[0])
         answers = self.answered(found, 0, np.int64)
         own, out = chunk.trained, []
@@ -309,9 +300,12 @@ class Sizes:
             left = (c - 1 + PRIOR[d - 1] * p) / (np.maximum(n - 1, 0) + PRIOR[d - 1])
             gain = np.where(n >= LEAST_CONTEXT, np.rint(UNIT * np.log(left / p)), 0)
             asked = times >= LEAST_CONTEXT
-            out.append(self.dealt(chunk.number, d, keys[asked], _added(places[own], gain, len(keys))[asked]))
+            gained = _added(places[own], gain, len(keys))[asked]
+            for bucket, a, b in self.cuts(keys[asked]):
+                out.append((chunk.number, d - 1 << 24 | bucket, _packed(gained[a:b])))
             p = np.where(n >= LEAST_CONTEXT, left, p)
-        return pa.concat_tables(out)
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "place", "numbers"])
 
     def scores(self, chunks: pa.Table, found: pa.Table, total: int, distinct: int) -> pa.Table:
         chunk = Chunk.read(chunks.drop_columns(["ids"]).to_pylist()[0])
@@ -326,7 +320,7 @@ class Sizes:
         score = p = root[chunk.places]
         for d, (_, times, places, n, own) in enumerate(chunk.contexts(self.key_bits, answers), 1):
             kept = np.zeros(len(times), bool)
-            kept[times >= LEAST_CONTEXT] = flags[d] > 0
+            kept[times >= LEAST_CONTEXT] = flags[d - 1] > 0
             is_context = n >= LEAST_CONTEXT
             logs = np.log(own, out=np.full(len(own), -np.inf), where=own > 0)
             p = np.where(is_context, np.logaddexp(logs, p + np.log(PRIOR[d - 1])) - np.log(n + PRIOR[d - 1]), p)
@@ -338,22 +332,16 @@ class Sizes:
         return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _parts(table: pa.Table, kind: type) -> tuple[list, np.ndarray, np.ndarray]:
-    """The numbers of a bucket's lists, all together, and where each list begins and ends."""
-    numbers = [_unpacked(x.as_py(), kind) for x in table.column("numbers")]
-    return np.concatenate(numbers), np.cumsum([0, *map(len, numbers)])
-
-
-def _key_lists(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")])
-
-
 def _summed(table: pa.Table) -> pa.Table:
-    """For each list of a bucket the counts of its keys over all chunks, in the same order. Of words, also those of the list that training does not have, and a row with the bucket's vocabulary."""
-    numbers, ends = _parts(table, np.int64)
+    """For each list of a bucket the counts of its keys over all chunks, in the same order, and of those that can be contexts their places among all in the bucket. Of words, also those of the list that training does not have, and a row with the bucket's vocabulary."""
+    depth = table.column("place")[0].as_py() >> 24
+    lists = [_unpacked(x.as_py(), np.int64) for x in table.column("numbers")]
+    ends = np.cumsum([0, *map(len, lists)])
+    numbers = np.concatenate(lists)
+    del lists
     vocabulary: list[bytes] = []
     unknown: list[list[bytes] | None] = [None] * table.num_rows
-    if table.column("place")[0].as_py() >> 24 == 0:
+    if depth == 0:
         words = [w for x in table.column("keys") for w in _words(x.as_py())]
         coded = pa.array(words, pa.binary()).dictionary_encode()
         of = coded.indices.to_numpy()
@@ -361,31 +349,40 @@ def _summed(table: pa.Table) -> pa.Table:
         unknown = [[words[i] for i in range(a, b) if sums[of[i]] == 0] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         vocabulary = coded.dictionary.filter(pa.array(sums > 0)).to_pylist()
     else:
-        distinct, of = _grouped(_key_lists(table))
+        distinct, of = _grouped(np.concatenate([np.cumsum(_unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]))
         sums = _added(of, numbers, len(distinct))
     found = sums[of]
+    is_context = sums >= LEAST_CONTEXT
+    number = np.cumsum(is_context) - 1
+    contexts = [_packed(np.diff(number[of[a:b]][found[a:b] >= LEAST_CONTEXT], prepend=0)) for a, b in zip(ends[:-1], ends[1:], strict=True)] if depth < TOKENS else [None] * table.num_rows
     rows = {
         "chunk": table.column("chunk").to_pylist(),
         "place": table.column("place").to_pylist(),
         "packed": [_packed(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)],
+        "contexts": contexts,
         "unknown": unknown,
         "vocabulary": [None] * table.num_rows,
         "n": [None] * table.num_rows,
         "v": [None] * table.num_rows,
     }
     if vocabulary:
-        for name, value in zip(rows, (None, None, None, None, _joined(vocabulary), int(sums.sum()), len(vocabulary)), strict=True):
+        for name, value in zip(rows, (None, None, None, None, None, _joined(vocabulary), int(sums.sum()), len(vocabulary)), strict=True):
             rows[name].append(value)
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.int64()]
     return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
-def _retained(table: pa.Table) -> pa.Table:
-    """For each list of a bucket which of its contexts gain enough over all chunks."""
-    numbers, ends = _parts(table, np.int64)
-    distinct, of = _grouped(_key_lists(table))
-    kept = (_added(of, numbers, len(distinct)) >= UNIT * LEAST_GAIN)[of].astype(np.uint8)
-    return pa.table([table.column("chunk"), table.column("place"), pa.array([_packed(kept[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["chunk", "place", "packed"])
+def _retained(gains: pa.Table, contexts: pa.Table) -> pa.Table:
+    """For each list of gains in a bucket, which of its contexts gain enough over all chunks."""
+    places = dict(zip(contexts.column("of").to_pylist(), contexts.column("contexts"), strict=True))
+    of = [np.cumsum(_unpacked(places[chunk].as_py(), np.int64)) for chunk in gains.column("chunk").to_pylist()]
+    if not of:
+        return pa.table([gains.column("chunk"), gains.column("place"), pa.array([], pa.binary())], names=["chunk", "place", "packed"])
+    numbers = np.concatenate([_unpacked(x.as_py(), np.int64) for x in gains.column("numbers")])
+    ends = np.cumsum([0, *map(len, of)])
+    every = np.concatenate(of)
+    kept = (_added(every, numbers, int(every.max()) + 1) >= UNIT * LEAST_GAIN)[every].astype(np.uint8)
+    return pa.table([gains.column("chunk"), gains.column("place"), pa.array([_packed(kept[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["chunk", "place", "packed"])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
