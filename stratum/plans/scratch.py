@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share, or in local mode a local folder where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (shared or "file:///tmp/checkpoints").rstrip("/")
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once below spark.checkpoint.dir (or a local folder where it is unset) and read back."""
+    """df, written once below folder() and read back."""
     spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{base}/{tag}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
