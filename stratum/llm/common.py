@@ -17,8 +17,11 @@ DEFAULT_SCRATCH = "file:///tmp/checkpoints"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode a local one where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or DEFAULT_SCRATCH).rstrip("/")
 
 
 #: Whether Spark deletes the files of a query's shuffles when the query ends.

@@ -46,7 +46,8 @@ def write_archive(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z
     # Only repeated payloads have a keeper. While these are few, the payloads need not be shuffled to find theirs.
     keepers = stored(keepers, "keepers")
     keepers = F.broadcast(keepers) if keepers.limit(BROADCAST_KEEPERS + 1).count() <= BROADCAST_KEEPERS else keepers
-    rows = rows.withColumn("key", key)
+    # Payloads without a key spread over all tasks where the join is a shuffle.
+    rows = rows.withColumn("key", F.coalesce(key, F.concat(F.lit("-"), F.xxhash64("id", "url", "body").cast("string"))))
     rows = rows.join(keepers, F.col("key") == F.col("k"), "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit(END))
@@ -98,9 +99,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         return plain.select(columns)
     # Records whose payload holds magic lines: their pieces are put together again, by their place in the file.
     files = broken.select("file").distinct()
-    numbered = _pieces(spark, path).join(files, "file", "left_semi").withColumn("piece", F.row_number().over(Window.partitionBy("file").orderBy("split", "number")) - 1)
-    spans = broken.withColumn("at", F.explode(F.sequence(F.col("piece"), F.col("piece") + F.col("pieces") - 1)))
-    parts = spans.join(numbered.select(F.col("file").alias("f"), F.col("piece").cast("long").alias("at_piece"), F.col("value").cast("binary").alias("raw")), (F.col("file") == F.col("f")) & (F.col("at") == F.col("at_piece")))
+    # Pieces are numbered without their values, and only those of broken records are read again.
+    numbered = parsed.select("file", "split", "number").join(files, "file", "left_semi").withColumn("at", (F.row_number().over(Window.partitionBy("file").orderBy("split", "number")) - 1).cast("long"))
+    spans = broken.withColumn("at", F.explode(F.sequence(F.col("piece"), F.col("piece") + F.col("pieces") - 1))).join(numbered, ["file", "at"])
+    values = _pieces(spark, path).select("file", "split", "number", F.col("value").cast("binary").alias("raw"))
+    parts = spans.join(values, ["file", "split", "number"])
     joined = parts.groupBy("file", "offset", *NAMES, "length").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts"))
     text = joined.withColumn("raw", F.aggregate(F.slice("parts", 2, 1 << 30), F.col("parts")[0]["raw"], lambda s, x: F.concat(s, F.lit(MAGIC).cast("binary"), x["raw"])))
     text = text.withColumn("start", F.expr("instr(decode(raw, 'ISO-8859-1'), '\\r\\n\\r\\n') + 4")).withColumn("block", F.expr("substring(raw, start, cast(length as int))")).withColumn("body", _body("block"))
@@ -153,16 +156,19 @@ def _reached(table: pa.Table) -> pa.Table:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes pages to an archive in the shared folder and reads it back: id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit carries no payload; its size and digest are those of the response it refers to, found by its id.
+    A revisit carries no payload; its size and digest are those of the response it refers to, found by the id
+    and the digest that it claims: rows that share an id may have different payloads. Repeated rows come out as often
+    as they go in; null ids and payloads are as write_archive() says, and no rows give none.
     """
     spark = pages.sparkSession
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(pages, path, id_col=id_col, url_col=url_col, payload_col=payload_col)
     records = stored(read_archive(spark, path), "records")
     responses = records.where("type = 'response'")
-    used = records.where("refers_to is not null").select(F.col("refers_to").alias("target")).distinct()
-    full = responses.join(used, F.col("record_id") == F.col("target"), "left_semi").select(F.col("record_id").alias("target"), "payload_bytes", "payload_digest").distinct()
-    revisits = records.where("type = 'revisit'").select("record_id", "type", "refers_to").join(full, F.col("refers_to") == F.col("target"))
+    target = [F.col("refers_to").alias("target"), F.col("claimed").alias("digest")]
+    used = records.where("refers_to is not null").select(*target).distinct()
+    full = responses.select(F.col("record_id").alias("target"), F.col("payload_digest").alias("digest"), "payload_bytes", "payload_digest").join(used, ["target", "digest"], "left_semi").distinct()
+    revisits = records.where("type = 'revisit'").select("record_id", "type", "refers_to", *target).join(full, ["target", "digest"])
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("long")
     shape = lambda df: df.select(number("record_id").alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
     return shape(responses).unionByName(shape(revisits))
