@@ -51,12 +51,13 @@ def visit(part: Column, turn: Column, place: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts", trained_role: str = "assistant") -> DataFrame:
-    """One row for each conversation: its id, formatted, segments, attachments and expanded_tokens.
+    """One row for each conversation: its id, formatted, loss_spans, attachments and expanded_tokens.
 
     Rows are ordered by turn, null turns first, ties by role and content; repeated rows are turns of their own.
-    A null conversation id is a conversation of its own. A null role is empty, null parts are none. segments are
-    (text, loss): joined, they are formatted; loss is true for the content of the trained role's turns, which
-    is the loss mask. attachments are (turn, part, kind, ref, tokens) in order. Other columns are not read.
+    A null conversation id is a conversation of its own. A null role is empty, null parts are none, no rows give
+    none. loss_spans is the loss mask: (start, length) in characters of formatted, one for the content of each of
+    the trained role's turns. attachments are (turn, part, kind, ref, tokens) in order. Other columns are not
+    read, so their names may be any.
     """
     role = F.coalesce(turns[role_col].cast("string"), F.lit(""))
     row = F.struct(turns[turn_col].alias("turn"), role.alias("role"), F.coalesce(turns[parts_col], F.array().cast(f"array<{PART}>")).alias("parts"))
@@ -75,14 +76,19 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         return F.filter(every, lambda a: a["kind"].isin(*UNIT_TOKENS))
 
     out = grouped.select("conv", F.flatten(F.transform("rows", segments)).alias("segments"), F.flatten(F.transform("rows", attached)).alias("attachments"))
+    # The lengths of the segments, added up, are where they begin. An array of spans grows by one only at a span under the mask.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    span = lambda at, n: F.array(F.struct(at.alias("start"), n.alias("length")))
+    step = lambda s, n: F.struct((s["at"] + n["n"]).alias("at"), F.when(n["loss"], F.concat(s["spans"], span(s["at"], n["n"]))).otherwise(s["spans"]).alias("spans"))
+    lengths = F.transform("segments", lambda s: F.struct(F.length(s["text"]).alias("n"), s["loss"].alias("loss")))
     return out.select(
-        F.col("conv").alias(conv_col), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments", "attachments",
+        F.col("conv").alias(conv_col), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), F.aggregate(lengths, start, step, lambda s: s["spans"]).alias("loss_spans"), "attachments",
         F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"),
     )
 
 
 def read_turns(formatted: Column) -> Column:
-    """The turns of a formatted conversation: an array of (role, text), unescaped; placeholders stay in the text."""
+    """The turns of a formatted conversation: an array of (role, text), unescaped; placeholders stay in the text. Null gives null, a text without turns none."""
 
     def turn(piece: Column) -> Column:
         at = F.instr(piece, "\n")
@@ -94,6 +100,6 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), turn)
 
 
-def trained_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, with nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def trained_text(formatted: Column, loss_spans: Column) -> Column:
+    """All of the formatted text under the loss mask, unescaped, in order, with nothing between."""
+    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
