@@ -6,16 +6,19 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from stratum.llm.common import stored
 
 #: Labelled URLs that the trees are fitted on, at most: those with the least hash.
 MAX_LABELLED = 20_000
+#: Parts of the labelled URLs, by domain, that take each other's suffix rates.
+FOLDS = 5
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "tld_rate", "tld_share", "domain_rate", "domain_share")
 
@@ -181,21 +184,55 @@ class Model:
 
 
 def fit(urls: Sequence[str | None], labels: Sequence[int]) -> Model:
-    """Labels: 1 is blocked. Without rows or with one class only, the model gives the overall rate."""
+    """Labels: 1 is blocked. Without rows or with one class only, the model gives the overall rate.
+
+    The suffix rates that a URL is trained with come from the other folds, and a fold has all URLs of its domains:
+    what a domain's own labels say is not taken for what its lexical features do.
+    """
+    hosts, folds = [parts(u)[0] for u in urls], domain_folds(urls)
+    x = np.zeros((len(urls), len(FEATURES)))
+    for fold in set(folds):
+        others = Suffixes()
+        others.learn([h for h, f in zip(hosts, folds, strict=True) if f != fold], [y for y, f in zip(labels, folds, strict=True) if f != fold])
+        for i, f in enumerate(folds):
+            if f == fold:
+                x[i] = features(urls[i], others)
     suffixes = Suffixes()
-    suffixes.learn([parts(u)[0] for u in urls], labels)
-    x = np.array([features(u, suffixes) for u in urls], float).reshape(len(urls), len(FEATURES))
+    suffixes.learn(hosts, labels)
     return Model(suffixes, BoostedTrees().fit(x, np.array(labels, float)))
 
 
+def domain_folds(urls: Sequence[str | None]) -> list[int]:
+    """A fold below FOLDS for each URL; those of one domain (a host's last two labels) are in one."""
+    return [crc32(Suffixes.of(parts(u)[0])[1].encode("utf-8", "surrogatepass")) % FOLDS for u in urls]
+
+
+def held_out_auc(urls: Sequence[str | None], labels: Sequence[int]) -> float:
+    """The area under the curve of models that were fitted on the other folds' domains, over all URLs; ties count half. Without both classes it is 0.5."""
+    folds = np.array(domain_folds(urls))
+    y, p = np.array(labels, int), np.zeros(len(urls))
+    for fold in set(folds.tolist()):
+        rest, own = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
+        p[own] = fit([urls[i] for i in rest], [labels[i] for i in rest]).block_probability([urls[i] for i in own])
+    values, of, counts = np.unique(p, return_inverse=True, return_counts=True)
+    middle = np.cumsum(counts) - (counts - 1) / 2  # the mean rank of each value
+    bad, good = int(y.sum()), int(len(y) - y.sum())
+    return float((middle[of][y == 1].sum() - bad * (bad + 1) / 2) / (bad * good)) if bad and good else 0.5
+
+
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fits the model on at most max_labelled distinct rows (url, label), those of least hash; rows with a null url or label don't count."""
+    """Fits the model on labelled_sample() of rows (url, label)."""
+    sample = labelled_sample(labelled, max_labelled)
+    return fit([r[0] for r in sample], [r[1] for r in sample])
+
+
+def labelled_sample(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Row]:
+    """At most max_labelled distinct rows (url, label), those of least hash; rows with a null url or label don't count."""
     rows = stored(labelled.where("url is not null and label is not null").select("url", "label").distinct(), "labelled")
     # Every task would send its own least rows, so most rows go before: about max_labelled have a hash below the bound.
     share = min(1.0, 1.2 * max_labelled / max(1, rows.count()) + 1e-6)
     near = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 40)) <= int(share * (1 << 40)))
-    sample = near.orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 40)), "url", "label").limit(max_labelled).collect()
-    return fit([r[0] for r in sample], [r[1] for r in sample])
+    return near.orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 40)), "url", "label").limit(max_labelled).collect()
 
 
 def rule_labels(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") -> DataFrame:
