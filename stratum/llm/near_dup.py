@@ -34,22 +34,24 @@ BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 BROADCAST_IDS = 1_000_000
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
     """One row for each row of docs: id, n_shingles (long), component_id (long) and kept (boolean).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of shingles of size
     words. component_id is the smallest id reachable by links, itself included; kept is id = component_id.
     Null and empty texts and texts of white space have an empty set and are linked with nothing. A row with a
     null id is linked with nothing, has a null component_id and is kept. Repeated rows come out as often as
-    they go in. Other columns of docs are not read.
+    they go in; rows of one id with different texts are one document to links, but have rows and sets of their own.
+    With text_hash, text_hash is xxhash64 of the text, to tell such rows apart. Other columns of docs are not read.
     """
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
-    signed = stored(texts.mapInArrow(_signatures(size), "id long, n long, digest binary, keys array<long>, sketch array<long>"), "signed")
+    hashed = texts.select("id", "text", F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    signed = stored(hashed.mapInArrow(_signatures(size), "id long, hash long, n long, digest binary, keys array<long>, sketch array<long>"), "signed")
     real = "n > 0 and id is not null"
     # Aggregates are stored before they are joined: a join of two plain tables can split the rows of a large class or bucket.
     classes = stored(signed.where(real).groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    own = signed.where(real).select("id", "n", "digest").join(classes, "digest")
-    members = stored(own.select("id", "n", "rep").unionByName(signed.where(f"not ({real}) or id is null").select("id", "n", F.lit(None).cast("long").alias("rep"))), "members")
+    own = signed.where(real).select("id", "hash", "n", "digest").join(classes, "digest")
+    members = stored(own.select("id", "hash", "n", "rep").unionByName(signed.where(f"not ({real}) or id is null").select("id", "hash", "n", F.lit(None).cast("long").alias("rep"))), "members")
     first = classes.select(F.col("rep").alias("id"), "digest")
     reps = stored(signed.where(real).join(first, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "n", "keys", "sketch"), "reps")
     released(signed)
@@ -75,7 +77,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     released(shared)
     found = stored(components(links), "components").withColumnRenamed("node", "rep")
     out = members.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), *([F.col("hash").alias("text_hash")] if text_hash else []))
 
 
 def _signatures(size: int):  # noqa: ANN202
@@ -95,7 +97,7 @@ def _signatures(size: int):  # noqa: ANN202
                     digests.append(None)
                     keys.append([])
                     sketches.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "n", "digest", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["id", "hash", "n", "digest", "keys", "sketch"])
 
     return run
 

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from stratum.llm import bpe_codec, chat, lm_score, mixing, near_dup, oracles, quality, token_count, url_filter, vector_dedup, warc
 from stratum.llm.common import table
 
-#: Where the public vocabulary files lie.
-TOKENIZERS = "/opt/tokenizers"
+def tokenizer(name: str, folder: str | None = None) -> str:
+    """Where a public vocabulary file lies: in folder, or where the installed package of these files has it."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
 
+    return public_tokenizers.path(name)
 
-def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    vocabulary = token_count.Vocabulary.from_file(f"{tokenizers}/piece_bpe_32k.model")
+
+def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    vocabulary = token_count.Vocabulary.from_file(tokenizer("piece_bpe_32k.model", tokenizers))
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 
 
@@ -37,15 +42,15 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     copies = F.size("mix_draws").cast("long")
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (copies * F.col("mix_size")).alias("taken"), copies.alias("copies"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (copies * F.col("mix_size")).alias("taken"), copies.alias("copies"), F.col("mix_draws.shard").alias("shards"))
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
-def op6_bpe_codec(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    spec = Path(tokenizers, "word_bpe_49k.json").read_text(encoding="utf-8")
+def op6_bpe_codec(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    spec = Path(tokenizer("word_bpe_49k.json", tokenizers)).read_text(encoding="utf-8")
     return bpe_codec.digests(table(spark, sf_dir, "documents"), spec)
 
 
@@ -61,7 +66,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(FORGED).alias("text"))
     chats = chat.format_chat(turns.unionByName(forged).withColumn("parts", chat.text_parts(F.col("text"))))
-    read = chats.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("segments")).alias("loss"))
+    read = chats.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(told).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha(F.col("loss")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

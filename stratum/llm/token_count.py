@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 #: How the model file writes a blank.
 BLANK = "▁"
+#: Characters of texts whose new pre-tokens share a trie.
+BATCH_CHARS = 4_000_000
 PRE_TOKEN = re.compile(r"\x20*[^\x20\n]+|\x20+|\n")
 
 
@@ -122,8 +124,15 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
         counter = Counter(shared.value)
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for k in range(0, batch.num_rows, 500):
-                found += counter.counts(batch.column(1).slice(k, 500).to_pylist())
+            texts: list[str | None] = []
+            size = 0
+            for value in batch.column(1):
+                texts.append(value.as_py())
+                size += len(texts[-1] or "")
+                if size > BATCH_CHARS:
+                    found += counter.counts(texts)
+                    texts, size = [], 0
+            found += counter.counts(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["id", "n_tokens", "n_pretokens"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))

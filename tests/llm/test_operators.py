@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -103,6 +104,11 @@ def test_trees_learn_from_labelled_urls(spark):
     held = model.block_probability(bad[200:] + good[200:]) >= 0.5
     assert np.mean(held == ([True] * 100 + [False] * 100)) > 0.95
     assert model.block_probability(good) == pytest.approx(url_filter.train(rows.repartition(7)).block_probability(good))
+    every = bad + [u.replace("site", f"site{k % 40}") for k, u in enumerate(good)]
+    assert url_filter.held_out_auc(every, [1] * 300 + [0] * 300) > 0.9 and url_filter.held_out_auc([], []) == 0.5 and url_filter.held_out_auc(["http://a.b/"], [1]) == 0.5
+    # A domain whose URLs are all alike but for random letters says nothing of other domains.
+    noise = [f"http://{rng.choice('abcdefgh')}{rng.randrange(9)}.org/{rng.randrange(10**6)}" for _ in range(400)]
+    assert abs(url_filter.held_out_auc(noise, [crc32(url_filter.parts(u)[0].encode()) % 2 for u in noise]) - 0.5) < 0.25
     labels = url_filter.rule_labels(rows.select("url"), RULES)
     assert {r.label for r in labels.collect()} == set() and url_filter.train(labels).block_probability(["http://a.b/"])[0] == pytest.approx(0.5)
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), RULES, model).count() == 0
@@ -179,6 +185,17 @@ def test_components_of_a_long_path(spark):
 # Mixing
 
 
+def plain_targets(sizes, weights, total, most):
+    out, free, rest = [0.0] * len(sizes), set(range(len(sizes))), total
+    while full := {i for i in free if rest / sum(weights[i] for i in free) * weights[i] > most * sizes[i]}:
+        for i in full:
+            out[i] = most * sizes[i]
+        rest, free = rest - sum(out[i] for i in full), free - full
+    for i in free:
+        out[i] = rest / sum(weights[i] for i in free) * weights[i]
+    return out
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(2)
     texts = [" ".join(["w"] * rng.choice([0, 1, 5, 40, 300])) for _ in range(4000)] + [None]
@@ -195,7 +212,7 @@ def test_mix_meets_targets(spark):
         taken[r.source] += r.mix_size * len(r.mix_draws)
         target[r.source] = r.mix_target
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    aims = mixing.targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], sum(size.values()), 3)
+    aims = plain_targets([size[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], sum(size.values()), 3)
     assert [target[s] for s in order] == pytest.approx(aims) and sum(aims) == pytest.approx(sum(size.values()))
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
     again = mixing.mix(docs.repartition(9), shards=5).select("doc_id", "mix_draws").collect()
@@ -204,12 +221,62 @@ def test_mix_meets_targets(spark):
     assert every.count() == sum(len(r.mix_draws) for r in rows) and {r[0] for r in every.select("mix_shard").distinct().collect()} == set(range(5))
 
 
-def test_targets_and_quotas():
-    assert mixing.targets([10, 100, 100], [5, 2, 1], 210, 3) == pytest.approx([30, 120, 60])
-    assert mixing.targets([0, 0], [5, 2], 0, 3) == [0, 0]
-    got = mixing.split_quotas([1000, 10, 0, 1], 8, 3)
-    assert got.sum(axis=0).tolist() == [1000, 10, 0, 1] and got.min() >= 0
-    assert max(got.sum(axis=1)) - min(got.sum(axis=1)) <= 1
+def test_targets_and_quotas(spark):
+    def targets(sizes, weights, share, most):
+        frame = spark.createDataFrame(list(zip(range(len(sizes)), sizes, weights, strict=True)), "i int, size long, weight double")
+        return [r.target for r in mixing.with_targets(frame, weights, share, most).orderBy("i").collect()]
+
+    assert targets([10, 100, 100], [5.0, 2.0, 1.0], 1.0, 3) == pytest.approx([30, 120, 60])
+    assert targets([0, 0], [5.0, 2.0], 1.0, 3) == [0, 0] and targets([], [], 1.0, 3) == []
+    assert targets([10, 20], [5.0, 2.0], 9.0, 3) == [30, 60]
+    rng = random.Random(31)
+    sizes, weights = [rng.choice([0, 1, 10, 1000, 50_000]) for _ in range(60)], [rng.choice([1.0, 2.0, 5.0]) for _ in range(60)]
+    assert targets(sizes, weights, 2.0, 3) == pytest.approx(plain_targets(sizes, weights, 2 * sum(sizes), 3))
+    got = mixing.split_quotas([1000, 10, 0, 1], [200, 0, 400, 411], [3])
+    assert got.sum(axis=0).tolist() == [1000, 10, 0, 1] and got.sum(axis=1).tolist() == [200, 0, 400, 411] and got.min() >= 0
+
+
+def test_shards_take_what_the_tree_gives_them(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 2)
+    texts = [" ".join(["w"] * (1 + i % 7)) for i in range(900)]
+    docs = documents(spark, texts, [f"s{i % 7}" for i in range(900)])
+    rows = mixing.mix(docs, shards=6).select("doc_id", "source", "mix_draws").collect()
+    draws = defaultdict(set)
+    for r in rows:
+        block = [(d.epoch, d.shard) for d in r.mix_draws]
+        assert [e for e, _ in block] == list(range(len(block)))
+        for e, s in block:
+            draws[r.source, e].add(s)
+    assert {s for found in draws.values() for s in found} == set(range(6))
+    # An epoch of a source is drawn before the next one, so its shards never come after those of the next.
+    assert all(max(draws[s, e]) <= min(draws[s, e + 1]) for s, e in draws if (s, e + 1) in draws)
+    # Shards have the same number of block draws, which have about as many words: none is far from the mean.
+    size = Counter()
+    for r in rows:
+        for d in r.mix_draws:
+            size[d.shard] += 1
+    assert max(size.values()) < 1.3 * min(size.values())
+
+
+def test_rows_that_repeat_a_document_are_drawn_by_themselves(spark):
+    docs = documents(spark, ["a b c"] * 10 + ["d e f"] * 30, ["a"] * 10 + ["b"] * 30).withColumn("doc_id", F.lit(1)).repartition(3)
+    rows = mixing.mix(docs, weights=(5, 9)).collect()
+    taken = {s: sum(r.mix_size * len(r.mix_draws) for r in rows if r.source == s) for s in "ab"}
+    target = {r.source: r.mix_target for r in rows}
+    assert target["a"] == pytest.approx(120 * 5 / 14) and all(abs(taken[s] - target[s]) <= 1.5 for s in "ab")
+
+
+def test_mix_of_more_sources_than_fit_a_group_and_of_clashing_names(spark):
+    many = spark.range(100_001).selectExpr("id AS doc_id", "'a b c d' AS text", "concat('host', id) AS source")
+    got = mixing.mix(many).agg(F.count("*"), F.sum(F.size("mix_draws") * F.col("mix_size")), F.sum("mix_target")).first()
+    assert got[0] == 100_001 and got[2] == pytest.approx(400_004)
+    names = ["mix_draws", "mix_shard", "mix_size", "places", "h", "key", "block", "part", "again", "size", "f_h", "draw"]
+    docs = documents(spark, ["a b", "c", None]).select("doc_id", "text", "source", *(F.lit(5).alias(n) for n in names))
+    mixed = mixing.mix(docs)
+    assert set(names) <= set(mixed.columns) and mixed.count() == 3
+    rows = mixing.shuffled(mixing.drawn(mixed)).collect()
+    assert rows and all(r.h == r.draw == r.part == 5 and r.mix_epoch in (0, 1, 2) for r in rows)
 
 
 def test_mix_of_nothing(spark, no_docs):
@@ -279,9 +346,9 @@ def test_bpe_round_trip_equals_the_library(spark, docs, no_docs):
     tokenizers = pytest.importorskip("tokenizers")
     from pathlib import Path
 
-    from stratum.llm.queries import TOKENIZERS
+    from stratum.llm.queries import tokenizer
 
-    spec = Path(TOKENIZERS, "word_bpe_49k.json").read_text(encoding="utf-8")
+    spec = Path(tokenizer("word_bpe_49k.json")).read_text(encoding="utf-8")
     own = tokenizers.Tokenizer.from_str(spec)
     digests = {r.doc_id: tuple(r)[1:] for r in bpe_codec.digests(docs, spec).collect()}
     for r in bpe_codec.encode(docs, spec).join(docs.select("doc_id", "text"), "doc_id").collect():
@@ -295,9 +362,9 @@ def test_bpe_round_trip_equals_the_library(spark, docs, no_docs):
 def test_bpe_words_equal_plain_merging():
     from pathlib import Path
 
-    from stratum.llm.queries import TOKENIZERS
+    from stratum.llm.queries import tokenizer
 
-    codec = bpe_codec.Codec(Path(TOKENIZERS, "word_bpe_49k.json").read_text(encoding="utf-8"))
+    codec = bpe_codec.Codec(Path(tokenizer("word_bpe_49k.json")).read_text(encoding="utf-8"))
     rng = random.Random(3)
     for _ in range(500):
         piece = "".join(rng.choices("aeinorst", k=rng.randint(1, 25)))
@@ -327,6 +394,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_rows_that_share_an_id(spark, monkeypatch):
+    a, b = "a" * 1200, "b" * 1300
+    pages = spark.createDataFrame([(5, "u", a), (5, "u", b), (3, "u", a), (4, "u", b), (4, "u", a)], "page_id long, url string, html string")
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    expected = sorted([(5, 1200, sha(a), "response", None), (5, 1300, sha(b), "response", None), (3, 1200, sha(a), "revisit", 5), (4, 1300, sha(b), "revisit", 5), (4, 1200, sha(a), "revisit", 5)], key=str)
+    assert sorted(map(tuple, warc.round_trip(pages).collect()), key=str) == expected
+    monkeypatch.setattr(warc, "BROADCAST_KEEPERS", 0)
+    assert sorted(map(tuple, warc.round_trip(pages.union(pages.limit(0))).collect()), key=str) == expected
+
+
 def test_warc_files_are_split_anywhere(spark):
     body = "".join(f"line {i} WARC/1.0\r\nContent-Length: {i}\r\n\r\n" for i in range(300))
     pages = spark.createDataFrame([(i, f"http://h/{i}", body[: i * 37]) for i in range(60)], "page_id long, url string, html string").coalesce(2)
@@ -350,7 +427,7 @@ def test_chat_reads_back_what_it_wrote(spark):
     rows = [(1, 0, "us\ner<|nl|>", r"a<|b<\|c<\\|d<<||\|<"), (1, 1, None, None), (1, None, "assistant", "$1 \\ <|image:0.0|>"), (None, 0, "", ""), (2, 0, "assistant", "<|nl|>\n<|"), (2, 0, "assistant", "<|nl|>\n<|"), (3, 1, "user", "b"), (3, 1, "user", "a"), (3, 0, "assistant", "x" * 50_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("parts", chat.text_parts(F.col("text"))).withColumn("conv", F.lit(1))
     chats = chat.format_chat(turns)
-    read = {r.conv_id: r for r in chats.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("segments")).alias("loss")).collect()}
+    read = {r.conv_id: r for r in chats.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
     by = defaultdict(list)
     for c, turn, role, text in rows:
         by[c].append((turn if turn is not None else -1, role or "", text or ""))
@@ -367,7 +444,7 @@ def test_chat_parts_become_placeholders(spark):
     part = lambda kind, text=None, ref=None, units=None: (kind, text, ref, units)
     rows = [(1, 0, "user", [part("text", "look <|"), part("image", ref="a.png", units=4), part("audio", ref="b")]), (1, 1, "assistant", [part("text", "a<"), part("text", "|x<"), part(None, "\\|<|"), part("document", ref="d", units=2)]), (1, 2, "user", None)]
     turns = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>")
-    r = chat.format_chat(turns).select("*", chat.trained_text(F.col("segments")).alias("loss"), chat.read_turns(F.col("formatted")).alias("turns")).first()
+    r = chat.format_chat(turns).select("*", chat.trained_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), chat.read_turns(F.col("formatted")).alias("turns")).first()
     assert [(a.turn, a.part, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, 1, "image", "a.png", 1024), (0, 2, "audio", "b", 25), (1, 3, "document", "d", 1024)]
     assert r.expanded_tokens == 2073
     assert r.loss == "a<|x<\\|<|<|document:1.3|>" and [t.text for t in r.turns] == ["look <|<|image:0.1|><|audio:0.2|>", r.loss, ""]
@@ -564,11 +641,11 @@ def test_documents_that_occur_twice_score_apart(spark):
 def test_nulls_in_every_column_and_repeated_rows(spark):
     from pathlib import Path
 
-    from stratum.llm.queries import TOKENIZERS
+    from stratum.llm.queries import tokenizer
 
     rows = [(None, None, None, None, None)] * 3 + [(1, "a b c", None, None, 3)] * 2 + [(None, "a b c", "en", "s", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    spec = Path(TOKENIZERS, "word_bpe_49k.json").read_text(encoding="utf-8")
+    spec = Path(tokenizer("word_bpe_49k.json")).read_text(encoding="utf-8")
     for out in (token_count.count_tokens(docs, token_count.Vocabulary.of({"a": -1})), near_dup.near_duplicates(docs), mixing.mix(docs), bpe_codec.digests(docs, spec), quality.with_quality(docs), lm_score.score_documents(docs)):
         got = Counter(r.doc_id for r in out.collect())
         assert got == {None: 4, 1: 2}

@@ -43,6 +43,23 @@ def test_stages_take_effect(spark, docs):
     assert len(tokens) == drawn.count() and all(len(r.ids) == r.n_tokens > 0 for r in tokens)
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b = (prose(random.Random(k)) for k in (1, 2))
+    docs = spark.createDataFrame([(3, a, "en", "s", 1), (7, a, "en", "s", 1), (7, b, "en", "s", 1), (7, b, "en", "s", 1), (None, a, None, None, None), (9, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(3, a), (7, b), (None, a), (9, None)], key=str)
+
+
+def test_run_equals_its_stages(spark, docs, tmp_path):
+    path = str(tmp_path)
+    docs.write.parquet(f"{path}/documents.parquet")
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, path)
+    key = lambda df: sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in df.collect()), key=str)
+    assert key(corpus_pipeline.run(spark, path)) == key(frame)
+
+
 def test_stages_of_no_rows(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
