@@ -37,9 +37,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 CAST(sum(12 + length(regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|nl|>', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
-_COMMON = "CASE lang " + " ".join(f"WHEN '{code}' THEN {words!r}" for code, words in quality.COMMON.items()) + " END"
-
-
 def _distance(p: str, q: str) -> str:
     """Jensen-Shannon distance of two lists of numbers."""
     share = lambda h: f"list_transform({h}, lambda v: v / list_sum({h}))"
@@ -50,19 +47,24 @@ def _distance(p: str, q: str) -> str:
 _COUNT = r"length(t) - length(regexp_replace(t, '{}', '', 'g'))"
 QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents),
 h AS (SELECT doc_id, t, lang, {SPLIT.format("t")} AS w, {SPLIT.format("lower(t)")} AS lw, length(t) AS len, {_COUNT.format(r'\p{Ll}+')} AS lo, {_COUNT.format(r'\p{Lu}+')} AS up, {_COUNT.format(r'\p{Nd}+')} AS di,
-{_COUNT.format(r'[\x20\x09-\x0D]+')} AS sp, {_COUNT.format('[' + quality.SYMBOLS + ']+')} AS sy, {_COMMON} AS common FROM d),
-f AS (SELECT *, [lo, up, di, sp, sy, len - lo - up - di - sp - sy] AS chars, CASE WHEN len(lw) >= {quality.LEAST_COMPARED_WORDS} AND common IS NOT NULL THEN list_transform(common, lambda c: len(list_filter(lw, lambda x: x = c))) END AS hits FROM h),
+{_COUNT.format(r'[\x20\x09-\x0D]+')} AS sp, {_COUNT.format('[' + quality.SYMBOLS + ']+')} AS sy FROM d),
+wc AS (SELECT lang, word, count(*) AS c FROM (SELECT lang, unnest(lw) AS word FROM h) GROUP BY lang, word),
+ranked AS (SELECT lang, word, c, row_number() OVER (PARTITION BY lang ORDER BY regexp_matches(word, '\\p{{L}}') DESC, c DESC, word) AS r, sum(c) OVER (PARTITION BY lang) AS total FROM wc),
+cw AS (SELECT lang AS cl, list(word ORDER BY r) AS common FROM ranked WHERE r <= {quality.N_COMMON} AND {quality.COMMON_PART} * c >= total AND regexp_matches(word, '\\p{{L}}') GROUP BY lang),
+f AS (SELECT *, [lo, up, di, sp, sy, len - lo - up - di - sp - sy] AS chars, CASE WHEN len(lw) >= {quality.LEAST_COMPARED_WORDS} AND common IS NOT NULL THEN list_transform(common, lambda c: len(list_filter(lw, lambda x: x = c))) END AS hits FROM h LEFT JOIN cw ON h.lang IS NOT DISTINCT FROM cw.cl),
 g AS (SELECT *, CASE WHEN hits IS NOT NULL THEN list_append(hits, CAST(len(lw) - list_sum(hits) AS BIGINT)) END AS wh FROM f),
 s AS (SELECT lang, CASE WHEN len > 0 THEN list_transform(chars, lambda c: round(1000 * c / len)) END AS c, list_transform(wh, lambda c: round(1000 * c / len(lw))) AS w FROM g),
-refs AS (SELECT lang AS rl, CASE WHEN count(c) >= {quality.LEAST_DOCS} THEN [{', '.join(f'median(c[{i}])' for i in range(1, 7))}] END AS rc, CASE WHEN count(w) >= {quality.LEAST_DOCS} THEN [{', '.join(f'median(w[{i}])' for i in range(1, quality.N_COMMON + 2))}] END AS rw FROM s GROUP BY lang),
+every AS (SELECT [{', '.join(f'median(c[{i}])' for i in range(1, 7))}] AS ac FROM s),
+refs AS (SELECT lang AS rl, count(c) AS n, [{', '.join(f'median(c[{i}])' for i in range(1, 7))}] AS rc, list_filter([{', '.join(f'median(w[{i}])' for i in range(1, quality.N_COMMON + 2))}], lambda v: v IS NOT NULL) AS rw, count(w) / (count(w) + {quality.PRIOR_DOCS}) AS trust FROM s GROUP BY lang),
+drawn AS (SELECT rl, rw, trust, list_transform(list_zip(rc, ac), lambda z: (n * coalesce(z[1], 0.0) + {quality.PRIOR_DOCS} * z[2]) / (n + {quality.PRIOR_DOCS})) AS rc FROM refs, every),
 pos AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM h),
 win AS (SELECT doc_id, i, CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN word || ' ' || {" || ' ' || ".join(f'lead(word, {k}) OVER o' for k in range(1, 8))} END AS win FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 dup AS (SELECT doc_id, i, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, win) > 1 THEN 1 ELSE 0 END AS d FROM win),
 rep AS (SELECT doc_id, sum(c) AS n FROM (SELECT doc_id, max(d) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c FROM dup) GROUP BY doc_id),
 lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
 a AS (SELECT g.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len - sp AS BIGINT) AS word_chars, CAST(sy AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-CASE WHEN len >= {quality.LEAST_CHARS} THEN {_distance('chars', 'rc')} END AS cd, {_distance('wh', 'rw')} AS wd
-FROM g JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN refs ON g.lang IS NOT DISTINCT FROM refs.rl),
+CASE WHEN len >= {quality.LEAST_CHARS} THEN {_distance('chars', 'rc')} END AS cd, trust * {_distance('wh', 'rw')} AS wd
+FROM g JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN drawn ON g.lang IS NOT DISTINCT FROM drawn.rl),
 b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {quality.MOST_CHAR_DISTANCE} AND coalesce(wd, 0) <= {quality.MOST_WORD_DISTANCE} AS kept FROM b"""
 

@@ -73,7 +73,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = quality.with_quality(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 

@@ -473,8 +473,11 @@ def test_quality_counts_equal_brute_force(spark, docs, no_docs):
     assert quality.with_quality(no_docs).count() == 0
 
 
+COMMON = ["the", "of", "and", "to", "in", "a", "is", "that"]
+
+
 def prose(rng, n=120):
-    return " ".join(rng.choice(quality.COMMON["en"]) if rng.random() < 0.25 else "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n)) + "."
+    return " ".join(rng.choice(COMMON) if rng.random() < 0.25 else "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n)) + "."
 
 
 def test_quality_rejects_junk_and_keeps_prose(spark):
@@ -486,6 +489,30 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert [got[i] for i in range(75)] == [True] * 60 + [False] * 15
 
 
+def test_references_of_few_documents_and_clashing_names(spark):
+    rng = random.Random(12)
+    texts = [(prose(rng), "en") for _ in range(60)] + [(prose(rng), "nl") for _ in range(19)] + [(prose(rng).upper(), "nl"), (prose(rng).replace(" ", "%%% "), "fi"), (prose(rng), "fi"), (prose(rng), None), (None, None), ("", "en")]
+    names = ["row", "text_", "common", "quality", "classes", "counts", "trust"]
+    docs = spark.createDataFrame([(i, t, g, *range(7)) for i, (t, g) in enumerate(texts)], "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    kept = quality.kept_documents(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    # A language of 20 documents, or of two, is judged like one of many: junk goes and prose stays.
+    assert sorted(r.doc_id for r in rows) == [*range(79), 81, 82] and all(tuple(r)[3:] == tuple(range(7)) for r in rows)
+    replaced = quality.with_quality(docs, ["quality", "row"])
+    assert replaced.columns == ["row", "quality"] and replaced.schema["quality"].dataType.fieldNames()[0] == "n_words"
+
+
+def test_common_words_equal_plain_counts(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choices(["the", "THE", "of", "|", "é", "12"] + [f"w{k}" for k in range(400)], weights=[30, 10, 30, 50, 20, 20] + [1] * 400, k=50)), rng.choice(["a", "b", None])) for i in range(200)]
+    found = {r.of_lang: r.common for r in quality.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for lang in ("a", "b", None):
+        counts = Counter(w for _, t, g in rows if g == lang for w in t.lower().split())
+        most = sorted((w for w, c in counts.items() if re.search(r"[^\W\d_]", w) and quality.COMMON_PART * c >= sum(counts.values())), key=lambda w: (-counts[w], w))
+        assert found[lang] == most[: quality.N_COMMON]
+
+
 def test_distance_equals_the_formula(spark):
     def js(p, q):
         p, q = np.array(p) / sum(p), np.array(q) / sum(q)
