@@ -22,8 +22,8 @@ BROADCAST_IDS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    return quality.with_quality(docs).where("quality.kept").select(docs.columns)
+    """The documents that the quality rules keep; those without words go."""
+    return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
