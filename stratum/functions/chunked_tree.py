@@ -11,7 +11,7 @@ integers and bytes. Proofs are plain data and are checked without the tree.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -32,11 +32,12 @@ GEAR = [int.from_bytes(digest(bytes([i]))[:8], "big") for i in range(256)]
 
 
 def gear_cut(fanout: int) -> Cut:
-    """Ends a node where the gear hash of an entry's digest has its top bits clear; more levels up, one bit more each."""
+    """Ends a node where the gear hash of an entry's digest has its top bits clear: log2(fanout) of them at the leaves, and one more on each level above."""
+    least = max(1, fanout.bit_length() - 1)
 
     def cut(d: bytes, level: int) -> bool:
         h = 0
-        bits = max(1, fanout.bit_length() - 1)
+        bits = min(64, least + level)
         for b in d:
             h = ((h << 1) + GEAR[b]) & 0xFFFFFFFFFFFFFFFF
         return h >> (64 - bits) == 0
@@ -78,18 +79,34 @@ class ChunkedTree:
         self.entries = sorted(entries)
         self.cut, self.fanout, self.most = cut, fanout, most
         #: Levels from below: members as (first key, digest), and where each node begins in its level's members.
-        self.levels: list[list[tuple[bytes, bytes]]] = [[(_key(k), digest(_key(k) + v)) for k, v in self.entries]]
+        self.levels: list[list[tuple[bytes, bytes]]] = []
         self.starts: list[list[int]] = []
+        #: Nodes whose digest had to be computed.
+        self.made = 0
+        self._grow([(_key(k), digest(_key(k) + v)) for k, v in self.entries], 0, None)
+
+    def _grow(self, members: list[tuple[bytes, bytes]], same: int, old: ChunkedTree | None) -> None:
+        """Levels above the leaves, of which the first are the same as in old: nodes that end among those are kept, on each level."""
+        self.levels, self.starts = [members], []
         while not self.starts or len(self.starts[-1]) > 1:
+            level = len(self.starts)
             members = self.levels[-1]
-            starts = self._split(members, len(self.starts))
+            kept = [s for s in old.starts[level] if s < same] if old and level < len(old.starts) else []
+            # The last of these nodes may go on beyond what is the same.
+            whole = max(0, len(kept) - 1)
+            starts = kept[:whole] + self._split(members, level, kept[whole] if kept else 0)
             self.starts.append(starts)
             ends = [*starts[1:], len(members)]
-            self.levels.append([(members[a][0] if a < b else b"", node_digest(members[a:b])) for a, b in zip(starts, ends, strict=True)])
-
-    def _split(self, members: list[tuple[bytes, bytes]], level: int) -> list[int]:
-        starts, n = [0], 0
-        for i, (_, d) in enumerate(members):
+            reused = old.levels[level + 1][:whole] if whole else []
+            self.made += len(starts) - whole
+            self.levels.append(reused + [(members[a][0] if a < b else b"", node_digest(members[a:b])) for a, b in zip(starts[whole:], ends[whole:], strict=True)])
+            same = whole
+
+    def _split(self, members: list[tuple[bytes, bytes]], level: int, begin: int = 0) -> list[int]:
+        """Where the nodes from begin on start."""
+        starts, n = [begin], 0
+        for i in range(begin, len(members)):
+            d = members[i][1]
             n += 1
             # A node has two members at least, or levels would not become fewer.
             full = n >= self.fanout if self.cut is None else n >= 2 and (n >= self.most or self.cut(d, level))
@@ -107,12 +124,32 @@ class ChunkedTree:
         return len(self.starts)
 
     def merged(self, other: ChunkedTree) -> ChunkedTree:
-        """The tree of both trees' entries; of equal keys, the other's value counts."""
-        return ChunkedTree(list((dict(self.entries) | dict(other.entries)).items()), self.cut, self.fanout, self.most)
+        """The tree of both trees' entries; of equal keys, the other's value counts. If the other's keys come later, only the right spine is made anew."""
+        return self.updated(other.entries)
+
+    def updated(self, entries: Sequence[Entry], gone: Sequence[int] = ()) -> ChunkedTree:
+        """This tree with entries set and keys removed. Nodes left of the first change are kept on every level, with their digests."""
+        new = dict(self.entries) | dict(entries)
+        for k in gone:
+            new.pop(k, None)
+        out = ChunkedTree([], self.cut, self.fanout, self.most)
+        out.entries, out.made = sorted(new.items()), 0
+        first = min([k for k, _ in entries] + list(gone), default=None)
+        same = len(self.entries) if first is None else bisect_left(self.entries, (first,))
+        members = self.levels[0][:same] + [(_key(k), digest(_key(k) + v)) for k, v in out.entries[same:]]
+        out._grow(members, same, self)
+        return out
 
     def without(self, keys: Sequence[int]) -> ChunkedTree:
-        gone = set(keys)
-        return ChunkedTree([e for e in self.entries if e[0] not in gone], self.cut, self.fanout, self.most)
+        return self.updated([], keys)
+
+    def lower_bound(self, key: int) -> int:
+        """The place of the first entry whose key is not below key; the last place if all are."""
+        return max(0, min(len(self.entries) - 1, bisect_left(self.entries, (key,))))
+
+    def newest(self) -> Entry | None:
+        """The right-most entry."""
+        return self.entries[-1] if self.entries else None
 
     def prove(self, low: int, high: int) -> Proof:
         """Entries from low to high with one neighbour on each side where there is one, and what leads to the root."""

@@ -10,7 +10,7 @@ from stratum.schema import KEY
 
 
 class Ledger:
-    """Reads, proofs and rewinds of changes (addr, slot, block, value). Everything returns DataFrames; nothing runs until they do.
+    """Reads, proofs and rewinds of changes (addr, slot, block, value). Everything returns DataFrames. Plans that rank rows or build trees (digest, index_size) write intermediate tables when they are made; all else runs when its result does.
 
     Accounts' nonces and code are slots like others, by name.
     """

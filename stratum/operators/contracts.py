@@ -56,16 +56,41 @@ def execute(transactions: DataFrame, by: str = "shard", serial: bool = False) ->
         state: dict[tuple[str, int], int] = {}
         columns = ["op", "a", "b", "amount"]
         for _, block in pdf.sort_values(["block", "seq"]).groupby("block", sort=True):
-            before = state if serial else dict(state)
+            written = state if serial else {}  # what the block writes, beside the state before it
             for op, a, b, amount in block[columns].itertuples(index=False):
-                for table, account, value in apply(int(op), int(a), int(b), int(amount), lambda t, x: before.get((t, x), 0)):
-                    state[table, account] = value
+                for table, account, value in apply(int(op), int(a), int(b), int(amount), lambda t, x: state.get((t, x), 0)):
+                    written[table, account] = value
+            state.update(written)
         return pd.DataFrame({by: pdf[by].iloc[0], "name": [k[0] for k in state], "account": [k[1] for k in state], "value": [str(v) for v in state.values()]})
 
     kind = transactions.schema[by].dataType.simpleString()
     return transactions.groupBy(by).applyInPandas(run, f"{by} {kind}, name string, account long, value string")
 
 
+def deposit_transfers(transactions: DataFrame, serial: bool = False) -> DataFrame:
+    """(account, value): balances as decimal strings after transactions (block, seq, op, a, b, amount) of the transfer contract: op 1 adds amount to a, op 2 moves it from a to b if a has as much.
+
+    Accounts couple all transactions, so they run one after another, block by block; a block reads the state before it unless serial.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        state: dict[int, int] = {}
+        for _, block in pdf.sort_values(["block", "seq"]).groupby("block", sort=True):
+            written = state if serial else {}
+            for op, a, b, amount in block[["op", "a", "b", "amount"]].itertuples(index=False):
+                has = state.get(a, 0)
+                if op == 1:
+                    written[a] = (has + int(amount)) % WORD
+                elif op == 2 and has >= amount:
+                    written[b] = (state.get(b, 0) + int(amount)) % WORD
+                    written[a] = has - int(amount) if a != b else has
+            state.update(written)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "account": list(state), "value": [str(v) for v in state.values()]})
+
+    kind = transactions.schema["shard"].dataType.simpleString()
+    return transactions.groupBy("shard").applyInPandas(run, f"shard {kind}, account long, value string")
+
+
 def scanned(changes: DataFrame, low: Column, high: Column, descending: bool = False) -> DataFrame:
     """Keys from low to high in their order, or the reverse."""
     rows = changes.where(F.col("slot").between(low, high))
@@ -79,7 +104,7 @@ def sorted_numbers(numbers: Column) -> Column:
 
 def contract_address(creator: Column, nonce: Column) -> Column:
     """A stable 20-byte id of a contract from its creator and nonce, in hexadecimal."""
-    return F.substring(F.sha2(F.concat_ws("|", creator.cast("string"), nonce.cast("string")).cast("binary"), 256), 25, 40)
+    return F.substring(F.sha2(F.concat(F.coalesce(creator.cast("string"), F.lit("-")), F.lit("|"), F.coalesce(nonce.cast("string"), F.lit("-"))).cast("binary"), 256), 25, 40)
 
 
 def write_sets(writes: DataFrame) -> DataFrame:

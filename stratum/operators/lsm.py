@@ -15,7 +15,6 @@ from stratum.plans.scratch import positions
 from stratum.schema import KEY
 
 PAGE_ROWS = 46
-MAX_LEVELS = 12
 
 
 def with_flush(changes: DataFrame, capacity: int) -> DataFrame:
@@ -28,12 +27,13 @@ def placed(flush: Column, flushes: Column, ratio: int) -> tuple[Column, Column]:
 
     In base ratio, the digits of flushes count the runs of the levels, and the deepest level holds the oldest.
     """
-    level = F.lit(-1)
-    for i in range(MAX_LEVELS):
-        deep = flushes - flushes % ratio**i
-        level = F.when((flush < deep) & (flushes >= ratio**i), i).otherwise(level)
-    size = F.pow(F.lit(ratio), F.greatest(level, F.lit(0))).cast("long")
-    start = flushes - flushes % (size * ratio)
+    # All levels that a long number of flushes can have.
+    sizes = [ratio**i for i in range(63) if ratio**i < 1 << 62]
+    level, size = F.lit(-1), F.lit(1).cast("long")
+    for i, n in enumerate(sizes):
+        here = (flush < flushes - flushes % n) & (flushes >= n)
+        level, size = F.when(here, i).otherwise(level), F.when(here, F.lit(n).cast("long")).otherwise(size)
+    start = flushes - F.when(size <= sizes[-1] // ratio, flushes % (size * ratio)).otherwise(flushes)
     return level, F.when(level >= 0, F.floor((flush - start) / size)).otherwise(F.lit(-1))
 
 
@@ -64,16 +64,30 @@ def merged_each(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def compacted(rows: DataFrame, level: int) -> DataFrame:
-    """All rows of a level as one run of the next."""
-    return rows.withColumns({"run": F.when(F.col("level") == level, F.lit(0)).otherwise(F.col("run")), "level": F.when(F.col("level") == level, F.lit(level + 1)).otherwise(F.col("level"))})
+    """All rows of a level as one run of the next, behind the runs that it has: the newest there. Rows of other levels stay."""
+    here = F.col("level") == level
+    behind = rows.agg(F.coalesce(F.max(F.when(F.col("level") == level + 1, F.col("run"))) + 1, F.lit(0)).alias("behind"))
+    moved = rows.crossJoin(F.broadcast(behind))  # one row
+    return moved.withColumns({"run": F.when(here, F.col("behind").cast("long")).otherwise(F.col("run")), "level": F.when(here, F.lit(level + 1)).otherwise(F.col("level"))}).drop("behind")
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    """The runs (level, run) with age, their place in the order in which a search visits them: rows not flushed yet, then shallow levels, and in a level the newest run."""
+    return rows.select("level", "run").distinct().withColumn("age", F.row_number().over(Window.orderBy("level", F.desc("run"))))
 
 
 def runs_probed(rows: DataFrame) -> DataFrame:
-    """How many flushes a search for each key visits, newest first, until it finds it."""
+    """How many flushes a search for each key visits, newest first, until it finds it, if no flushes are merged."""
     newest = rows.agg(F.max("flush").alias("last"))
     return rows.groupBy(*KEY).agg(F.max("flush").alias("flush")).join(F.broadcast(newest)).select(*KEY, (F.col("last") - F.col("flush") + 1).alias("probed"))  # one row
 
 
+def runs_visited(rows: DataFrame) -> DataFrame:
+    """How many runs of all levels a search for each key visits, newest first, until it finds it, if no filter spares it any."""
+    runs = newest_first(rows)
+    return rows.join(F.broadcast(runs), ["level", "run"]).groupBy(*KEY).agg(F.min("age").cast("long").alias("probed"))  # a row for each run: as many as levels times ratio
+
+
 def pages(rows: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Rows of each flush in key order, with the page that holds them. A flush has a bounded number of rows."""
     place = F.row_number().over(Window.partitionBy("flush").orderBy(*KEY, "block")) - 1

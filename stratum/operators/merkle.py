@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from stratum.plans.scratch import stored
 
 Hash = Callable[[Column], Column]
+#: Leaf positions that a range is looked up in together.
+STRETCH = 4096
 
 
 def sha256(text: Column) -> Column:
@@ -22,8 +24,9 @@ def sha256(text: Column) -> Column:
 
 
 def leaf(*columns: str, hashed: Hash = sha256) -> Column:
-    """Digest of a row: its columns as strings, with a separator so that borders count."""
-    return hashed(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)))
+    """Digest of a row: its columns as strings, each after its length in bytes, so that borders count; null is a dash."""
+    text = lambda c: F.col(c).cast("string")
+    return hashed(F.concat(*(F.coalesce(F.concat(F.octet_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns)))
 
 
 def joined(hashes: Column) -> Column:
@@ -50,17 +53,18 @@ def levels(leaves: DataFrame, fanout: int, hashed: Hash = sha256) -> list[DataFr
     return out
 
 
-def roots(leaves: DataFrame, fanout: int, hashed: Hash = sha256) -> DataFrame:
-    """(tree, root)."""
-    return levels(leaves, fanout, hashed)[-1].select("tree", F.col("hash").alias("root"))
+def roots(leaves: DataFrame, fanout: int, hashed: Hash = sha256, made: list[DataFrame] | None = None) -> DataFrame:
+    """(tree, root). made are the levels() of the leaves, if there are any."""
+    return (made or levels(leaves, fanout, hashed))[-1].select("tree", F.col("hash").alias("root"))
 
 
-def proofs(leaves: DataFrame, fanout: int, hashed: Hash = sha256) -> DataFrame:
+def proofs(leaves: DataFrame, fanout: int, hashed: Hash = sha256, made: list[DataFrame] | None = None) -> DataFrame:
     """(tree, pos, hash, path): for each leaf, the siblings on the left and right of its ancestors, from below.
 
     A path has a struct (left, right) for each level; both are the joined digests of the group's other members.
+    made are the levels() of the leaves, if there are any.
     """
-    every = levels(leaves, fanout, hashed)
+    every = made or levels(leaves, fanout, hashed)
     out = every[0].select("tree", "pos", "hash", F.array().cast("array<struct<left:string,right:string>>").alias("path"))
     for i, level in enumerate(every[:-1]):
         group = F.floor(F.col("pos") / fanout)
@@ -73,6 +77,40 @@ def proofs(leaves: DataFrame, fanout: int, hashed: Hash = sha256) -> DataFrame:
     return out
 
 
+def range_proofs(made: list[DataFrame], ranges: DataFrame, fanout: int) -> DataFrame:
+    """(tree, low, high, hashes, path) for ranges (tree, low, high) of leaf positions: the leaves' digests in order, and for each level what stands left and right of the range in the nodes at its borders.
+
+    made are the levels() of the leaves. A range beyond the leaves ends with the last one. A range's leaves go into one row.
+    """
+    leaves = made[0].select(F.col("tree").alias("t"), "pos", "hash")
+    inside = ranges.select("tree", "low", "high").distinct()
+    # Leaves are joined by stretches of STRETCH positions, so that this is no join of ranges.
+    part = inside.withColumn("part", F.explode(F.sequence(F.floor(F.col("low") / STRETCH), F.floor(F.col("high") / STRETCH))))
+    found = part.join(leaves.withColumn("part", F.floor(F.col("pos") / STRETCH)), ["part"]).where((F.col("tree") == F.col("t")) & F.col("pos").between(F.col("low"), F.col("high")))
+    out = found.groupBy("tree", "low", "high").agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("all"))
+    out = out.select("tree", "low", "high", F.transform("all", lambda x: x["hash"]).alias("hashes"), F.element_at("all", -1)["pos"].alias("last"), F.array().cast("array<struct<left:array<string>,right:array<string>>>").alias("path"))
+    for i, level in enumerate(made[:-1]):
+        below = level.groupBy("tree", F.floor(F.col("pos") / fanout).alias("group")).agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias("members"))
+        at = lambda c: F.floor(F.col(c) / fanout**i)  # noqa: B023, E731
+        out = out.withColumns({"a": at("low"), "b": at("last")}).withColumns({"ga": F.floor(F.col("a") / fanout), "gb": F.floor(F.col("b") / fanout)})
+        out = out.join(below.select("tree", F.col("group").alias("ga"), F.col("members").alias("first")), ["tree", "ga"]).join(below.select("tree", F.col("group").alias("gb"), F.col("members").alias("final")), ["tree", "gb"])
+        a, b = F.col("a"), F.col("b")
+        beside = F.struct(F.transform(F.filter("first", lambda x: x["pos"] < a), lambda x: x["hash"]).alias("left"), F.transform(F.filter("final", lambda x: x["pos"] > b), lambda x: x["hash"]).alias("right"))
+        out = out.select("tree", "low", "high", "hashes", "last", F.concat("path", F.array(beside)).alias("path"))
+    return out.drop("last")
+
+
+def range_root(hashes: Column, path: Column, fanout: int, hashed: Hash = sha256) -> Column:
+    """The root that a range's leaves and what stands beside them lead to. The first node of a level begins with what is left of the range, so nodes are counted from there."""
+
+    def up(members: Column, beside: Column) -> Column:
+        every = F.concat(beside["left"], members, beside["right"])
+        starts = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / fanout).cast("int"))
+        return F.transform(starts, lambda k: hashed(F.array_join(F.slice(every, k * fanout + 1, fanout), "")))
+
+    return F.aggregate(path, hashes, up)[0]
+
+
 def folded(digest: Column, path: Column, hashed: Hash = sha256) -> Column:
     """The root that a leaf's digest and path lead to."""
     return F.aggregate(path, digest, lambda h, s: hashed(F.concat(s["left"], h, s["right"])))

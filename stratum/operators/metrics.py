@@ -17,8 +17,11 @@ def sampled_storage(rows: DataFrame, every: int) -> DataFrame:
     from pyspark.sql import Window
 
     per_block = rows.groupBy("block").agg(F.count("*").alias("n"))
-    per_bucket = per_block.groupBy(F.ceil(F.col("block") / every).alias("bucket")).agg(F.sum("n").alias("n"))
-    return per_bucket.select((F.col("bucket") * every).alias("block"), F.sum("n").over(Window.orderBy("bucket")).alias("n_changes")).where(F.col("block") <= rows.agg(F.max("block")).first()[0])
+    per_bucket = per_block.groupBy(F.ceil(F.col("block") / every).alias("bucket")).agg(F.sum("n").alias("n"), F.max("block").alias("head"))
+    # Each bucket's total holds until the next one with changes; a row for each of the buckets between.
+    order = Window.orderBy("bucket")
+    spans = per_bucket.select("bucket", F.sum("n").over(order).alias("n_changes"), (F.coalesce(F.lead("bucket").over(order) - 1, F.floor(F.col("head") / every))).alias("until"))
+    return spans.where("bucket <= until").select(F.explode(F.sequence("bucket", "until")).alias("bucket"), "n_changes").select((F.col("bucket") * every).alias("block"), "n_changes")
 
 
 def storage_by_kind(files: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -29,6 +32,12 @@ def storage_by_kind(files: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return files.groupBy(kind.alias("kind")).agg(F.sum("bytes").alias("bytes"))
 
 
+def window_proofs(proofs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window, n_proofs, mean_versions, mean_bytes): averages over proofs (window, n_found, proof_bytes) for each of the windows (window); 0 where there is none."""
+    means = proofs.groupBy("window").agg(F.count("*").alias("n_proofs"), F.avg("n_found").alias("mean_versions"), F.avg("proof_bytes").alias("mean_bytes"))
+    return windows.join(means, "window", "left").select("window", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_proofs", "mean_versions", "mean_bytes")))
+
+
 def memory(filters: DataFrame) -> DataFrame:
     """Bytes of all filters that a store keeps in memory."""
     return filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)).alias("bytes"))

@@ -7,6 +7,8 @@ import pickle
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from stratum.functions import chunked_tree
 from stratum.functions.chunked_tree import ChunkedTree
@@ -26,46 +28,118 @@ def _keyed(df: DataFrame) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in KEY)
 
 
+def _by_key(changes: DataFrame, made, columns: str) -> DataFrame:  # noqa: ANN001
+    """made(tree), a tuple of columns, for each key's tree of versions (block, value as a string).
+
+    Rows are dealt and sorted by key, and a task walks its keys one after another: no group has an Arrow batch of its
+    own. A key's history must fit into a task.
+    """
+    import pyarrow as pa
+
+    schema = StructType([changes.schema[k] for k in KEY] + _parse(columns))
+    names = [f.name for f in schema]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        key, blocks, values, out = None, [], [], []
+        kinds = None
+
+        def flushed() -> pa.RecordBatch:
+            rows, out[:] = list(zip(*out, strict=True)) if out else [()] * len(names), []
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(0).type, batch.schema.field(1).type, *(f.type for f in arrow)]
+            for addr, slot, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (addr, slot) != key and key is not None:
+                    out.append((*key, *made(blocks, values)))
+                    blocks, values = [], []
+                    if len(out) >= 5000:
+                        yield flushed()
+                key = addr, slot
+                blocks.append(block)
+                values.append(value)
+        if key is not None:
+            out.append((*key, *made(blocks, values)))
+            yield flushed()
+
+    arrow = to_arrow_schema(StructType(_parse(columns)))
+    rows = changes.select(*KEY, "block", F.coalesce(F.col("value").cast("string"), F.lit("")).alias("value"))
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "block").mapInArrow(run, schema)
+
+
+def _parse(columns: str) -> list[StructField]:
+    return list(StructType.fromDDL(columns))
+
+
 def version_roots(changes: DataFrame, cut: str = "gear", fanout: int = 4) -> DataFrame:
-    """(addr, slot, root, n_versions, height) of each key's tree of versions. A key's history must fit into a task."""
+    """(addr, slot, root, n_versions, height) of each key's tree of versions. A null value counts as an empty one."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = _tree(pdf["block"], pdf["value"], cut, fanout)
-        return pdf[KEY].head(1).assign(root=tree.root.hex(), n_versions=len(pdf), height=tree.height)
+    def made(blocks: list, values: list) -> tuple:
+        tree = _tree(blocks, values, cut, fanout)
+        return tree.root.hex(), len(blocks), tree.height
 
-    return changes.select(*KEY, "block", "value").groupBy(*KEY).applyInPandas(build, f"{_keyed(changes)}, root string, n_versions long, height int")
+    return _by_key(changes, made, "root string, n_versions long, height int")
 
 
 def prove(changes: DataFrame, low: int, high: int, cut: str = "gear", fanout: int = 4) -> DataFrame:
-    """(addr, slot, proof, proof_bytes): each key's versions from low to high, with what proves that they are all."""
+    """(addr, slot, root, n_versions, height, proof, proof_bytes): each key's versions from low to high, with what proves that they are all, and the root of all its versions, in one pass. proof_bytes counts the entries shown, 40 bytes each, and the digests."""
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        proof = _tree(pdf["block"], pdf["value"], cut, fanout).prove(low, high)
-        return pdf[KEY].head(1).assign(proof=pickle.dumps(proof), proof_bytes=proof.size())
+    def made(blocks: list, values: list) -> tuple:
+        tree = _tree(blocks, values, cut, fanout)
+        proof = tree.prove(low, high)
+        return tree.root.hex(), len(blocks), tree.height, pickle.dumps(proof), proof.size() + 40 * len(proof.entries)
 
-    return changes.select(*KEY, "block", "value").groupBy(*KEY).applyInPandas(build, f"{_keyed(changes)}, proof binary, proof_bytes long")
+    return _by_key(changes, made, "root string, n_versions long, height int, proof binary, proof_bytes long")
 
 
-def verify(proofs: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
-    """(addr, slot, ok, n_found): whether each proof holds against the key's root, and how many versions it shows."""
+def verify(proofs: DataFrame, roots: DataFrame | None, low: int, high: int) -> DataFrame:
+    """(addr, slot, ok, n_found): whether each proof holds against the key's root, and how many versions it shows. Without roots, against the root that came with the proof."""
 
     def check(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             found = [chunked_tree.verify(pickle.loads(p), bytes.fromhex(r), low, high) for p, r in zip(pdf["proof"], pdf["root"], strict=True)]  # noqa: S301
             yield pdf[KEY].assign(ok=[f is not None for f in found], n_found=[len(f or ()) for f in found])
 
-    return proofs.join(roots.select(*KEY, "root"), KEY).select(*KEY, "proof", "root").mapInPandas(check, f"{_keyed(proofs)}, ok boolean, n_found long")
+    rows = proofs if roots is None else proofs.drop("root").join(roots.select(*KEY, "root"), KEY)
+    return rows.select(*KEY, "proof", "root").mapInPandas(check, f"{_keyed(proofs)}, ok boolean, n_found long")
+
+
+def shown(proofs: DataFrame, low: int, high: int) -> DataFrame:
+    """(addr, slot, block, value) of the versions that proofs (with their root) show, once each holds; a proof that does not hold shows none."""
+
+    def check(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            found = [chunked_tree.verify(pickle.loads(p), bytes.fromhex(r), low, high) or [] for p, r in zip(pdf["proof"], pdf["root"], strict=True)]  # noqa: S301
+            rows = [(*k, b, v.decode()) for k, entries in zip(zip(*(pdf[c] for c in KEY), strict=True), found, strict=True) for b, v in entries]
+            yield pd.DataFrame(rows, columns=[*KEY, "block", "value"])
+
+    return proofs.select(*KEY, "proof", "root").mapInPandas(check, f"{_keyed(proofs)}, block long, value string")
 
 
 def merge_check(changes: DataFrame, block: int, cut: str = "gear", fanout: int = 4) -> DataFrame:
-    """(addr, slot, n_versions, equal): whether the tree merged from a key's versions up to a block and after it is the one of all at once."""
+    """(addr, slot, n_versions, equal, made, whole): whether the tree of a key's versions up to a block, to which the later ones are added at its right spine, is the one of all at once; and how many nodes each of them made."""
+
+    def check(blocks: list, values: list) -> tuple:
+        n = sum(b <= block for b in blocks)
+        both = _tree(blocks[:n], values[:n], cut, fanout).merged(_tree(blocks[n:], values[n:], cut, fanout))
+        every = _tree(blocks, values, cut, fanout)
+        return len(blocks), both.levels == every.levels and both.starts == every.starts, both.made, every.made
+
+    return _by_key(changes, check, "n_versions long, equal boolean, made long, whole long")
+
+
+def window_proofs(changes: DataFrame, head: int, sizes: list[int], cut: str = "gear", fanout: int = 4) -> DataFrame:
+    """(addr, slot, window, n_found, proof_bytes, ok): each key's proof for the windows of these sizes that end at head, proved and checked in one pass."""
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = lambda part: _tree(part["block"], part["value"], cut, fanout)
-        both = tree(pdf[pdf["block"] <= block]).merged(tree(pdf[pdf["block"] > block]))
-        return pdf[KEY].head(1).assign(n_versions=len(pdf), equal=both.root == tree(pdf).root)
+    def made(blocks: list, values: list) -> tuple:
+        tree = _tree(blocks, values, cut, fanout)
+        proofs = [tree.prove(head - w + 1, head) for w in sizes]
+        found = [chunked_tree.verify(p, tree.root, head - w + 1, head) for p, w in zip(proofs, sizes, strict=True)]
+        return [len(f or ()) for f in found], [p.size() + 40 * len(p.entries) for p in proofs], [f is not None for f in found]
 
-    return changes.select(*KEY, "block", "value").groupBy(*KEY).applyInPandas(check, f"{_keyed(changes)}, n_versions long, equal boolean")
+    every = _by_key(changes, made, "n_found array<long>, proof_bytes array<long>, ok array<boolean>")
+    rows = every.select(*KEY, F.explode(F.arrays_zip(F.array(*map(F.lit, sizes)).alias("window"), "n_found", "proof_bytes", "ok")).alias("x"))
+    return rows.select(*KEY, F.col("x.window").alias("window"), "x.n_found", "x.proof_bytes", "x.ok")
 
 
 def key_leaves(roots: DataFrame) -> DataFrame:

@@ -111,9 +111,29 @@ def neighbours(changes: DataFrame, probes: DataFrame) -> DataFrame:
     return found.select(*KEY, F.coalesce("real", F.lit(False)).alias("exists"), F.coalesce("before", "far_before").alias("before"), F.coalesce("after", "far_after").alias("after"))
 
 
+def lower_bounds(changes: DataFrame, probes: DataFrame) -> DataFrame:
+    """(addr, slot, pos): for each probed key the 0-based place of the first existing key that is not below it; the last place if all are below."""
+    from stratum.plans.scratch import positions
+
+    ranked = positions(changes.select(*KEY).distinct(), KEY)
+    last = ranked.agg(F.max("pos").alias("last"))
+    at = neighbours(changes, probes).select(*KEY, F.when(F.col("exists"), F.struct(*KEY)).otherwise(F.col("after")).alias("k"))
+    found = at.join(ranked.select(F.struct(*KEY).alias("k"), "pos"), "k", "left").crossJoin(F.broadcast(last))  # one row
+    return found.select(*KEY, F.coalesce("pos", "last").alias("pos"))
+
+
+def rightmost(changes: DataFrame) -> DataFrame:
+    """The largest key with its newest block and value: one row."""
+    order = F.struct(*KEY, "block")
+    return changes.agg(F.max(order).alias("k"), F.max_by("value", order).alias("value")).where("k is not null").select("k.*", "value")
+
+
 def sample_keys(changes: DataFrame, n: int, seed: int) -> DataFrame:
-    """n keys in the order of a hash: the same for the same seed."""
-    return changes.select(*KEY).distinct().orderBy(F.xxhash64(F.lit(seed), *KEY), *KEY).limit(n)
+    """n keys in the order of a digest: the same for the same seed, whatever the table's partitions."""
+    from stratum.operators.merkle import leaf
+
+    order = F.sha2(F.concat(F.lit(f"{seed}|"), leaf(*KEY)).cast("binary"), 256)
+    return changes.select(*KEY).distinct().orderBy(order, *KEY).limit(n)
 
 
 def recent_keys(changes: DataFrame, blocks: int) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import bloom, hashing, learned
-from stratum.operators import contracts, lsm, merkle, metrics, provenance, reorg, state, trie
-from stratum.plans.scratch import positions
+from stratum.operators import contracts, lookup, lsm, merkle, metrics, provenance, reorg, state, trie
+from stratum.plans.scratch import folder, positions, stored
 from stratum.sources import traces
 from stratum.sources.store import Store
 from stratum.streaming import blocks as streams
@@ -113,11 +113,6 @@ def provenance_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.provenance_with_boundary(changes(spark, sf_dir), 30, 60)
 
 
-@query("dense_provenance", "SELECT k.addr, k.slot, b.block, (SELECT arg_max(value, c.block) FROM c WHERE c.addr = k.addr AND c.slot = k.slot AND c.block <= b.block) AS value FROM (SELECT DISTINCT addr, slot FROM c WHERE block <= 9) k, (SELECT unnest(range(5, 10)) AS block) b")
-def dense_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.dense(changes(spark, sf_dir), 5, 9)
-
-
 @query("history_array", f"SELECT addr, slot, count(*) AS n_versions, {VERSIONS_SQL} AS versions FROM c GROUP BY addr, slot")
 def history_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.history(changes(spark, sf_dir)).withColumn("versions", joined_versions(F.col("versions")))
@@ -129,11 +124,6 @@ def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.diff(changes(spark, sf_dir), 30, 70)
 
 
-@query("prune_latest", "SELECT * FROM l")
-def prune_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.prune_to_latest(changes(spark, sf_dir))
-
-
 @query("prune_before", "SELECT c.* FROM c LEFT JOIN (SELECT addr, slot, max(block) AS held FROM c WHERE block <= 50 GROUP BY addr, slot) h USING (addr, slot) WHERE c.block >= 50 OR c.block = h.held")
 def prune_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.prune_before(changes(spark, sf_dir), 50)
@@ -159,11 +149,6 @@ def stale_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.checked_versions(writes(spark, sf_dir).withColumn("block", F.col("block") * 7 % 11), "seq")
 
 
-@query("sampled_keys")
-def sampled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.sample_keys(changes(spark, sf_dir), 200, 1)
-
-
 @query("run_assignment", "SELECT * FROM f")
 def run_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.with_flush(changes(spark, sf_dir), CAPACITY)
@@ -179,17 +164,6 @@ def run_block_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.runs(rows_in_runs(spark, sf_dir)).withColumns({"level": F.col("level").cast("long"), "run": F.col("run").cast("long")})
 
 
-@query("merged_runs", f"SELECT addr, slot, max(block) AS block, arg_max(value, block) AS value, {VERSIONS_SQL} AS versions FROM f WHERE flush < 3 GROUP BY addr, slot")
-def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY)
-    return lsm.merged(*(rows.where(F.col("flush") == i) for i in range(3))).withColumn("versions", joined_versions(F.col("versions")))
-
-
-@query("compaction_keeps_state", "SELECT * FROM l")
-def compaction_keeps_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.latest(lsm.compacted(lsm.compacted(rows_in_runs(spark, sf_dir), 0), 1))
-
-
 @query("runs_probed", "SELECT addr, slot, (SELECT max(flush) FROM f) - max(flush) + 1 AS probed FROM f GROUP BY addr, slot")
 def runs_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.runs_probed(lsm.with_flush(changes(spark, sf_dir), CAPACITY))
@@ -211,25 +185,12 @@ def short_rewind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reorg.rewound(changes(spark, sf_dir), 10)
 
 
-@query("rewind_plan", """, s AS (SELECT flush * 2 AS run, min(block) AS lo, max(block) AS hi FROM f WHERE flush < 4 GROUP BY flush UNION ALL SELECT 1, min(block), max(block) FROM f WHERE flush IN (1, 2)),
-x AS (SELECT flush, min(block) AS lo, max(block) AS hi FROM f GROUP BY flush)
-SELECT CAST(0 AS BIGINT) AS level, CAST(s.run AS BIGINT) AS run, s.lo AS block_lo, s.hi AS block_hi, CASE WHEN bool_or(x.lo = s.lo AND x.hi = s.hi) THEN 'keep' ELSE 'rebuild' END AS action,
-CASE WHEN bool_or(x.lo = s.lo AND x.hi = s.hi) THEN 1 ELSE count(x.lo) END AS n_sources FROM s LEFT JOIN x ON x.lo <= s.hi AND x.hi >= s.lo GROUP BY s.run, s.lo, s.hi""")
-def rewind_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY).withColumn("level", F.lit(0).cast("long"))
-    now = lsm.runs(rows.withColumn("run", F.col("flush")))
-    saved = reorg.checkpoint(now.where("run < 4").withColumn("run", F.col("run") * 2), 0)
-    pair = reorg.checkpoint(lsm.runs(rows.where("flush in (1, 2)").withColumn("run", F.lit(1).cast("long"))), 0)
-    return reorg.plan(now, saved.unionByName(pair))
-
-
-@query("rebuilt_rows", "SELECT addr, slot, block, value FROM c WHERE block BETWEEN 5 AND 9")
-def rebuilt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    saved = spark.createDataFrame([(0, 0, 5, 9)], "level int, run long, block_lo long, block_hi long")
-    return reorg.rebuilt(changes(spark, sf_dir), saved).select("addr", "slot", "block", "value")
+def leaf_sql(*columns: str) -> str:
+    """merkle.leaf() of columns."""
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
 
 
-LEAF_SQL = "sha256(CAST(addr AS VARCHAR) || '|' || slot || '|' || CAST(block AS VARCHAR) || '|' || CAST(value AS VARCHAR))"
+LEAF_SQL, PATH_SQL = leaf_sql("addr", "slot", "block", "value"), leaf_sql("addr", "slot")
 
 
 @query("leaf_digest", f"SELECT addr, slot, {LEAF_SQL} AS digest FROM l")
@@ -237,22 +198,51 @@ def leaf_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_state(spark, sf_dir).select("addr", "slot", merkle.leaf("addr", "slot", "block", "value").alias("digest"))
 
 
+def run_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of a tree for each run, in the order of keys and blocks."""
+    rows = positions(rows_in_runs(spark, sf_dir), ["level", "run", "addr", "slot", "block"])
+    first = rows.groupBy("level", "run").agg(F.min("pos").alias("first"))
+    own = rows.join(F.broadcast(first), ["level", "run"])  # a row for each run: levels times ratio
+    return own.select(F.concat_ws("/", "level", "run").alias("tree"), (F.col("pos") - F.col("first")).alias("pos"), merkle.leaf("addr", "slot", "block", "value").alias("hash"))
+
+
 def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY).withColumn("digest", merkle.leaf("addr", "slot", "block", "value"))
-    return merkle.ordered_digest(rows, F.struct("addr", "slot", "block"), "digest", ["flush"], "digest")
+    roots = merkle.roots(run_leaves(spark, sf_dir), FANOUT)
+    part = lambda i: F.split("tree", "/")[i].cast("long")
+    return roots.select(part(0).alias("level"), part(1).alias("run"), F.col("root").alias("digest"))
+
+
+def level_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the runs of each level, the newest first."""
+    return merkle.ordered_digest(run_digests(spark, sf_dir), -F.col("run"), "digest", ["level"], "digest")
 
 
-RUN_SQL = f"SELECT flush, sha256(string_agg({LEAF_SQL}, '' ORDER BY addr, slot, block)) AS digest FROM f GROUP BY flush"
+def root_sql(leaves: str) -> str:
+    """Roots of all trees of leaves (tree, pos, hash); short trees are hashed above their root until the longest has one."""
+    return f"""SELECT tree, hash AS root FROM (WITH RECURSIVE t(tree, lev, pos, hash) AS (SELECT tree, 0, pos, hash FROM ({leaves}) UNION ALL
+SELECT tree, lev + 1, CAST(floor(pos / {FANOUT}) AS BIGINT), sha256(string_agg(hash, '' ORDER BY pos)) FROM t GROUP BY 1, 2, 3 HAVING (SELECT max(pos) FROM t) > 0) SELECT *, max(lev) OVER () AS top FROM t) WHERE lev = top"""
+
+
+RUN_SQL = f"""SELECT CAST(split_part(tree, '/', 1) AS BIGINT) AS level, CAST(split_part(tree, '/', 2) AS BIGINT) AS run, root AS digest FROM
+({root_sql(f"SELECT CAST(level AS BIGINT) || '/' || run AS tree, row_number() OVER (PARTITION BY level, run ORDER BY addr, slot, block) - 1 AS pos, {LEAF_SQL} AS hash FROM r")})"""
+LEVEL_SQL = f"SELECT level, sha256(string_agg(digest, '' ORDER BY run DESC)) AS digest FROM ({RUN_SQL}) GROUP BY level"
 
 
 @query("run_digest", RUN_SQL)
 def run_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's Merkle root."""
     return run_digests(spark, sf_dir)
 
 
-@query("store_digest", f"SELECT sha256(string_agg(digest, '' ORDER BY flush DESC)) AS digest FROM ({RUN_SQL})")
+@query("level_digest", LEVEL_SQL)
+def level_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_digests(spark, sf_dir)
+
+
+@query("store_digest", f"SELECT sha256(string_agg(digest, '' ORDER BY level)) AS digest FROM ({LEVEL_SQL})")
 def store_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.ordered_digest(run_digests(spark, sf_dir), -F.col("flush"), "digest", [], "digest")
+    """Over what is not flushed yet and the levels, the top first."""
+    return merkle.ordered_digest(level_digests(spark, sf_dir), F.col("level"), "digest", [], "digest")
 
 
 def latest_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,8 +270,21 @@ def merkle_level2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("merkle_proofs_ok", "SELECT 0 AS tree, row_number() OVER (ORDER BY addr, slot) - 1 AS pos, true AS ok FROM l")
 def merkle_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = latest_leaves(spark, sf_dir)
-    return merkle.verified(merkle.proofs(leaves, FANOUT), merkle.roots(leaves, FANOUT)).select("tree", "pos", "ok")
+    made = merkle.levels(latest_leaves(spark, sf_dir), FANOUT)
+    return merkle.verified(merkle.proofs(made[0], FANOUT, made=made), merkle.roots(made[0], FANOUT, made=made)).select("tree", "pos", "ok")
+
+
+#: Leaves of a proved range.
+RANGE = 10
+
+
+@query("range_proofs_ok", f"SELECT 0 AS tree, low, least(low + {RANGE}, n) - low AS n_leaves, true AS ok FROM (SELECT {RANGE} * unnest(range(0, CAST(ceil(count(*) / {RANGE}) AS BIGINT))) AS low, count(*) AS n FROM l)")
+def range_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of stretches of keys, which cover all of them."""
+    made = merkle.levels(latest_leaves(spark, sf_dir), FANOUT)
+    ranges = made[0].where(F.col("pos") % RANGE == 0).select("tree", F.col("pos").alias("low"), (F.col("pos") + RANGE - 1).alias("high"))
+    proven = merkle.range_proofs(made, ranges, FANOUT).join(F.broadcast(merkle.roots(made[0], FANOUT, made=made)), "tree")  # one tree
+    return proven.select("tree", "low", F.size("hashes").cast("long").alias("n_leaves"), (merkle.range_root(F.col("hashes"), F.col("path"), FANOUT) == F.col("root")).alias("ok"))
 
 
 @query("merkle_root", f"""SELECT tree, hash AS root FROM (WITH RECURSIVE t(tree, lev, pos, hash) AS (SELECT tree, 0, pos, hash FROM ({LEAVES_SQL}) UNION ALL
@@ -304,7 +307,7 @@ def version_tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proofs_ok(cut: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = changes(spark, sf_dir)
-        return provenance.verify(provenance.prove(c, 20, 60, cut), provenance.version_roots(c, cut), 20, 60)
+        return provenance.verify(provenance.prove(c, 20, 60, cut), None, 20, 60)
 
     return run
 
@@ -319,35 +322,41 @@ def absent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.absence(c, c.select("addr", F.lit("m").alias("slot"))).select("addr", "slot", "exists")
 
 
-@query("content_chunks", "SELECT addr, slot, block, coalesce(sum(cut) OVER (PARTITION BY addr, slot ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chunk FROM (SELECT *, CASE WHEN sha256(CAST(block AS VARCHAR) || '|' || CAST(value AS VARCHAR))[1] IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS cut FROM c)")
+@query("content_chunks", "SELECT addr, slot, block, coalesce(sum(cut) OVER (PARTITION BY addr, slot ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chunk FROM (SELECT *, CASE WHEN " + leaf_sql("block", "value") + "[1] IN ('0', '1', '2', '3') THEN 1 ELSE 0 END AS cut FROM c)")
 def content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.substring(merkle.leaf("block", "value"), 1, 1).isin("0", "1", "2", "3").cast("long")
     before = F.sum(cut).over(Window.partitionBy("addr", "slot").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     return changes(spark, sf_dir).select("addr", "slot", "block", F.coalesce(before, F.lit(0)).alias("chunk"))
 
 
-@query("bloom_no_false_negative", "SELECT flush, count(*) AS n_probes, CAST(0 AS BIGINT) AS misses FROM f GROUP BY flush")
-def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+BLOOM_ERROR = 0.1
+
+
+@query("bloom_answers", "SELECT flush, count(*) AS n_probes, CAST(0 AS BIGINT) AS misses, true AS few_false FROM f GROUP BY flush")
+def bloom_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters that begin small and grow: keys that they hold, and as many others, of which no more than twice the error rate may pass (and ten, where there are few)."""
     rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY)
-    key = F.concat_ws("|", F.col("addr").cast("string"), "slot")
-    hits = bloom.might_contain(rows, bloom.filters(rows, "flush", key), "flush", key)
-    return hits.groupBy("flush").agg(F.count("*").alias("n_probes"), F.sum((~F.col("hit")).cast("long")).alias("misses"))
+    key = lambda shift: F.concat_ws("|", (F.col("addr") + shift).cast("string"), "slot")
+    built = bloom.filters(rows, "flush", key(0), BLOOM_ERROR, capacity=32)
+    count = lambda probes, name, what: bloom.might_contain(rows, built, "flush", probes).groupBy("flush").agg(F.count("*").alias(f"n_{name}"), F.sum(what.cast("long")).alias(name))
+    both = count(key(0), "misses", ~F.col("hit")).join(count(key(10**9), "false", F.col("hit")), "flush")
+    return both.select("flush", F.col("n_misses").alias("n_probes"), "misses", (F.col("false") <= 2 * BLOOM_ERROR * F.col("n_false") + 10).alias("few_false"))
 
 
 @query("model_error_bound", "SELECT flush, true AS bounded FROM f GROUP BY flush")
 def model_error_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (F.col("addr") * 1_000_000 + F.col("block")) * 1000 + F.ascii("slot")
     rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY).withColumn("key", key).withColumn("at", F.row_number().over(Window.partitionBy("flush").orderBy("key")) - 1)
-    return learned.models(rows, "flush", "key", "at", EPSILON).groupBy("flush").agg((F.max("max_error") <= EPSILON + 1).alias("bounded"))
+    return learned.models(rows, "flush", "key", "at", EPSILON).groupBy("flush").agg((F.max("max_error") <= EPSILON).alias("bounded"))
 
 
 @query("trie_prefix_fanout", """SELECT depth, substring(p, 1, depth) AS prefix, count(DISTINCT substring(p, depth + 1, 1)) AS children, count(*) AS leaves
-FROM (SELECT sha256(CAST(addr AS VARCHAR) || '|' || slot) AS p FROM l), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS depth) GROUP BY 1, 2""")
+FROM (SELECT """ + PATH_SQL + """ AS p FROM l), (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS depth) GROUP BY 1, 2""")
 def trie_prefix_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.fanout(latest_state(spark, sf_dir), 3)
 
 
-@query("trie_proofs_ok", "SELECT sha256(CAST(addr AS VARCHAR) || '|' || slot) AS path, true AS ok FROM l")
+@query("trie_proofs_ok", f"SELECT {PATH_SQL} AS path, true AS ok FROM l")
 def trie_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.proved(latest_state(spark, sf_dir))
 
@@ -462,19 +471,8 @@ def storage_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.sampled_storage(changes(spark, sf_dir), 5)
 
 
-@query("storage_breakdown", "SELECT CASE WHEN slot LIKE 'c%' THEN 'state' WHEN slot LIKE 'p%' THEN 'model' ELSE 'other' END AS kind, sum(value)::BIGINT AS bytes FROM l GROUP BY 1")
-def storage_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.storage_by_kind(latest_state(spark, sf_dir).select(F.col("slot").alias("name"), F.col("value").alias("bytes")), {"c": "state", "p": "model"})
-
-
-@query("window_sweep", "SELECT CAST(s AS INTEGER) AS \"window\", count(DISTINCT CAST(addr AS VARCHAR) || '|' || slot) AS n_keys, count(*) AS n_versions FROM c, (SELECT unnest([2, 4, 8, 16]) AS s) WHERE block BETWEEN 10 - s + 1 AND 10 GROUP BY 1")
-def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = changes(spark, sf_dir)
-    return metrics.window_versions(c, c.select("addr", "slot").distinct(), 10, [2, 4, 8, 16])
-
-
 @query("delta_pages", """SELECT addr, slot, block, page, CAST(floor(n / 256) AS BIGINT) AS base, n % 256 AS delta FROM
-(SELECT addr, slot, block, page, row_number() OVER (PARTITION BY page ORDER BY block, addr, slot) - 1 AS n FROM (SELECT *, substring(sha256(CAST(addr AS VARCHAR) || '|' || slot), 1, 2) AS page FROM c))""")
+(SELECT addr, slot, block, page, row_number() OVER (PARTITION BY page ORDER BY block, addr, slot) - 1 AS n FROM (SELECT *, substring(""" + PATH_SQL + """, 1, 2) AS page FROM c))""")
 def delta_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.delta_pages(changes(spark, sf_dir))
 
@@ -501,22 +499,10 @@ def filter_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.memory(bloom.filters(rows, "flush", F.concat_ws("|", F.col("addr").cast("string"), "slot")))
 
 
-@query("store_round_trip", "SELECT * FROM l")
-def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest state read back from a store that was written in two commits."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    store = Store(spark, f"{base}/store-{uuid.uuid4().hex}", CAPACITY, RATIO)
-    c = changes(spark, sf_dir)
-    store.commit(c.where("block <= 5"))
-    store.append(c.where("block > 5"))
-    return state.latest(store.changes())
-
-
 @query("streamed_latest", "SELECT * FROM l")
 def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest state of changes that came in as a stream, block by block."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     kinds = events(spark, sf_dir).schema
     source = spark.readStream.schema(kinds).parquet(f"{sf_dir}/events.parque[t]")
     rows = source.select(F.col("user_id").alias("addr"), F.col("event_type").alias("slot"), (F.floor(F.col("event_id") / BLOCK_SIZE) + 1).alias("block"), F.col("event_id").alias("seq"), F.round(F.col("value") * 100).cast("long").alias("value"))
@@ -524,11 +510,8 @@ def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(spark.read.parquet(f"{path}/rows").drop("batch"))
 
 
-# Whole tables: where the queries above fix a stretch of blocks or runs, as their SQL does.
-
-
-@query("merged_runs_all", f"SELECT CAST(level AS BIGINT) AS level, run, addr, slot, max(block) AS block, arg_max(value, block) AS value, {VERSIONS_SQL} AS versions FROM r GROUP BY level, run, addr, slot")
-def merged_runs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("merged_runs", f"SELECT CAST(level AS BIGINT) AS level, run, addr, slot, max(block) AS block, arg_max(value, block) AS value, {VERSIONS_SQL} AS versions FROM r GROUP BY level, run, addr, slot")
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run of each level, merged from all its flushes; what is not flushed yet is run -1 of level -1."""
     rows = rows_in_runs(spark, sf_dir).withColumns({"level": F.col("level").cast("long"), "run": F.col("run").cast("long")})
     return lsm.merged_each(rows, ["level", "run"]).withColumn("versions", joined_versions(F.col("versions")))
@@ -538,15 +521,15 @@ WINDOWS = [2, 4, 8, 16, 32, 64, 128]
 HEAD_SQL = "(SELECT max(block) FROM c)"
 
 
-@query("window_sweep_head", f"SELECT CAST(s AS INTEGER) AS \"window\", count(DISTINCT CAST(addr AS VARCHAR) || '|' || slot) AS n_keys, count(*) AS n_versions FROM c, (SELECT unnest({WINDOWS}) AS s) WHERE block > {HEAD_SQL} - s GROUP BY 1")
-def window_sweep_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("window_sweep", f"SELECT CAST(s AS INTEGER) AS \"window\", count(DISTINCT CAST(addr AS VARCHAR) || '|' || slot) AS n_keys, count(*) AS n_versions FROM c, (SELECT unnest({WINDOWS}) AS s) WHERE block > {HEAD_SQL} - s GROUP BY 1")
+def window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of all sizes of the reference that end at the table's head."""
     c = changes(spark, sf_dir)
     return metrics.window_versions(c, c.select("addr", "slot").distinct(), head_block(c), WINDOWS)
 
 
-@query("dense_provenance_head", f"SELECT k.addr, k.slot, b.block, (SELECT arg_max(value, c.block) FROM c WHERE c.addr = k.addr AND c.slot = k.slot AND c.block <= b.block) AS value FROM (SELECT DISTINCT addr, slot FROM c) k, (SELECT DISTINCT block FROM c WHERE block > {HEAD_SQL} - {WINDOWS[-1]}) b")
-def dense_provenance_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("dense_provenance", f"SELECT k.addr, k.slot, b.block, (SELECT arg_max(value, c.block) FROM c WHERE c.addr = k.addr AND c.slot = k.slot AND c.block <= b.block) AS value FROM (SELECT DISTINCT addr, slot FROM c) k, (SELECT DISTINCT block FROM c WHERE block > {HEAD_SQL} - {WINDOWS[-1]}) b")
+def dense_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keys at each block of the longest window that ends at the head; a key's value may be from any earlier block."""
     c = changes(spark, sf_dir)
     head = head_block(c)
@@ -561,16 +544,238 @@ def level_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAVED_SQL = ", s AS (SELECT CAST(level AS BIGINT) AS level, run, min(block) AS lo, max(block) AS hi FROM r GROUP BY level, run)"
 
 
-@query("rewind_plan_all", SAVED_SQL + """, x AS (SELECT flush, min(block) AS lo, max(block) AS hi FROM f GROUP BY flush)
+@query("rewind_plan", SAVED_SQL + """, x AS (SELECT flush, min(block) AS lo, max(block) AS hi FROM f GROUP BY flush)
 SELECT s.level, s.run, s.lo AS block_lo, s.hi AS block_hi, CASE WHEN bool_or(x.lo = s.lo AND x.hi = s.hi) THEN 'keep' ELSE 'rebuild' END AS action,
 CASE WHEN bool_or(x.lo = s.lo AND x.hi = s.hi) THEN 1 ELSE count(x.lo) END AS n_sources FROM s LEFT JOIN x ON x.lo <= s.hi AND x.hi >= s.lo GROUP BY s.level, s.run, s.lo, s.hi""")
-def rewind_plan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rewind_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From all flushes back to the runs of all levels."""
     rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY).withColumn("level", F.lit(0).cast("long"))
     return reorg.plan(lsm.runs(rows.withColumn("run", F.col("flush"))), level_runs(spark, sf_dir))
 
 
-@query("rebuilt_rows_all", SAVED_SQL + " SELECT s.level AS to_level, s.run AS to_run, addr, slot, block, value FROM c JOIN s ON c.block BETWEEN s.lo AND s.hi")
-def rebuilt_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("rebuilt_rows", SAVED_SQL + " SELECT s.level AS to_level, s.run AS to_run, addr, slot, block, value FROM c JOIN s ON c.block BETWEEN s.lo AND s.hi")
+def rebuilt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of each run of all levels."""
     return reorg.rebuilt(changes(spark, sf_dir), level_runs(spark, sf_dir)).select("to_level", "to_run", "addr", "slot", "block", "value")
+
+
+@query("sampled_keys", f"SELECT DISTINCT addr, slot FROM l QUALIFY row_number() OVER (ORDER BY sha256('1|' || {PATH_SQL})) <= 200")
+def sampled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.sample_keys(changes(spark, sf_dir), 200, 1)
+
+
+@query("compacted_runs", """, c0 AS (SELECT *, CASE WHEN level = 0 THEN 1 ELSE level END AS l1, CASE WHEN level = 0 THEN coalesce((SELECT max(run) + 1 FROM r WHERE level = 1), 0) ELSE run END AS r1 FROM r),
+c1 AS (SELECT *, CASE WHEN l1 = 1 THEN 2 ELSE l1 END AS l2, CASE WHEN l1 = 1 THEN coalesce((SELECT max(r1) + 1 FROM c0 WHERE l1 = 2), 0) ELSE r1 END AS r2 FROM c0)
+SELECT CAST(l2 AS BIGINT) AS level, CAST(r2 AS BIGINT) AS run, count(*) AS n_rows, count(DISTINCT CAST(addr AS VARCHAR) || '|' || slot) AS n_keys, min(block) AS block_lo, max(block) AS block_hi FROM c1 GROUP BY 1, 2""")
+def compacted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs after the first two levels were merged downwards, whether full or not."""
+    rows = lsm.compacted(lsm.compacted(rows_in_runs(spark, sf_dir), 0), 1)
+    merged = lsm.merged_each(rows.withColumns({"level": F.col("level").cast("long"), "run": F.col("run").cast("long")}), ["level", "run"])
+    return merged.groupBy("level", "run").agg(F.sum(F.size("versions")).alias("n_rows"), F.count("*").alias("n_keys"), F.min(F.col("versions")[0]["block"]).alias("block_lo"), F.max("block").alias("block_hi"))
+
+
+AGES_SQL = ", g AS (SELECT level, run, row_number() OVER (ORDER BY level, run DESC) AS age FROM (SELECT DISTINCT level, run FROM r)), a AS (SELECT r.*, age FROM r JOIN g USING (level, run))"
+
+
+@query("read_amplification", AGES_SQL + " SELECT addr, slot, min(age) AS probed FROM a GROUP BY addr, slot")
+def read_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that a search for each key visits without filters."""
+    return lsm.runs_visited(rows_in_runs(spark, sf_dir))
+
+
+def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups of all keys, and of as many that are not there."""
+    rows = rows_in_runs(spark, sf_dir)
+    parted = stored(lookup.dealt(rows), "pages")
+    keys = rows.select("addr", "slot").distinct()
+    return lookup.lookup(parted, stored(lookup.index(parted, BLOOM_ERROR, EPSILON), "index"), keys.unionByName(keys.withColumn("addr", F.col("addr") + 10**9)))
+
+
+@query("run_lookup", AGES_SQL + """ SELECT addr, slot, CAST(arg_min(level, age * 1000000000 - block) AS BIGINT) AS level, arg_min(run, age * 1000000000 - block) AS run, arg_min(block, age * 1000000000 - block) AS block,
+arg_min(value, age * 1000000000 - block) AS value FROM a GROUP BY addr, slot UNION ALL SELECT DISTINCT addr + 1000000000, slot, NULL, NULL, NULL, NULL FROM c""")
+def run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest row of each key by filters, models and pages; null for keys that are not there."""
+    return probed(spark, sf_dir).select("addr", "slot", F.col("level").cast("long").alias("level"), F.col("run").cast("long").alias("run"), "block", "value")
+
+
+@query("filter_savings", AGES_SQL + " SELECT count(*) AS n_keys, sum(age) AS visited, true AS saves, true AS few_wasted FROM (SELECT addr, slot, min(age) AS age FROM a GROUP BY addr, slot)")
+def filter_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs all lookups of keys visit without filters; with them they search fewer, and of the runs without the key not more than twice the error rate."""
+    kept = probed(spark, sf_dir).where("block is not null").join(read_amplification(spark, sf_dir), ["addr", "slot"])
+    sums = kept.agg(F.count("*").alias("n_keys"), F.sum("probed").alias("visited"), F.sum("searched").alias("searched"), F.sum("wasted").alias("wasted"))
+    return sums.select("n_keys", "visited", (F.col("searched") < F.col("visited")).alias("saves"), (F.col("wasted") <= 2 * BLOOM_ERROR * (F.col("visited") - F.col("n_keys"))).alias("few_wasted"))
+
+
+def new_store(spark: SparkSession) -> Store:
+    return Store(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}", CAPACITY, RATIO)
+
+
+def appended_store(spark: SparkSession, sf_dir: str, parts: int = 4) -> tuple[Store, int]:
+    """A store that took all blocks in some appends, and the last block."""
+    store, c = new_store(spark), changes(spark, sf_dir)
+    head = head_block(c)
+    for i in range(parts):
+        store.append(c.where((F.col("block") > head * i // parts) & (F.col("block") <= head * (i + 1) // parts)))
+    return store, head
+
+
+@query("store_round_trip", "SELECT * FROM c")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes, read back from a store that was written by appends."""
+    return appended_store(spark, sf_dir)[0].changes()
+
+
+@query("store_runs", "SELECT CAST(level AS BIGINT) AS level, count(DISTINCT run) AS n_runs, count(*) AS n_rows, min(block) AS block_lo, max(block) AS block_hi FROM r GROUP BY level")
+def store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels that compaction made of the appended flushes."""
+    runs = appended_store(spark, sf_dir)[0].runs()
+    return runs.groupBy(F.col("level").cast("long").alias("level")).agg(F.count("*").alias("n_runs"), F.sum("n_rows").alias("n_rows"), F.min("block_lo").alias("block_lo"), F.max("block_hi").alias("block_hi"))
+
+
+@query("store_rewind", f"SELECT addr, slot, max(block) AS block, arg_max(value, block) AS value FROM c WHERE block <= {HEAD_SQL} * 3 // 5 GROUP BY addr, slot")
+def store_rewind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state after a rewind to three fifths of the blocks: from the checkpoint of the second append and the runs of the third."""
+    store, head = appended_store(spark, sf_dir)
+    store.rewind(head * 3 // 5)
+    return state.latest(store.changes())
+
+
+@query("latest_layout", "SELECT * FROM l")
+def latest_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state from the table that the store keeps beside its history."""
+    return appended_store(spark, sf_dir)[0].write_latest()
+
+
+@query("storage_breakdown")
+def storage_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of a store by what they hold."""
+    store, _ = appended_store(spark, sf_dir, 2)
+    store.index()
+    data = store.files().where(F.col("name").endswith(".parquet") | F.col("name").endswith(".json"))
+    kinds = {"v-": "state", "index-": "filters and models", "manifest": "manifests"}
+    return metrics.storage_by_kind(data.select(F.col("path").alias("name"), "bytes"), kinds)
+
+
+@query("lower_bound", "SELECT p.addr, p.slot, least((SELECT count(*) FROM l WHERE (l.addr, l.slot) < (p.addr, p.slot)), (SELECT count(*) - 1 FROM l)) AS pos FROM (SELECT DISTINCT addr * 2 AS addr, 'm' AS slot FROM l) p")
+def lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = changes(spark, sf_dir)
+    return state.lower_bounds(c, c.select((F.col("addr") * 2).alias("addr"), F.lit("m").alias("slot")))
+
+
+@query("rightmost_key", "SELECT * FROM l ORDER BY addr DESC, slot DESC LIMIT 1")
+def rightmost_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.rightmost(changes(spark, sf_dir))
+
+
+@query("version_count", "SELECT n_versions, count(*) AS n_keys FROM (SELECT count(*) AS n_versions FROM c GROUP BY addr, slot) GROUP BY n_versions")
+def version_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes(spark, sf_dir).groupBy("addr", "slot").agg(F.count("*").alias("n_versions")).groupBy("n_versions").agg(F.count("*").alias("n_keys"))
+
+
+@query("state_except", f"SELECT addr, slot, value FROM l EXCEPT ALL SELECT addr, slot, arg_max(value, block) FROM c WHERE block <= {HEAD_SQL} // 2 GROUP BY addr, slot")
+def state_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the latest state has that the state at half of the blocks had not."""
+    c = changes(spark, sf_dir)
+    columns = ["addr", "slot", "value"]
+    return state.latest(c).select(columns).exceptAll(state.as_of(c, head_block(c) // 2).select(columns))
+
+
+@query("above_average", "SELECT * FROM l WHERE value > (SELECT avg(value) FROM l x WHERE x.slot = l.slot)")
+def above_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys above the average of their slot, by a correlated subquery over a view."""
+    latest_state(spark, sf_dir).createOrReplaceTempView("stratum_latest")
+    return spark.sql("SELECT * FROM stratum_latest l WHERE value > (SELECT avg(value) FROM stratum_latest x WHERE x.slot = l.slot)")
+
+
+@query("provenance_averages", f"SELECT CAST(s AS INTEGER) AS \"window\", count(*) AS n_proofs, avg(n) AS mean_versions, true AS ok FROM (SELECT s, addr, slot, count(*) FILTER (WHERE block > {HEAD_SQL} - s) AS n FROM c, (SELECT unnest({WINDOWS}) AS s) GROUP BY s, addr, slot) GROUP BY s")
+def provenance_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For windows that end at the head, all keys' proofs: how many versions one shows on average."""
+    c = changes(spark, sf_dir)
+    proofs = provenance.window_proofs(c, head_block(c), WINDOWS)
+    means = metrics.window_proofs(proofs, spark.createDataFrame([(w,) for w in WINDOWS], "window int"))
+    return means.join(proofs.groupBy("window").agg(F.min("ok").alias("ok")), "window").select("window", "n_proofs", "mean_versions", "ok")
+
+
+@query("shown_versions", "SELECT addr, slot, block, CAST(value AS VARCHAR) AS value FROM c WHERE block BETWEEN 20 AND 60")
+def shown_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions that proofs show once they hold."""
+    return provenance.shown(provenance.prove(changes(spark, sf_dir), 20, 60), 20, 60)
+
+
+def bank(spark: SparkSession, sf_dir: str, op: int) -> DataFrame:
+    """Deposits of a billion into both balances of each account in block 0, then an operation for each write; its partner is in the shard of the account."""
+    w = writes(spark, sf_dir)
+    accounts = w.select("addr").distinct()
+    columns = [(F.col("addr") % 8).alias("shard"), F.col("addr").alias("a")]
+    rest = lambda block, seq, op, b, amount: [F.lit(block).cast("long").alias("block") if isinstance(block, int) else block, seq.cast("long").alias("seq"), F.lit(op).alias("op"), b.cast("long").alias("b"), amount.cast("long").alias("amount")]
+    deposit = lambda kind: accounts.select(*columns, *rest(0, F.lit(kind), kind, F.lit(0), F.lit(10**9)))
+    return deposit(contracts.UPDATE_BALANCE).unionByName(deposit(contracts.UPDATE_SAVING)).unionByName(w.select(*columns, *rest(F.col("block"), F.col("seq"), op, F.col("addr") + 8 * (1 + F.col("seq") % 5), F.col("value") % 1000)))
+
+
+#: Of several writes of an account in a block, the last counts; both sides of an operation have its number.
+LAST_SQL = "SELECT account, sum(d) AS d FROM (SELECT account, block, arg_max(d, seq) AS d FROM ({}) GROUP BY account, block) GROUP BY account"
+BOTH_SQL = "SELECT addr AS account, block, seq, -(value % 1000) AS d FROM w UNION ALL SELECT addr + 8 * (1 + seq % 5), block, seq, value % 1000 FROM w"
+SAVED_BANK_SQL = "SELECT addr % 8 AS shard, 'saving' AS name, addr AS account, '1000000000' AS value FROM (SELECT DISTINCT addr FROM w)"
+CHECKING_SQL = "SELECT account % 8 AS shard, 'checking' AS name, account, CAST(CAST(coalesce(m.d, 0) + CASE WHEN o.addr IS NULL THEN 0 ELSE 1000000000 END AS BIGINT) AS VARCHAR) AS value FROM ({}) m FULL JOIN (SELECT DISTINCT addr FROM w) o ON o.addr = m.account"
+
+
+@query("smallbank_payments", CHECKING_SQL.format(LAST_SQL.format(BOTH_SQL)) + " UNION ALL " + SAVED_BANK_SQL)
+def smallbank_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments between accounts; those that never had a deposit begin at 0."""
+    return contracts.execute(bank(spark, sf_dir, contracts.SEND_PAYMENT))
+
+
+@query("smallbank_checks", CHECKING_SQL.format(LAST_SQL.format("SELECT addr AS account, block, seq, -(value % 1000) - 1 AS d FROM w")) + " UNION ALL " + SAVED_BANK_SQL)
+def smallbank_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks, each with a fee of 1, as every account has more than it draws."""
+    return contracts.execute(bank(spark, sf_dir, contracts.WRITE_CHECK))
+
+
+@query("smallbank_savings", "SELECT addr % 8 AS shard, 'saving' AS name, addr AS account, CAST(CAST(sum(v) + 1000000000 AS BIGINT) AS VARCHAR) AS value FROM (SELECT addr, block, arg_max(value % 1000, seq) AS v FROM w GROUP BY addr, block) GROUP BY addr UNION ALL " + SAVED_BANK_SQL.replace("saving", "checking"))
+def smallbank_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.execute(bank(spark, sf_dir, contracts.UPDATE_SAVING))
+
+
+@query("smallbank_merges", "SELECT addr % 8 AS shard, name, addr AS account, value FROM (SELECT DISTINCT addr FROM w), (VALUES ('checking', '0'), ('saving', '2000000000')) v(name, value)")
+def smallbank_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each account's checking balance goes to its saving balance, over and over: only the first time moves anything."""
+    rows = bank(spark, sf_dir, contracts.ALMAGATE)
+    return contracts.execute(rows.withColumn("b", F.col("a")))
+
+
+@query("transfer_balances", "SELECT account % 8 AS shard, account, CAST(CAST(coalesce(m.d, 0) + CASE WHEN o.addr IS NULL THEN 0 ELSE 1000000000 END AS BIGINT) AS VARCHAR) AS value FROM (" + LAST_SQL.format("SELECT x.* FROM (" + BOTH_SQL + ") x") + ") m FULL JOIN (SELECT DISTINCT addr FROM w) o ON o.addr = m.account WHERE account IN (SELECT DISTINCT addr FROM w) OR m.d IS NOT NULL")
+def transfer_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transfer contract: a deposit for each account, then transfers, which are all covered."""
+    rows = bank(spark, sf_dir, 2)
+    deposits = rows.where("block = 0 and op = 3").withColumn("op", F.lit(1))
+    return contracts.deposit_transfers(deposits.unionByName(rows.where("block > 0")))
+
+
+@query("doc_chunk_dedup", r"""SELECT digest, count(*) AS copies, count(DISTINCT doc_id) AS docs, max(words) AS words FROM (SELECT doc_id, chunk, sha256(string_agg(word, ' ' ORDER BY i)) AS digest, count(*) AS words FROM
+(SELECT doc_id, i, word, coalesce(sum(CASE WHEN substring(sha256(word), 1, 1) = '0' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM
+(SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS w FROM documents))) GROUP BY doc_id, chunk) GROUP BY digest""")
+def doc_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut where a word's digest says so: how often each chunk occurs. Equal passages give equal chunks, wherever they stand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.array_remove(F.split(F.coalesce("text", F.lit("")), " "), "")).alias("i", "word"))
+    cut = (F.substring(merkle.sha256(F.col("word")), 1, 1) == "0").cast("long")
+    before = F.sum(cut).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+    placed = docs.withColumn("chunk", F.coalesce(before, F.lit(0)))
+    chunks = placed.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w"))
+    digests = chunks.select("doc_id", F.size("w").cast("long").alias("words"), merkle.sha256(F.array_join(F.transform("w", lambda x: x["word"]), " ")).alias("digest"))
+    return digests.groupBy("digest").agg(F.count("*").alias("copies"), F.count_distinct("doc_id").alias("docs"), F.max("words").alias("words"))
+
+
+@query("streamed_windows", "SELECT CAST(floor(event_id * 60 / 3600) * 3600 AS BIGINT) AS start, count(*) AS n_writes FROM events GROUP BY 1")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes for each hour of a stream in which an event takes a minute."""
+    source = spark.readStream.schema(events(spark, sf_dir).schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = source.select(F.col("user_id").alias("addr"), F.col("event_type").alias("slot"), F.timestamp_seconds(F.col("event_id") * 60).alias("time"))
+    name = f"windows_{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}"
+    counts = streams.block_counts(rows, "time", "1 hour", "1 hour")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows")
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select(F.unix_seconds("start").alias("start"), "n_writes")

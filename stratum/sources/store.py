@@ -1,7 +1,9 @@
-"""A ledger on disk: changes by level and run, the runs, checkpoints and a manifest, as Parquet.
+"""A ledger on disk: changes by level and run, a buffer of those not flushed yet, and manifests, as Parquet and JSON.
 
-A commit writes a new version beside the old ones and then the manifest that names it, so a reader sees one
-version or the other, and a job that is lost half-way leaves the last commit as it was.
+A commit writes new folders beside the old ones and then the manifest that names them, so a reader sees one version
+or the other, and a job that is lost half-way leaves the last commit as it was. A manifest's name is its version
+and is claimed exclusively: of two writers one fails. Appending writes the buffer and the runs that become new; all
+other runs stay where they are. Manifests are the checkpoints that a store can go back to.
 """
 
 from __future__ import annotations
@@ -12,65 +14,188 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.operators import lsm
+from stratum.operators import lookup, lsm
+from stratum.operators.state import latest
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, capacity: int = 10_000, ratio: int = 10) -> None:
-        self.spark, self.path, self.capacity, self.ratio = spark, path.rstrip("/"), capacity, ratio
+    def __init__(self, spark: SparkSession, path: str, capacity: int = 10_000, ratio: int = 10, checkpoint_every: int = 0) -> None:
+        """checkpoint_every: each so many versions, one stays when old ones are dropped; with 0, none does."""
+        self.spark, self.path, self.capacity, self.ratio, self.checkpoint_every = spark, path.rstrip("/"), capacity, ratio, checkpoint_every
+
+    def _hadoop(self, name: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _manifests(self) -> DataFrame | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("version long, folder string, latest_block long, capacity long, ratio long").json(f"{self.path}/manifest") if fs.exists(hadoop) else None
+        fs, path = self._hadoop("manifest")
+        return self.spark.read.text(f"{self.path}/manifest") if fs.exists(path) else None
 
-    def manifest(self) -> dict | None:
-        """The last commit: version, folder, latest_block, capacity and ratio."""
+    def manifests(self) -> list[dict]:
+        """All commits that are kept, in order."""
         every = self._manifests()
-        row = every.orderBy(F.desc("version")).first() if every is not None else None
-        return row.asDict() if row else None
+        return sorted((json.loads(r[0]) for r in every.collect()), key=lambda m: m["version"]) if every is not None else []
 
-    def commit(self, changes: DataFrame) -> dict:
-        """Writes changes as runs of sorted rows. They replace what the store held."""
+    def manifest(self) -> dict | None:
+        """The last commit: version, latest_block, capacity, ratio, rows of the buffer, overlaps, and runs: folder, level, run, n_rows, block_lo and block_hi of each; the buffer has level -1."""
+        every = self.manifests()
+        return every[-1] if every else None
+
+    def checkpoints(self) -> DataFrame:
+        """(version, latest_block, level, run, block_lo, block_hi) of the runs of all commits that are kept."""
+        rows = [(m["version"], m["latest_block"], r["level"], r["run"], r["block_lo"], r["block_hi"]) for m in self.manifests() for r in m["runs"]]
+        return self.spark.createDataFrame(rows, "version long, latest_block long, level int, run long, block_lo long, block_hi long")
+
+    def _claimed(self, runs: list[dict], overlaps: bool) -> dict:
         last = self.manifest()
-        entry = {"version": (last["version"] + 1) if last else 1, "folder": f"v-{uuid.uuid4().hex}", "capacity": self.capacity, "ratio": self.ratio}
-        rows = lsm.with_runs(changes, self.capacity, self.ratio)
-        rows.sortWithinPartitions("level", "run", "addr", "slot", "block").write.partitionBy("level").parquet(f"{self.path}/{entry['folder']}/rows")
-        entry["latest_block"] = self._rows(entry).agg(F.max("block")).first()[0]
-        lsm.runs(self._rows(entry)).write.parquet(f"{self.path}/{entry['folder']}/runs")
-        self.spark.createDataFrame([(json.dumps(entry),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/manifest")
+        heads = [r["block_hi"] for r in runs if r["block_hi"] is not None]
+        entry = {"version": last["version"] + 1 if last else 1, "latest_block": max(heads, default=None), "capacity": self.capacity, "ratio": self.ratio, "overlaps": overlaps, "runs": runs}
+        fs, path = self._hadoop(f"manifest/{entry['version']:012d}.json")
+        out = fs.create(path, False)  # fails if another writer has claimed the version
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
         return entry
 
+    def _written(self, rows: DataFrame) -> list[dict]:
+        """Writes rows (addr, slot, block, value, level, run), a folder for each run in key order; the runs written. Runs are few: levels times ratio."""
+        folder = f"v-{uuid.uuid4().hex}"
+        rows.repartition("level", "run", F.pmod(F.xxhash64("addr"), F.lit(64))).sortWithinPartitions("level", "run", "addr", "slot", "block").write.partitionBy("level", "run").parquet(f"{self.path}/{folder}")
+        fs, path = self._hadoop(folder)
+        if not fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}/level=*")):
+            return []
+        found = lsm.runs(self.spark.read.parquet(f"{self.path}/{folder}")).collect()
+        return [{**r.asDict(), "folder": f"{folder}/level={r.level}/run={r.run}"} for r in found]
+
+    def commit(self, changes: DataFrame) -> dict:
+        """Writes changes (addr, slot, block, value) as runs of all levels. They replace what the store held."""
+        rows = lsm.with_runs(changes, self.capacity, self.ratio)
+        return self._claimed(self._written(rows.select("addr", "slot", "block", "value", "level", "run")), False)
+
     def append(self, changes: DataFrame) -> dict:
-        """Adds changes to those that the store holds; of a key's writes in a block, the new one counts."""
-        if self.manifest() is None:
+        """Adds changes to those that the store holds; of a key's writes in a block, the new one counts.
+
+        The buffer and the new changes are flushed in the order of blocks. A level with ratio runs becomes one run
+        of the next. Only runs that change are written.
+        """
+        last = self.manifest()
+        if last is None:
             return self.commit(changes)
-        old = self.changes().withColumn("seq", F.lit(0)).unionByName(changes.select("addr", "slot", "block", "value").withColumn("seq", F.lit(1)))
-        return self.commit(old.groupBy("addr", "slot", "block").agg(F.max_by("value", "seq").alias("value")))
+        return self._added(last["runs"], last["overlaps"], changes)
+
+    def _added(self, old: list[dict], overlaps: bool, changes: DataFrame) -> dict:
+        flushed = [r for r in old if r["level"] >= 0]
+        new = changes.select("addr", "slot", "block", "value").withColumn("seq", F.lit(1))
+        for r in (r for r in old if r["level"] < 0):
+            new = new.unionByName(self._read([r]).select("addr", "slot", "block", "value").withColumn("seq", F.lit(0)))
+        rows = lsm.with_flush(new.groupBy("addr", "slot", "block").agg(F.max_by("value", "seq").alias("value")), self.capacity)
+        count, low = rows.agg(F.count("*"), F.min("block")).first()
+        flushes = count // self.capacity
+        head = max((r["block_hi"] for r in flushed), default=None)
+        overlaps = overlaps or head is not None and low is not None and low <= head
+
+        # Which runs there will be: each is a list of runs that stay or flushes that come, oldest first.
+        levels: dict[int, list[tuple[int, list]]] = {}
+        for r in sorted(flushed, key=lambda r: r["run"]):
+            levels.setdefault(r["level"], []).append((r["run"], [r]))
+        for f in range(flushes):
+            level, parts = 0, [f]
+            while True:
+                here = levels.setdefault(level, [])
+                here.append((here[-1][0] + 1 if here else 0, parts))
+                if len(here) < self.ratio:
+                    break
+                level, parts = level + 1, [p for _, run in here for p in run]
+                levels[level - 1] = []
+        stays = lambda run: len(run) == 1 and isinstance(run[0], dict)
+        kept = [run[0] for runs in levels.values() for _, run in runs if stays(run)]
+        made = rows.where(F.col("flush") >= flushes).select("addr", "slot", "block", "value", F.lit(-1).alias("level"), F.lit(-1).cast("long").alias("run"))
+        place = {}
+        for level, runs in levels.items():
+            for n, run in runs:
+                if stays(run):
+                    continue
+                for p in run:
+                    if isinstance(p, dict):
+                        made = made.unionByName(self._read([p]).select("addr", "slot", "block", "value", F.lit(level).alias("level"), F.lit(n).cast("long").alias("run")))
+                    else:
+                        place[p] = (level, n)
+        if place:
+            spots = self.spark.createDataFrame([(f, *to) for f, to in place.items()], "flush long, level int, run long")
+            made = made.unionByName(rows.join(F.broadcast(spots), "flush").select("addr", "slot", "block", "value", "level", "run"))  # a row for each flush of this append
+        return self._claimed(kept + self._written(made), overlaps)
+
+    def rewind(self, block: int) -> dict:
+        """Goes back to a block, whatever came after it: a new commit of the runs of the newest checkpoint that is not beyond it, and of the changes between that and the block, which are taken from the runs of now."""
+        base = max((m for m in self.manifests() if m["latest_block"] is None or m["latest_block"] <= block), key=lambda m: m["version"], default=None)
+        since = base["latest_block"] if base else None
+        between = self.changes().where(F.col("block") <= block)
+        if since is not None:
+            between = between.where(F.col("block") > since)
+        return self._added(base["runs"], base["overlaps"], between) if base else self.commit(between)
+
+    def _read(self, runs: list[dict]) -> DataFrame:
+        """Rows (addr, slot, block, value, level, run) of runs."""
+        if not runs:
+            raise ValueError("an empty store has no rows")
+        read = self.spark.read.parquet(*(f"{self.path}/{r['folder']}" for r in runs))
+        part = lambda name: F.regexp_extract(F.col("_metadata.file_path"), f"/{name}=(-?[0-9]+)/", 1)
+        return read.select("addr", "slot", "block", "value", part("level").cast("int").alias("level"), part("run").cast("long").alias("run"))
 
-    def _rows(self, entry: dict) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{entry['folder']}/rows")
+    def rows(self) -> DataFrame:
+        """All changes with their level and run. If later appends wrote blocks that were flushed before, a key's newest write of a block counts."""
+        entry = self.manifest()
+        every = self._read(entry["runs"])
+        if not entry["overlaps"]:
+            return every
+        newest = F.struct(-F.col("level"), F.col("run"))
+        return every.groupBy("addr", "slot", "block").agg(*(F.max_by(c, newest).alias(c) for c in ("value", "level", "run")))
 
     def changes(self) -> DataFrame:
-        return self._rows(self.manifest()).select("addr", "slot", "block", "value")
-
-    def rows(self) -> DataFrame:
-        return self._rows(self.manifest())
+        return self.rows().select("addr", "slot", "block", "value")
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.manifest()['folder']}/runs")
+        return lsm.runs(self.rows())
+
+    def index(self, error: float = 0.1, epsilon: int = 8) -> tuple[DataFrame, DataFrame]:
+        """The last commit's rows by page, and their filters and models, both written once to the store."""
+        name = f"index-{self.manifest()['version']}-{error}-{epsilon}"
+        fs, path = self._hadoop(f"{name}/built/_SUCCESS")
+        if not fs.exists(path):
+            lookup.dealt(self.rows()).write.mode("overwrite").parquet(f"{self.path}/{name}/pages")
+            lookup.index(self.spark.read.parquet(f"{self.path}/{name}/pages"), error, epsilon).write.mode("overwrite").parquet(f"{self.path}/{name}/built")
+        return self.spark.read.parquet(f"{self.path}/{name}/pages"), self.spark.read.parquet(f"{self.path}/{name}/built")
+
+    def lookup(self, probes: DataFrame) -> DataFrame:
+        """lookup() of probed keys by the store's filters and models."""
+        return lookup.lookup(*self.index(), probes)
+
+    def write_latest(self) -> DataFrame:
+        """The latest state beside the history, for reads that want no older version; written once for each commit."""
+        name = f"latest-{self.manifest()['version']}"
+        fs, path = self._hadoop(f"{name}/_SUCCESS")
+        if not fs.exists(path):
+            latest(self.changes()).sortWithinPartitions("addr", "slot").write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
     def files(self) -> DataFrame:
-        """(name, bytes) of all files below the store."""
+        """(path, name, bytes) of all files below the store."""
         found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path)
-        return found.select(F.expr(f"substring(path, length(path) - locate('/', reverse(path)) + 2)").alias("name"), F.col("length").alias("bytes"))  # noqa: F541
+        return found.select(F.substring_index("path", f"{self.path.split(':')[-1]}/", -1).alias("path"), F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"))
 
     def drop_old(self) -> int:
-        """Deletes the folders of commits before the last; gives their number."""
-        last, n = self.manifest(), 0
-        for row in self._manifests().where(F.col("version") < last["version"]).select("folder").collect():
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{row[0]}")
-            n += bool(hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True))
+        """Deletes the runs that no kept commit names: the last one, and each checkpoint_every-th; gives their number."""
+        every = self.manifests()
+        keep = [m for m in every if m is every[-1] or self.checkpoint_every > 0 and m["version"] % self.checkpoint_every == 0]
+        named = {r["folder"] for m in keep for r in m["runs"]}
+        gone = {r["folder"] for m in every for r in m["runs"]} - named
+        for m in every:
+            if m not in keep:
+                fs, path = self._hadoop(f"manifest/{m['version']:012d}.json")
+                fs.delete(path, False)
+        n = 0
+        for folder in gone:
+            fs, path = self._hadoop(folder)
+            n += bool(fs.delete(path, True))
         return n
 
 

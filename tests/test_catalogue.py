@@ -48,9 +48,9 @@ def test_whole_table_queries_reach_the_head(spark):
     head = catalogue.head_block(catalogue.changes(spark, SF))
     nodes = catalogue.trie_pruned_nodes(spark, SF)
     assert nodes.agg({"last_block": "max"}).first()[0] == head // 2  # it was 4 on every table
-    for name in ("merged_runs_all", "dense_provenance_head", "rebuilt_rows_all"):
+    for name in ("merged_runs", "dense_provenance", "rebuilt_rows"):
         assert catalogue.QUERIES[name](spark, SF).agg({"block": "max"}).first()[0] == head
-    assert catalogue.rewind_plan_all(spark, SF).agg({"block_hi": "max"}).first()[0] == head
+    assert catalogue.rewind_plan(spark, SF).agg({"block_hi": "max"}).first()[0] == head
 
 
 def test_entry(spark):

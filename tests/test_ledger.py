@@ -120,6 +120,23 @@ def test_placement_equals_a_simulation(spark, ratio):
     assert got == {(f, n): simulated(n, ratio).get(f, (-1, -1)) for f, n in pairs}
 
 
+def test_placement_beyond_many_levels(spark):
+    level, run = lsm.placed(F.col("f"), F.col("n"), 2)
+    for n in (4095, 4096, 20_000):
+        expected = simulated(n, 2)
+        got = {r.f: (r.level, r.run) for r in spark.range(n).select(F.col("id").alias("f"), F.lit(n).cast("long").alias("n")).select("f", level.alias("level"), run.alias("run")).collect()}
+        assert got == expected
+    top = spark.range(1).select(F.lit(2**61 + 1).alias("n"), F.lit(5).cast("long").alias("f")).select(level.alias("level"), run.alias("run")).first()
+    assert (top.level, top.run) == (61, 0)
+
+
+def test_compaction_numbers_runs_anew(spark):
+    rows = spark.createDataFrame([(1, "a", 1, 5, 1, 0), (1, "a", 2, 6, 0, 0), (2, "a", 3, 7, 0, 1), (3, "a", 4, 8, -1, -1)], "addr long, slot string, block long, value long, level int, run long")
+    got = {(r.addr, r.block): (r.level, r.run) for r in lsm.compacted(rows, 0).collect()}
+    assert got == {(1, 1): (1, 0), (1, 2): (1, 1), (2, 3): (1, 1), (3, 4): (-1, -1)}
+    assert {r.addr: r.probed for r in lsm.runs_visited(rows).collect()} == {3: 1, 2: 2, 1: 3}
+
+
 def test_runs_merge_without_changing_answers(changes, rows):
     placed = lsm.with_runs(changes, 10, 3).cache()
     assert placed.count() == len(rows) and placed.groupBy("flush").count().agg(F.max("count")).first()[0] == 10

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from stratum.operators import state
+from stratum.operators import lsm, state
 from stratum.sources import traces
 from stratum.sources.store import Store, write_metrics
 from stratum.streaming import blocks
@@ -40,6 +41,36 @@ def test_store_commits_appends_and_drops(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/m").count() == again.runs().count()
 
 
+def test_store_appends_like_a_commit_and_rewinds(spark, tmp_path):
+    rows = [(i * 7 % 11, "ab"[i % 2], i // 6 + 1, i) for i in range(300)]
+    changes = spark.createDataFrame(rows, "addr long, slot string, block long, value long").groupBy("addr", "slot", "block").agg(F.max("value").alias("value")).cache()
+    store = Store(spark, f"file://{tmp_path}/s", capacity=16, ratio=3, checkpoint_every=2)
+    key = lambda df: sorted(map(tuple, df.select("addr", "slot", "block", "value").collect()))
+    for low, high in ((1, 9), (10, 10), (11, 30), (31, 31), (32, 50)):
+        before = {r["folder"] for r in (store.manifest() or {"runs": []})["runs"] if r["level"] > 0}
+        store.append(changes.where(F.col("block").between(low, high)))
+        assert key(store.changes()) == key(changes.where(F.col("block") <= high))
+        if low in (10, 31):
+            assert before <= {r["folder"] for r in store.manifest()["runs"]}, "a small append leaves deep runs where they are"
+    whole = lsm.runs(lsm.with_runs(changes, 16, 3))
+    shape = lambda df: sorted((r.level, r.n_rows, r.block_lo, r.block_hi) for r in df.collect())
+    assert shape(store.runs()) == shape(whole)
+    assert store.checkpoints().select("version").distinct().count() == 5
+    shared = {r["folder"] for r in store.manifests()[2]["runs"] if r["level"] >= 0}
+    entry = store.rewind(30)  # just what the third commit held
+    assert key(store.changes()) == key(changes.where("block <= 30")) and shared <= {r["folder"] for r in entry["runs"]}
+    store.rewind(17)
+    assert key(store.changes()) == key(changes.where("block <= 17"))
+    store.append(changes.where("block between 18 and 40"))
+    assert key(store.changes()) == key(changes.where("block <= 40"))
+    assert sorted(map(tuple, store.lookup(changes).select("addr", "slot", "block", "value").collect())) == sorted(map(tuple, state.latest(changes.where("block <= 40")).collect()))
+    assert key(store.write_latest()) == key(state.latest(store.changes()))
+    assert store.drop_old() > 0 and key(store.changes()) == key(changes.where("block <= 40")) and len(store.manifests()) == 4
+    with pytest.raises(Exception, match="exist"):
+        fs, path = store._hadoop(f"manifest/{store.manifest()['version']:012d}.json")
+        fs.create(path, False)
+
+
 def test_streams_keep_the_batch_answers(spark, tmp_path):
     schema = "addr long, slot string, block long, seq long, value long, ts timestamp"
     rows = [(i % 5, "ab"[i % 2], i // 10 + 1, i, i * i) for i in range(100)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from fractions import Fraction
 from dataclasses import replace
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import bloom, chunked_tree, hashing, learned, patricia
 from stratum.functions.chunked_tree import ChunkedTree, verify
-from stratum.operators import merkle, provenance, trie
+from stratum.operators import lookup, lsm, merkle, provenance, trie
 
 CUTS = [None, chunked_tree.gear_cut(4), chunked_tree.polynomial_cut(4)]
 
@@ -43,6 +44,24 @@ def test_trees_do_not_depend_on_how_entries_came(cut):
     assert 2 <= whole.height <= 10
 
 
+@pytest.mark.parametrize("cut", CUTS)
+def test_trees_grow_at_their_right_spine(cut):
+    data = entries(999)
+    tree, made = ChunkedTree([], cut), 0
+    for k in range(0, 999, 37):
+        tree = tree.updated(data[k : k + 37])
+        made += tree.made
+        whole = ChunkedTree(data[: k + 37], cut)
+        assert tree.levels == whole.levels and tree.starts == whole.starts
+    assert made < 27 * whole.made / 4, "each step makes the nodes of its entries and of the spine only"
+    changed = tree.updated([(data[700][0], b"new"), (data[701][0] + 1, b"more")], [data[3][0]])
+    other = dict(data) | {data[700][0]: b"new", data[701][0] + 1: b"more"}
+    other.pop(data[3][0])
+    assert changed.root == ChunkedTree(list(other.items()), cut).root
+    assert tree.lower_bound(-5) == 0 and tree.lower_bound(data[9][0]) == 9 and tree.lower_bound(data[9][0] + 1) == 10 and tree.lower_bound(10**9) == 998
+    assert tree.newest() == data[-1] and ChunkedTree([]).newest() is None
+
+
 @pytest.mark.parametrize("cut", CUTS)
 def test_tampering_is_found(cut):
     data = entries(60)
@@ -90,6 +109,30 @@ def test_models_keep_their_error(epsilon):
     assert learned.fit([], 1) == [] and learned.fit([(5, 0), (5, 1)], 1)[0].start == 5
 
 
+def test_models_have_the_fewest_segments():
+    rng = random.Random(6)
+    for epsilon in (1, 3):
+        points, x = [], 0
+        for y in range(120):
+            x += rng.choice([1, 1, 2, 9])
+            points.append((x, y))
+
+        def fits(part, e=epsilon):
+            pairs = [(a, b) for i, a in enumerate(part) for b in part[i + 1 :]]
+            low = max((Fraction(b[1] - a[1] - 2 * e, b[0] - a[0]) for a, b in pairs), default=0)
+            return low <= min((Fraction(b[1] - a[1] + 2 * e, b[0] - a[0]) for a, b in pairs), default=0)
+
+        expected, begin = 0, 0
+        while begin < len(points):
+            end = begin + 1
+            while end < len(points) and fits(points[begin : end + 1]):
+                end += 1
+            expected, begin = expected + 1, end
+        segments = learned.fit(points, epsilon)
+        assert len(segments) == expected
+        assert max(abs(learned.Model(segments).predict(x) - y) for x, y in points) <= epsilon
+
+
 def test_trie_proofs():
     rng = random.Random(3)
     leaves = {f"{rng.getrandbits(64):016x}": f"v{i}" for i in range(500)}
@@ -122,6 +165,47 @@ def test_merkle_trees_of_many_sizes(spark):
     assert proofs.select(merkle.proof_bytes(F.col("path")).alias("n")).agg(F.max("n")).first()[0] > 0
 
 
+def test_merkle_ranges(spark):
+    leaves = spark.createDataFrame([(t, i, f"h{t}.{i}") for t in (1, 5, 23) for i in range(t)], "tree long, pos long, hash string")
+    ranges = spark.createDataFrame([(t, a, b) for t in (1, 5, 23) for a in range(t) for b in range(a, t + 2, 3)], "tree long, low long, high long")
+    made = merkle.levels(leaves, 4)
+    found = merkle.range_proofs(made, ranges, 4).join(merkle.roots(leaves, 4, made=made), "tree").cache()
+    ok = merkle.range_root(F.col("hashes"), F.col("path"), 4) == F.col("root")
+    assert found.count() == ranges.count() and found.where(~ok).count() == 0
+    assert all(list(r.hashes) == [f"h{r.tree}.{i}" for i in range(r.low, min(r.high + 1, r.tree))] for r in found.collect())
+    forged = found.withColumn("hashes", F.transform("hashes", lambda h, k: F.when(k == F.size("hashes") - 1, F.lit("x")).otherwise(h)))
+    assert forged.where(ok).count() == 0 and found.where("size(hashes) > 1").withColumn("hashes", F.slice("hashes", 1, F.size("hashes") - 1)).where(ok).count() == 0
+
+
+def test_leaves_of_unlike_rows_differ(spark):
+    rows = spark.createDataFrame([("a|b", "c", "x"), ("a", "b|c", "x"), ("a", None, "b"), ("a", "b", None), ("", "ab", ""), ("a:", "1:b", "-"), ("-", None, None), (None, "-", None)], "addr string, slot string, value string")
+    assert rows.select(merkle.leaf("addr", "slot", "value").alias("d")).distinct().count() == 8
+    assert trie.proved(rows.select("addr", "slot", F.coalesce("value", F.lit("")).alias("value"))).where("not ok").count() == 0
+
+
+def test_lookups_by_filters_and_models(spark, changes):
+    placed = lsm.with_runs(changes, 20, 3).cache()
+    missing = spark.createDataFrame([(a, s) for a in range(30, 60) for s in "ab"], "addr long, slot string")
+    for part_rows in (7, 200_000):
+        parted = lookup.dealt(placed, part_rows).cache()
+        built = lookup.index(parted, 0.05, 2).cache()
+        found = lookup.lookup(parted, built, changes.select("addr", "slot").unionByName(missing)).cache()
+        ages = {(r.level, r.run): r.age for r in lsm.newest_first(placed).collect()}
+        expected = {}
+        for r in placed.collect():
+            k = (r.addr, r.slot)
+            if k not in expected or (ages[r.level, r.run], -r.block) < (ages[expected[k].level, expected[k].run], -expected[k].block):
+                expected[k] = r
+        got = {(r.addr, r.slot): r for r in found.collect()}
+        assert len(got) == len(expected) + 60
+        assert all((got[k].level, got[k].run, got[k].block, got[k].value) == (e.level, e.run, e.block, e.value) for k, e in expected.items())
+        assert all(r.block is None and r.value is None and r.level is None for k, r in got.items() if k not in expected)
+        assert all(r.searched - r.wasted == (r.block is not None) for r in got.values())
+        visited = {(r.addr, r.slot): r.probed for r in lsm.runs_visited(placed).collect()}
+        assert all(1 <= got[k].searched <= visited[k] for k in expected) and sum(got[k].searched for k in expected) < sum(visited.values())
+        assert sum(r.wasted for r in got.values()) < 0.15 * (60 * len(ages) + sum(visited.values()))
+
+
 def test_blake2b_equals_the_library(spark, changes):
     import hashlib
 
