@@ -25,8 +25,13 @@ def sha256(text: Column) -> Column:
 
 def leaf(*columns: str, hashed: Hash = sha256) -> Column:
     """Digest of a row: its columns as strings, each after its length in bytes, so that borders count; null is a dash."""
-    text = lambda c: F.col(c).cast("string")
-    return hashed(F.concat(*(F.coalesce(F.concat(F.octet_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns)))
+    return leaf_of(*map(F.col, columns), hashed=hashed)
+
+
+def leaf_of(*columns: Column, hashed: Hash = sha256) -> Column:
+    """leaf() of column expressions."""
+    text = [c.cast("string") for c in columns]
+    return hashed(F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text)))
 
 
 def joined(hashes: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratum.functions import bloom, hashing, learned
-from stratum.operators import contracts, lookup, lsm, merkle, metrics, provenance, reorg, state, trie
+from stratum.operators import contracts, lookup, lsm, merkle, metrics, provenance, reorg, run_proofs, state, trie
 from stratum.plans.scratch import folder, positions, stored
 from stratum.sources import traces
 from stratum.sources.store import Store
@@ -779,3 +779,13 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/rows").select(F.unix_seconds("start").alias("start"), "n_writes")
+
+
+@query("run_proofs_ok", "SELECT k.addr, k.slot, CAST(g.level AS BIGINT) AS level, g.run, true AS ok, count(x.block) AS n_found FROM (SELECT DISTINCT addr, slot FROM c UNION ALL SELECT DISTINCT addr + 1000000000, slot FROM c) k CROSS JOIN (SELECT DISTINCT level, run FROM r) g LEFT JOIN (SELECT * FROM r WHERE block BETWEEN 20 AND 60) x ON x.addr = k.addr AND x.slot = k.slot AND x.level = g.level AND x.run = g.run GROUP BY 1, 2, 3, 4")
+def run_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each run, proofs of what it holds of all keys, and of as many that it does not have."""
+    rows = rows_in_runs(spark, sf_dir)
+    keys = rows.select("addr", "slot").distinct()
+    runs = run_proofs.Runs(rows, FANOUT, BLOOM_ERROR)
+    proofs = runs.prove(keys.unionByName(keys.withColumn("addr", F.col("addr") + 10**9)), 20, 60)
+    return run_proofs.Runs.verify(proofs, runs.digests(), 20, 60, FANOUT).withColumn("level", F.col("level").cast("long"))

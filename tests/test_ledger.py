@@ -8,9 +8,10 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from stratum.ledger import Ledger
+from stratum.ledger import BACKENDS, Ledger
 from stratum.operators import contracts, lsm, metrics, reorg, state
 from stratum.schema import ZERO
+from stratum.sources.store import Store
 
 SCHEMA = "addr long, slot string, block long, value long"
 
@@ -196,6 +197,22 @@ def test_metrics(spark, changes, rows):
     assert metrics.windows(40, [2, 8]) == [(2, 39, 40), (8, 33, 40)]
 
 
+def test_all_backends_give_the_same_reads(spark, changes, tmp_path):
+    rows = lambda df: sorted(map(tuple, df.select("addr", "slot", "block", "value").collect()))
+    plain = {name: make(changes).single_write(1, "a", 77, 50) for name, make in BACKENDS.items()}
+    for read in (lambda k: k.latest(), lambda k: k.as_of(20), lambda k: k.provenance(10, 20), lambda k: k.rewind(3).latest(), lambda k: k.pruned().changes):
+        answers = {name: rows(read(ledger)) for name, ledger in plain.items()}
+        assert all(a == answers["memory"] for a in answers.values())
+    digests = {name: plain[name].digest().first().root for name in ("gear", "polynomial", "fixed", "trie")}
+    assert len(set(digests.values())) == 4
+    assert plain["trie"].verify(plain["trie"].prove(1, 20), 1, 20).where("not ok").count() == 0
+    assert plain["delta"].index_size(10, 3).agg(F.sum("n_rows")).first()[0] == plain["delta"].changes.count()
+    store = Store(spark, f"file://{tmp_path}/s", 16, 3)
+    assert plain["gear"].commit(store)["version"] == 1 and rows(Ledger.opened(store).latest()) == rows(plain["gear"].latest())
+    cost = plain["gear"].memory_cost(16, 3).first()
+    assert cost.filters > 0 and cost.models > 0
+
+
 def test_interface(spark, changes):
     ledger = Ledger(changes)
     later = ledger.single_write(1, "a", 77, 50).batch_write(spark.createDataFrame([(2, "nonce", 3, 1), (2, "nonce", 4, 2)], "addr long, slot string, value long, seq long"), 51)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import bloom, chunked_tree, hashing, learned, patricia
 from stratum.functions.chunked_tree import ChunkedTree, verify
-from stratum.operators import lookup, lsm, merkle, provenance, trie
+from stratum.operators import lookup, lsm, merkle, provenance, run_proofs, trie
 
 CUTS = [None, chunked_tree.gear_cut(4), chunked_tree.polynomial_cut(4)]
 
@@ -206,6 +206,53 @@ def test_lookups_by_filters_and_models(spark, changes):
         assert sum(r.wasted for r in got.values()) < 0.15 * (60 * len(ages) + sum(visited.values()))
 
 
+def test_tries_share_nodes_and_delete_unused_ones():
+    rng = random.Random(8)
+    paths = [f"{rng.getrandbits(32):08x}" for _ in range(150)] + [f"abcdef{i:02x}" for i in range(40)]
+    t, leaves, roots = patricia.VersionedTrie(), {}, [""]
+    states = []
+    for v in range(12):
+        block = {p: f"v{v}" for p in rng.sample(paths, 25)}
+        roots.append(t.update(roots[-1], block))
+        leaves |= block
+        states.append(dict(leaves))
+        assert roots[-1] == patricia.Trie(leaves).root
+    for root, old in zip(roots[1:], states, strict=True):
+        p = rng.choice(list(old))
+        assert set(patricia.Trie(old).nodes) <= set(t.nodes) and patricia.verify(patricia.Trie(old).prove(p), root, p) == (True, old[p])
+    for i, root in enumerate(roots[1:-1]):
+        t.release(root)
+        assert set(t.nodes) == set().union(*(patricia.Trie(s).nodes for s in states[i + 1 :]))
+    assert t.update(roots[-1], {}) == roots[-1]
+    t.release(roots[-1])
+    t.release(roots[-1])
+    assert not t.nodes and not t.references and t.update("", {}) == ""
+
+
+def test_run_proofs_hold_and_forged_ones_do_not(changes):
+    placed = lsm.with_runs(changes, 40, 3).cache()
+    runs = run_proofs.Runs(placed, 4, 0.05)
+    keys = changes.select("addr", "slot").distinct()
+    probes = keys.unionByName(keys.withColumn("addr", F.col("addr") + 50))
+    proofs, digests = runs.prove(probes, 10, 30).cache(), runs.digests().cache()
+    found = run_proofs.Runs.verify(proofs, digests, 10, 30).cache()
+    n_runs = placed.select("level", "run").distinct().count()
+    assert found.count() == probes.distinct().count() * n_runs and found.where("not ok").count() == 0
+    assert found.agg(F.sum("n_found")).first()[0] == changes.where("block between 10 and 30").count()
+    assert proofs.where("filter is not null").count() > 0 and proofs.where("rows is not null").count() > 0
+    bad = lambda df: run_proofs.Runs.verify(df, digests, 10, 30).where("ok").count()
+    shown = proofs.where("size(rows) > 2")
+    assert shown.count() > 20
+    assert bad(shown.withColumn("rows", F.filter("rows", lambda r, i: i != 1))) == 0, "a row is left out"
+    assert bad(shown.withColumn("rows", F.transform("rows", lambda r, i: F.when(i == 1, r.withField("value", F.lit("x"))).otherwise(r)))) == 0
+    assert bad(proofs.where("filter is not null").join(keys, ["addr", "slot"], "left_semi").withColumn("run", F.col("run") * 0 + 99)) == 0
+    held = placed.select("addr", "slot", "level", "run").distinct()
+    forged = proofs.where("rows is not null").join(held, ["addr", "slot", "level", "run"], "left_semi").withColumns({"rows": F.lit(None).cast(proofs.schema["rows"].dataType), "part": F.lit(0)}).drop("filter").join(runs.index.where("part = 0").select("level", "run", "filter"), ["level", "run"])
+    assert forged.count() > 0 and bad(forged) == 0, "a filter that has the key excludes nothing"
+    wider = run_proofs.Runs.verify(proofs.where("rows is not null"), digests, 5, 45)
+    assert wider.where("ok").count() < wider.count(), "proofs of a range do not all prove a larger one"
+
+
 def test_blake2b_equals_the_library(spark, changes):
     import hashlib
 
