@@ -29,12 +29,11 @@ def placed(flush: Column, flushes: Column, ratio: int) -> tuple[Column, Column]:
     """
     # All levels that a long number of flushes can have.
     sizes = [ratio**i for i in range(63) if ratio**i < 1 << 62]
-    level, size = F.lit(-1), F.lit(1).cast("long")
-    for i, n in enumerate(sizes):
-        here = (flush < flushes - flushes % n) & (flushes >= n)
-        level, size = F.when(here, i).otherwise(level), F.when(here, F.lit(n).cast("long")).otherwise(size)
+    every = F.array(*(F.lit(n).cast("long") for n in sizes))
+    size = F.array_max(F.filter(every, lambda n: (flush < flushes - flushes % n) & (flushes >= n)))
+    level = F.coalesce(F.array_position(every, size) - 1, F.lit(-1)).cast("int")
     start = flushes - F.when(size <= sizes[-1] // ratio, flushes % (size * ratio)).otherwise(flushes)
-    return level, F.when(level >= 0, F.floor((flush - start) / size)).otherwise(F.lit(-1))
+    return level, F.coalesce(F.floor((flush - start) / size), F.lit(-1))
 
 
 def with_runs(changes: DataFrame, capacity: int, ratio: int) -> DataFrame:
