@@ -23,6 +23,12 @@ class Ledger:
 
     def __init__(self, changes: DataFrame, fanout: int = 4, cut: str = "gear") -> None:
         self.changes, self.fanout, self.cut = changes, fanout, cut
+        #: The first block of which the history is whole, if the ledger was pruned; None if it has no history.
+        self.horizon: int | None = 0
+
+    def _whole_from(self, block: int) -> None:
+        if self.horizon is None or block < self.horizon:
+            raise ValueError(f"the history of block {block} was pruned")
 
     # Writes give a new ledger.
     def batch_write(self, writes: DataFrame, block: int) -> Ledger:
@@ -40,6 +46,7 @@ class Ledger:
         return state.latest(self.changes)
 
     def as_of(self, block: int) -> DataFrame:
+        self._whole_from(block)
         return state.as_of(self.changes, block)
 
     def values(self, keys: DataFrame, default: Column) -> DataFrame:
@@ -51,6 +58,7 @@ class Ledger:
         return state.values_of(addresses, self.changes.where(F.col("slot") == slot), default)
 
     def provenance(self, low: int, high: int) -> DataFrame:
+        self._whole_from(low)
         return state.provenance(self.changes, low, high)
 
     def dense(self, low: int, high: int) -> DataFrame:
@@ -65,6 +73,7 @@ class Ledger:
         return merkle.roots(provenance.key_leaves(self.roots()).drop(*KEY), self.fanout)
 
     def prove(self, low: int, high: int) -> DataFrame:
+        self._whole_from(low)
         return provenance.prove(self.changes, low, high, self.cut, self.fanout)
 
     def verify(self, proofs: DataFrame, low: int, high: int) -> DataFrame:
@@ -75,9 +84,11 @@ class Ledger:
         return type(self)(reorg.rewound(self.changes, blocks), self.fanout, self.cut)
 
     def pruned(self, block: int | None = None) -> Ledger:
-        """Without history: the latest versions only, or those from a block on and what held at it. Proofs of dropped versions are not possible any more."""
+        """Without history: the latest versions only, or those from a block on and what held at it. Reads and proofs of what was dropped raise an error."""
         kept = state.prune_to_latest(self.changes) if block is None else state.prune_before(self.changes, block)
-        return type(self)(kept.select(self.changes.columns), self.fanout, self.cut)
+        out = type(self)(kept.select(self.changes.columns), self.fanout, self.cut)
+        out.horizon = block
+        return out
 
     def index_size(self, capacity: int, ratio: int) -> DataFrame:
         return lsm.runs(lsm.with_runs(self.changes, capacity, ratio))

@@ -7,7 +7,7 @@ increments of an account in one block count once. With serial=True each transact
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = 1 << 256
@@ -91,6 +91,19 @@ def deposit_transfers(transactions: DataFrame, serial: bool = False) -> DataFram
     return transactions.groupBy("shard").applyInPandas(run, f"shard {kind}, account long, value string")
 
 
+def kv_results(operations: DataFrame) -> DataFrame:
+    """(seq, key, value): what each READ of key-value operations (seq, op, key, value) finds: the value that the last operation before it wrote, null if none did."""
+    written = F.when(F.col("op") != "READ", F.struct("value"))
+    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = operations.withColumn("found", F.last(written, True).over(before))
+    return rows.where("op = 'READ'").select("seq", "key", F.col("found.value").alias("value"))
+
+
+def stored_numbers(calls: DataFrame) -> DataFrame:
+    """(contract, value) of the storage contract's calls (contract, seq, value): what the last call set. Calls of a contract that does nothing have no rows here."""
+    return calls.groupBy("contract").agg(F.max_by("value", "seq").alias("value"))
+
+
 def scanned(changes: DataFrame, low: Column, high: Column, descending: bool = False) -> DataFrame:
     """Keys from low to high in their order, or the reverse."""
     rows = changes.where(F.col("slot").between(low, high))

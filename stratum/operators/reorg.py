@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Blocks that runs are looked up in together.
+STRETCH = 1024
+
 
 def rewound(changes: DataFrame, blocks: int) -> DataFrame:
     """changes without those of the last blocks."""
@@ -31,5 +34,8 @@ def plan(runs: DataFrame, saved: DataFrame) -> DataFrame:
 
 def rebuilt(rows: DataFrame, saved: DataFrame) -> DataFrame:
     """Rows of the checkpoint's runs, from current rows whatever run holds them."""
-    spans = saved.select(F.col("level").alias("to_level"), F.col("run").alias("to_run"), "block_lo", "block_hi")
-    return rows.join(F.broadcast(spans) if spans.limit(100_001).count() <= 100_000 else spans, F.col("block").between(F.col("block_lo"), F.col("block_hi"))).drop("block_lo", "block_hi")
+    stretch = F.explode(F.sequence(F.floor(F.col("block_lo") / STRETCH), F.floor(F.col("block_hi") / STRETCH))).alias("stretch")
+    spans = saved.select(F.col("level").alias("to_level"), F.col("run").alias("to_run"), "block_lo", "block_hi", stretch)
+    # Joined by stretches of blocks, so that it is no join of ranges, however many runs there are.
+    found = rows.withColumn("stretch", F.floor(F.col("block") / STRETCH)).join(spans, "stretch").where(F.col("block").between(F.col("block_lo"), F.col("block_hi")))
+    return found.drop("block_lo", "block_hi", "stretch")

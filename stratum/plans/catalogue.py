@@ -789,3 +789,16 @@ def run_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = run_proofs.Runs(rows, FANOUT, BLOOM_ERROR)
     proofs = runs.prove(keys.unionByName(keys.withColumn("addr", F.col("addr") + 10**9)), 20, 60)
     return run_proofs.Runs.verify(proofs, runs.digests(), 20, 60, FANOUT).withColumn("level", F.col("level").cast("long"))
+
+
+@query("kv_reads", "SELECT seq, key, found AS value FROM (SELECT seq, op, key, last_value(value IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN 'UPDATE' ELSE 'READ' END AS op, 'user' || CAST(addr AS VARCHAR) AS key, CASE WHEN seq % 2 = 0 THEN CAST(value AS VARCHAR) END AS value FROM w)) WHERE op = 'READ'")
+def kv_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reads of a key-value workload find."""
+    w, key = writes(spark, sf_dir), F.concat(F.lit("user"), F.col("addr").cast("string"))
+    write = F.col("seq") % 2 == 0
+    return contracts.kv_results(w.select("seq", F.when(write, "UPDATE").otherwise("READ").alias("op"), key.alias("key"), F.when(write, F.col("value").cast("string")).alias("value")))
+
+
+@query("stored_numbers", "SELECT addr AS contract, arg_max(value, seq) AS value FROM w GROUP BY addr")
+def stored_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.stored_numbers(writes(spark, sf_dir).select(F.col("addr").alias("contract"), "seq", "value"))

@@ -213,6 +213,15 @@ def test_all_backends_give_the_same_reads(spark, changes, tmp_path):
     assert cost.filters > 0 and cost.models > 0
 
 
+def test_a_pruned_ledger_refuses_what_it_dropped(changes):
+    pruned = Ledger(changes).pruned(15)
+    assert sorted(map(tuple, pruned.as_of(20).collect())) == sorted(map(tuple, Ledger(changes).as_of(20).collect()))
+    assert pruned.verify(pruned.prove(15, 30), 15, 30).where("not ok").count() == 0
+    for read in (lambda k: k.as_of(14), lambda k: k.provenance(14, 20), lambda k: k.prove(3, 20), lambda k: Ledger(changes).pruned().prove(1, 2)):
+        with pytest.raises(ValueError, match="pruned"):
+            read(pruned)
+
+
 def test_interface(spark, changes):
     ledger = Ledger(changes)
     later = ledger.single_write(1, "a", 77, 50).batch_write(spark.createDataFrame([(2, "nonce", 3, 1), (2, "nonce", 4, 2)], "addr long, slot string, value long, seq long"), 51)

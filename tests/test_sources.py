@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratum.operators import lsm, state
 from stratum.sources import traces
+from stratum.sources.parameters import Parameters
 from stratum.sources.store import Store, write_metrics
 from stratum.streaming import blocks
 
@@ -71,6 +72,19 @@ def test_store_appends_like_a_commit_and_rewinds(spark, tmp_path):
         fs.create(path, False)
 
 
+def test_parameters(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"capacity": 8,\n "ratio": 2, "checkpoint_every": 3}')
+    given = Parameters.read(spark, f"file://{tmp_path}/p.json")
+    assert given == Parameters(capacity=8, ratio=2, checkpoint_every=3) and given.fanout == 4
+    store = given.store(spark, f"file://{tmp_path}/s")
+    assert (store.capacity, store.ratio, store.checkpoint_every) == (8, 2, 3)
+    (tmp_path / "q.json").write_text(Parameters(fanout=9).to_json())
+    assert Parameters.read(spark, f"file://{tmp_path}/q.json").fanout == 9
+    (tmp_path / "r.json").write_text('{"size": 1}')
+    with pytest.raises(ValueError, match="size"):
+        Parameters.read(spark, f"file://{tmp_path}/r.json")
+
+
 def test_streams_keep_the_batch_answers(spark, tmp_path):
     schema = "addr long, slot string, block long, seq long, value long, ts timestamp"
     rows = [(i % 5, "ab"[i % 2], i // 10 + 1, i, i * i) for i in range(100)]
