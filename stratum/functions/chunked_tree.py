@@ -14,6 +14,7 @@ import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from operator import itemgetter
 
 Cut = Callable[[bytes, int], bool]
 Entry = tuple[int, bytes]
@@ -153,9 +154,9 @@ class ChunkedTree:
 
     def prove(self, low: int, high: int) -> Proof:
         """Entries from low to high with one neighbour on each side where there is one, and what leads to the root."""
-        keys = [k for k, _ in self.entries]
-        a = max(0, bisect_right(keys, low - 1) - 1)
-        b = min(len(keys), bisect_right(keys, high) + 1)
+        key = itemgetter(0)
+        a = max(0, bisect_right(self.entries, low - 1, key=key) - 1)
+        b = min(len(self.entries), bisect_right(self.entries, high, key=key) + 1)
         shown, levels = tuple(self.entries[a:b]), []
         for members, starts in zip(self.levels, self.starts, strict=False):
             if not members:

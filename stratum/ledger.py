@@ -79,6 +79,11 @@ class Ledger:
     def verify(self, proofs: DataFrame, low: int, high: int) -> DataFrame:
         return provenance.verify(proofs, self.roots(), low, high)
 
+    def prove_dense(self, low: int, high: int) -> DataFrame:
+        """Proofs of the value of each key at each block, for dense_shown()."""
+        self._whole_from(low)
+        return provenance.dense_prove(self.changes, low, high, self.cut, self.fanout)
+
     # Going back, and the shape on disk.
     def rewind(self, blocks: int) -> Ledger:
         return type(self)(reorg.rewound(self.changes, blocks), self.fanout, self.cut)

@@ -39,8 +39,8 @@ def window_proofs(proofs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def memory(filters: DataFrame) -> DataFrame:
-    """Bytes of all filters that a store keeps in memory."""
-    return filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0)).alias("bytes"))
+    """Bytes of all filters (memory) that a store keeps in memory."""
+    return filters.agg(F.coalesce(F.sum("memory"), F.lit(0)).alias("bytes"))
 
 
 def windows(head: int, sizes: list[int]) -> list[tuple[int, int, int]]:

@@ -142,6 +142,38 @@ def window_proofs(changes: DataFrame, head: int, sizes: list[int], cut: str = "g
     return rows.select(*KEY, F.col("x.window").alias("window"), "x.n_found", "x.proof_bytes", "x.ok")
 
 
+def dense_prove(changes: DataFrame, low: int, high: int, cut: str = "gear", fanout: int = 4) -> DataFrame:
+    """(addr, slot, root, low, high, proof): for each key, the stretches of blocks from low to high in which its value stays, each with a proof that no version lies between. It is the proof of each of the stretch's blocks."""
+
+    def made(blocks: list, values: list) -> tuple:
+        tree = _tree(blocks, values, cut, fanout)
+        borders = [low, *(b for b in blocks if low < b <= high), high + 1]
+        spans = [(a, b - 1) for a, b in zip(borders, borders[1:])]
+        return tree.root.hex(), [a for a, _ in spans], [b for _, b in spans], [pickle.dumps(tree.prove(a, b)) for a, b in spans]
+
+    every = _by_key(changes, made, "root string, low array<long>, high array<long>, proof array<binary>")
+    return every.select(*KEY, "root", F.explode(F.arrays_zip("low", "high", "proof")).alias("x")).select(*KEY, "root", "x.low", "x.high", "x.proof")
+
+
+def dense_shown(proofs: DataFrame) -> DataFrame:
+    """(addr, slot, block, value, ok) for each block of the proofs' stretches: the value that the proof shows to hold, null before the key's first version or if the proof does not hold."""
+
+    def check(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            values, holds = [], []
+            for a, b, data, root in zip(pdf["low"], pdf["high"], pdf["proof"], pdf["root"], strict=True):
+                proof = pickle.loads(data)  # noqa: S301
+                inside = chunked_tree.verify(proof, bytes.fromhex(root), a, b)
+                # A version after the stretch's first block would end the stretch.
+                holds.append(inside is not None and all(k == a for k, _ in inside))
+                held = [v for k, v in proof.entries if k <= a]
+                values.append(held[-1].decode() if holds[-1] and held else None)
+            yield pdf[[*KEY, "low", "high"]].assign(value=values, ok=holds)
+
+    spans = proofs.select(*KEY, "low", "high", "proof", "root").mapInPandas(check, f"{_keyed(proofs)}, low long, high long, value string, ok boolean")
+    return spans.select(*KEY, F.explode(F.sequence("low", "high")).alias("block"), "value", "ok")
+
+
 def key_leaves(roots: DataFrame) -> DataFrame:
     """Leaves (tree, pos, hash, addr, slot) of the Merkle tree of all keys: a key's digest covers the root of its versions."""
     return positions(roots, KEY).select(F.lit(0).alias("tree"), "pos", merkle.leaf(*KEY, "root").alias("hash"), *KEY)

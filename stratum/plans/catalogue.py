@@ -361,11 +361,35 @@ def trie_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.proved(latest_state(spark, sf_dir))
 
 
-@query("trie_root")
+#: Nibbles that tell apart all keys' paths in the SQL below.
+TRIE_DEPTH = 12
+
+
+def trie_sql() -> str:
+    """The trie's root, folded from prefixes of TRIE_DEPTH nibbles, one key below each, to none."""
+    folds = [f"t{TRIE_DEPTH} AS (SELECT substring(p, 1, {TRIE_DEPTH}) AS p, 'leaf' AS kind, substring(p, {TRIE_DEPTH + 1}) AS path, v AS below FROM (SELECT {PATH_SQL} AS p, {leaf_sql('value')} AS v FROM l))"]
+    slots = " || '|' || ".join(f"coalesce(max(h) FILTER (nib = '{n}'), '')" for n in "0123456789abcdef")
+    for d in range(TRIE_DEPTH - 1, -1, -1):
+        rows = f"SELECT substring(p, 1, {d}) AS p, substring(p, {d + 1}, 1) AS nib, kind, path, below, sha256(kind || '|' || path || '|' || below) AS h FROM t{d + 1}"
+        folds.append(f"""t{d} AS (SELECT p, CASE WHEN count(*) > 1 THEN 'branch' WHEN min(kind) = 'branch' THEN 'extension' ELSE min(kind) END AS kind,
+CASE WHEN count(*) > 1 THEN '' WHEN min(kind) = 'branch' THEN min(nib) ELSE min(nib) || min(path) END AS path,
+CASE WHEN count(*) > 1 THEN {slots} WHEN min(kind) = 'branch' THEN min(h) ELSE min(below) END AS below FROM ({rows}) GROUP BY p)""")
+    return ", " + ", ".join(folds) + " SELECT sha256(kind || '|' || path || '|' || below) AS root FROM t0"
+
+
+@query("trie_root", trie_sql())
 def trie_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.root(latest_state(spark, sf_dir))
 
 
+@query("trie_nodes_read", f"SELECT addr, slot, {leaf_sql('value')} AS hash FROM l UNION ALL SELECT DISTINCT addr + 1000000000, slot, NULL FROM l")
+def trie_nodes_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie's nodes written as a table, and what all keys and as many others find in them."""
+    rows = latest_state(spark, sf_dir)
+    held = stored(trie.nodes(rows), "trie")
+    return trie.read(held, rows.select("addr", "slot").unionByName(rows.select((F.col("addr") + 10**9).alias("addr"), "slot")))
+
+
 @query("trie_pruned_nodes")
 def trie_pruned_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of four snapshots spread over all blocks, the last at the head, the nodes that only the first two use."""
@@ -399,7 +423,11 @@ def transfer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.transfers(writes(spark, sf_dir).select(F.concat(F.lit("a"), F.col("addr").cast("string"), F.lit(" b"), F.col("slot")).alias("value")))
 
 
-@query("smallbank_trace")
+def drawn_sql(salt: int, most: int) -> str:
+    return f"CAST(CAST('0x' || substring(sha256('1|{salt}|' || CAST(id AS VARCHAR)), 1, 15) AS BIGINT) % {most} + 1 AS INTEGER)"
+
+
+@query("smallbank_trace", f"SELECT CAST(id // 100 + 1 AS BIGINT) AS block, id AS seq, {drawn_sql(1, 6)} AS op, {drawn_sql(2, 49)} AS a, {drawn_sql(3, 49)} AS b, {drawn_sql(4, 99)} AS amount FROM (SELECT unnest(range(0, 1000)) AS id)")
 def smallbank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.smallbank(spark, 1000, 50, 1)
 
@@ -487,13 +515,30 @@ def proof_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.prove(changes(spark, sf_dir), 20, 60).select("addr", "slot", "proof_bytes")
 
 
+#: Trees with nodes of four members: on each level, the members beside those shown, 40 bytes each, from the key's neighbours of the range up.
+@query("proof_sizes_fixed", """, k AS (SELECT addr, slot, count(*) AS n, count(*) FILTER (WHERE block <= 19) AS below, count(*) FILTER (WHERE block <= 60) AS upto FROM c GROUP BY addr, slot),
+s AS (SELECT *, greatest(0, below - 1) AS a, least(n, upto + 1) AS b FROM k),
+t AS (WITH RECURSIVE up AS (SELECT addr, slot, a, b, n, 40 * (b - a) AS bytes, false AS done FROM s
+UNION ALL SELECT addr, slot, a // 4, (b - 1) // 4 + 1, (n + 3) // 4, bytes + 40 * (a - a // 4 * 4 + least(n, ((b - 1) // 4 + 1) * 4) - b), (n + 3) // 4 = 1 FROM up WHERE NOT done) SELECT * FROM up WHERE done)
+SELECT addr, slot, CAST(bytes + 2 AS BIGINT) AS proof_bytes FROM t""")
+def proof_sizes_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.prove(changes(spark, sf_dir), 20, 60, "fixed", FANOUT).select("addr", "slot", "proof_bytes")
+
+
+@query("tree_shape_fixed", "SELECT CAST(height AS INTEGER) AS height, count(*) AS n_keys, min(n) AS least, max(n) AS most FROM (SELECT n, (SELECT min(h) FROM range(1, 20) r(h) WHERE pow(4, h) >= n) AS height FROM (SELECT count(*) AS n FROM c GROUP BY addr, slot)) GROUP BY 1")
+def tree_shape_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = provenance.version_roots(changes(spark, sf_dir), "fixed", FANOUT)
+    return roots.groupBy("height").agg(F.count("*").alias("n_keys"), F.min("n_versions").alias("least"), F.max("n_versions").alias("most"))
+
+
 @query("tree_shape")
 def tree_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = provenance.version_roots(changes(spark, sf_dir))
     return roots.groupBy("height").agg(F.count("*").alias("n_keys"), F.min("n_versions").alias("least"), F.max("n_versions").alias("most"))
 
 
-@query("filter_memory")
+#: One filter of each flush: its bits by the number of rows and the error rate of the first slice, in bytes.
+@query("filter_memory", "SELECT CAST(sum(greatest(64, CAST(ceil(-greatest(64, n) * ln(0.1 * (1 - 0.85)) / ln(2) ** 2) AS BIGINT)) // 8 + 1) AS BIGINT) AS bytes FROM (SELECT count(*) AS n FROM f GROUP BY flush)")
 def filter_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lsm.with_flush(changes(spark, sf_dir), CAPACITY)
     return metrics.memory(bloom.filters(rows, "flush", F.concat_ws("|", F.col("addr").cast("string"), "slot")))
@@ -536,6 +581,14 @@ def dense_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.dense(c, max(1, head - WINDOWS[-1] + 1), head)
 
 
+@query("dense_proofs", f"SELECT k.addr, k.slot, b.block, CAST((SELECT arg_max(value, c.block) FROM c WHERE c.addr = k.addr AND c.slot = k.slot AND c.block <= b.block) AS VARCHAR) AS value, true AS ok FROM (SELECT DISTINCT addr, slot FROM c) k, (SELECT DISTINCT block FROM c WHERE block > {HEAD_SQL} - {WINDOWS[-1]}) b")
+def dense_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_provenance, each value as its proof shows it."""
+    c = changes(spark, sf_dir)
+    head = head_block(c)
+    return provenance.dense_shown(provenance.dense_prove(c, max(1, head - WINDOWS[-1] + 1), head))
+
+
 def level_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of all levels as a checkpoint."""
     return reorg.checkpoint(run_block_ranges(spark, sf_dir), 0)

@@ -37,7 +37,11 @@ class Store:
         return sorted((json.loads(r[0]) for r in every.collect()), key=lambda m: m["version"]) if every is not None else []
 
     def manifest(self) -> dict | None:
-        """The last commit: version, latest_block, capacity, ratio, rows of the buffer, overlaps, and runs: folder, level, run, n_rows, block_lo and block_hi of each; the buffer has level -1."""
+        """The last commit: version, latest_block, capacity, ratio, overlaps, since, rewinds, and runs: folder, level, run, n_rows, block_lo and block_hi of each; the buffer has level -1.
+
+        Commits from version since on hold all that the store has up to their latest block, but for those that a
+        rewind (version, block) after them left behind.
+        """
         every = self.manifests()
         return every[-1] if every else None
 
@@ -46,10 +50,14 @@ class Store:
         rows = [(m["version"], m["latest_block"], r["level"], r["run"], r["block_lo"], r["block_hi"]) for m in self.manifests() for r in m["runs"]]
         return self.spark.createDataFrame(rows, "version long, latest_block long, level int, run long, block_lo long, block_hi long")
 
-    def _claimed(self, runs: list[dict], overlaps: bool) -> dict:
+    def _claimed(self, runs: list[dict], overlaps: bool, since: int | None = None, rewound: int | None = None) -> dict:
         last = self.manifest()
         heads = [r["block_hi"] for r in runs if r["block_hi"] is not None]
-        entry = {"version": last["version"] + 1 if last else 1, "latest_block": max(heads, default=None), "capacity": self.capacity, "ratio": self.ratio, "overlaps": overlaps, "runs": runs}
+        version = last["version"] + 1 if last else 1
+        rewinds = last.get("rewinds", []) if last and since is not None else []
+        if rewound is not None:
+            rewinds = [r for r in rewinds if r[1] < rewound] + [[version, rewound]]
+        entry = {"version": version, "latest_block": max(heads, default=None), "capacity": self.capacity, "ratio": self.ratio, "overlaps": overlaps, "since": version if since is None else since, "rewinds": rewinds, "runs": runs}
         fs, path = self._hadoop(f"manifest/{entry['version']:012d}.json")
         out = fs.create(path, False)  # fails if another writer has claimed the version
         out.write(bytearray(json.dumps(entry).encode()))
@@ -80,18 +88,22 @@ class Store:
         last = self.manifest()
         if last is None:
             return self.commit(changes)
-        return self._added(last["runs"], last["overlaps"], changes)
+        return self._added(last, changes)
 
-    def _added(self, old: list[dict], overlaps: bool, changes: DataFrame) -> dict:
+    def _added(self, base: dict, changes: DataFrame, rewound: int | None = None) -> dict:
+        """Claims the runs of a commit with changes added; rewound is the block that the store goes back to."""
+        old, overlaps, since = base["runs"], base["overlaps"], self.manifest().get("since")
         flushed = [r for r in old if r["level"] >= 0]
         new = changes.select("addr", "slot", "block", "value").withColumn("seq", F.lit(1))
         for r in (r for r in old if r["level"] < 0):
             new = new.unionByName(self._read([r]).select("addr", "slot", "block", "value").withColumn("seq", F.lit(0)))
-        rows = lsm.with_flush(new.groupBy("addr", "slot", "block").agg(F.max_by("value", "seq").alias("value")), self.capacity)
-        count, low = rows.agg(F.count("*"), F.min("block")).first()
+        rows = lsm.with_flush(new.groupBy("addr", "slot", "block").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")), self.capacity)
+        count, low, first = rows.agg(F.count("*"), F.min("block"), F.min(F.when(F.col("seq") == 1, F.col("block")))).first()
         flushes = count // self.capacity
         head = max((r["block_hi"] for r in flushed), default=None)
         overlaps = overlaps or head is not None and low is not None and low <= head
+        if first is not None and base["latest_block"] is not None and first <= base["latest_block"]:
+            since = None  # older commits lack what comes late
 
         # Which runs there will be: each is a list of runs that stay or flushes that come, oldest first.
         levels: dict[int, list[tuple[int, list]]] = {}
@@ -122,16 +134,19 @@ class Store:
         if place:
             spots = self.spark.createDataFrame([(f, *to) for f, to in place.items()], "flush long, level int, run long")
             made = made.unionByName(rows.join(F.broadcast(spots), "flush").select("addr", "slot", "block", "value", "level", "run"))  # a row for each flush of this append
-        return self._claimed(kept + self._written(made), overlaps)
+        return self._claimed(kept + self._written(made), overlaps, since, rewound)
 
     def rewind(self, block: int) -> dict:
-        """Goes back to a block, whatever came after it: a new commit of the runs of the newest checkpoint that is not beyond it, and of the changes between that and the block, which are taken from the runs of now."""
-        base = max((m for m in self.manifests() if m["latest_block"] is None or m["latest_block"] <= block), key=lambda m: m["version"], default=None)
-        since = base["latest_block"] if base else None
-        between = self.changes().where(F.col("block") <= block)
-        if since is not None:
-            between = between.where(F.col("block") > since)
-        return self._added(base["runs"], base["overlaps"], between) if base else self.commit(between)
+        """Goes back to a block, whatever came after it: a new commit of the runs of the newest checkpoint that is not beyond it, and of the changes between that and the block, which are taken from the runs of now. Without such a checkpoint, or if it lacks blocks that came late, everything up to the block is written anew."""
+        last = self.manifest()
+        since, rewinds = last.get("since", last["version"]), last.get("rewinds", [])
+        upto = lambda m, b: m["latest_block"] is None or m["latest_block"] <= b
+        usable = [m for m in self.manifests() if m["version"] >= since and upto(m, block) and all(m["version"] >= v or upto(m, b) for v, b in rewinds)]
+        held = self.changes().where(F.col("block") <= block)
+        if not usable:
+            return self.commit(held)
+        base = max(usable, key=lambda m: m["version"])
+        return self._added(base, held if base["latest_block"] is None else held.where(F.col("block") > base["latest_block"]), block)
 
     def _read(self, runs: list[dict]) -> DataFrame:
         """Rows (addr, slot, block, value, level, run) of runs."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The operations of a key-value trace.
@@ -28,7 +28,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def smallbank(spark: SparkSession, n: int, accounts: int, seed: int, block_size: int = 100) -> DataFrame:
     """n random SmallBank transactions (block, seq, op, a, b, amount): the same for the same seed, however they are partitioned."""
-    draw = lambda salt, most: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(most)) + 1).cast("int")
+
+    def draw(salt: int, most: int) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)), F.col("id").cast("string")), 256)
+        return (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % most + 1).cast("int")
+
     rows = spark.range(n)
     return rows.select((F.floor(F.col("id") / block_size) + 1).alias("block"), F.col("id").alias("seq"), draw(1, 6).alias("op"), draw(2, accounts - 1).alias("a"), draw(3, accounts - 1).alias("b"), draw(4, 99).alias("amount"))
 

@@ -72,6 +72,33 @@ def test_store_appends_like_a_commit_and_rewinds(spark, tmp_path):
         fs.create(path, False)
 
 
+def test_rewind_keeps_blocks_that_came_late(spark, tmp_path):
+    schema = "addr long, slot string, block long, value long"
+    store = Store(spark, f"file://{tmp_path}/s", capacity=4, ratio=2)
+    store.append(spark.createDataFrame([(i, "a", i, i) for i in range(1, 11)], schema))
+    store.append(spark.createDataFrame([(i, "a", i, i) for i in range(11, 21)] + [(99, "late", 5, 7)], schema))
+    store.rewind(12)
+    assert sorted(r.addr for r in store.changes().collect()) == [*range(1, 13), 99]
+
+
+def test_rewind_leaves_out_commits_of_another_past(spark, tmp_path):
+    schema = "addr long, slot string, block long, value long"
+    rows = lambda low, high, value: spark.createDataFrame([(i, "a", i, value) for i in range(low, high + 1)], schema)
+    held = lambda s: {r.block: r.value for r in s.changes().collect()}
+    store = Store(spark, f"file://{tmp_path}/s", capacity=4, ratio=2, checkpoint_every=2)
+    store.append(rows(1, 10, 1))
+    store.append(rows(11, 20, 1))
+    store.rewind(12)
+    store.append(rows(13, 30, 2))
+    assert store.drop_old() > 0  # versions 2 and 4 stay; version 2 holds blocks that were taken back
+    store.rewind(25)
+    assert held(store) == {b: 1 if b <= 12 else 2 for b in range(1, 26)}
+    store.commit(rows(1, 8, 3))
+    store.append(rows(9, 40, 3))
+    store.rewind(27)
+    assert held(store) == {b: 3 for b in range(1, 28)}
+
+
 def test_parameters(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"capacity": 8,\n "ratio": 2, "checkpoint_every": 3}')
     given = Parameters.read(spark, f"file://{tmp_path}/p.json")

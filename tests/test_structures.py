@@ -280,3 +280,41 @@ def test_trie_snapshots(changes):
     nodes = trie.node_versions(changes, [10, 20, 30]).cache()
     gone = trie.pruned(nodes, 30)
     assert gone.where("last_block >= 30").count() == 0 and gone.count() + nodes.where("last_block = 30").count() == nodes.count()
+
+
+def test_trie_root_does_not_depend_on_its_parts(spark, changes):
+    state = changes.groupBy("addr", "slot").agg(F.max_by("value", "block").alias("value")).cache()
+    for some in (state, state.limit(3), state.limit(1)):
+        paths = some.select(trie.path().alias("p"), merkle.leaf("value").alias("v")).collect()
+        whole = patricia.Trie({r.p: r.v for r in paths}).root
+        assert {trie.root(some, n).first().root for n in (None, 1, 2, 3)} == {whole}
+    assert trie.root(state.limit(0)).first().root == "" and trie.proved(state.limit(0)).count() == 0
+    assert [trie.nibbles_for(state, most) for most in (10**6, 1)] == [1, 2]
+
+
+def test_stored_trie_nodes_lead_to_values(spark, changes, tmp_path):
+    state = changes.groupBy("addr", "slot").agg(F.max_by("value", "block").alias("value"))
+    trie.nodes(state).write.parquet(f"{tmp_path}/nodes")
+    held = spark.read.parquet(f"{tmp_path}/nodes")
+    absent = state.select((F.col("addr") + 1000).alias("addr"), "slot")
+    found = {(r.addr, r.slot): r.hash for r in trie.read(held, state.select("addr", "slot").unionByName(absent)).collect()}
+    assert found == {(r.addr, r.slot): r.hash for r in state.select("addr", "slot", merkle.leaf("value").alias("hash")).collect()} | {(r.addr, r.slot): None for r in absent.collect()}
+    assert trie.read(held.limit(0), absent).where("hash is not null").count() == 0
+
+
+@pytest.mark.parametrize("cut", list(provenance.CUTS))
+def test_dense_proofs(spark, cut):
+    rows = [(1, "a", b, b) for b in (3, 4, 9, 15)] + [(2, "a", 12, 5), (3, "a", 1, 6), (4, "a", 20, 7), (5, "a", 6, None)]
+    changes = spark.createDataFrame(rows, "addr long, slot string, block long, value long")
+    held = lambda a, b: max(((c, v) for k, _, c, v in rows if k == a and c <= b), default=(0, 0))
+    expected = {(a, b): (None if held(a, b) == (0, 0) else "" if held(a, b)[1] is None else str(held(a, b)[1])) for a in range(1, 6) for b in range(4, 13)}
+    proofs = provenance.dense_prove(changes, 4, 12, cut).cache()
+    shown = provenance.dense_shown(proofs).collect()
+    assert {(r.addr, r.block): r.value for r in shown} == expected and all(r.ok for r in shown) and len(shown) == 45
+    # A version that is kept back, a root of another key, and a stretch that hides a version.
+    forged = provenance.dense_prove(changes.where("block <> 9"), 4, 12, cut).drop("root").join(proofs.select("addr", "root").distinct(), "addr")
+    assert {r.addr for r in provenance.dense_shown(forged).where("not ok").collect()} == {1}
+    longer = proofs.where("addr = 1 and low = 4").withColumn("high", F.lit(12).cast("long"))
+    assert not any(r.ok for r in provenance.dense_shown(longer).collect())
+    swapped = proofs.where("addr = 1").withColumn("root", F.lit(proofs.where("addr = 3").first().root))
+    assert not any(r.ok or r.value for r in provenance.dense_shown(swapped).collect())
