@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from operator import itemgetter
 
 Cut = Callable[[bytes, int], bool]
+Digest = Callable[[bytes], bytes]
 Entry = tuple[int, bytes]
 
 
@@ -24,6 +25,10 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=32).digest()
 
 
+def sha256(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()
+
+
 def _key(k: int) -> bytes:
     return k.to_bytes(8, "big", signed=True)
 
@@ -76,15 +81,15 @@ class Proof:
 class ChunkedTree:
     """A tree of entries in the order of their keys, which are distinct."""
 
-    def __init__(self, entries: Sequence[Entry], cut: Cut | None = None, fanout: int = 4, most: int = 92) -> None:
+    def __init__(self, entries: Sequence[Entry], cut: Cut | None = None, fanout: int = 4, most: int = 92, hashed: Digest = digest) -> None:
         self.entries = sorted(entries)
-        self.cut, self.fanout, self.most = cut, fanout, most
+        self.cut, self.fanout, self.most, self.hashed = cut, fanout, most, hashed
         #: Levels from below: members as (first key, digest), and where each node begins in its level's members.
         self.levels: list[list[tuple[bytes, bytes]]] = []
         self.starts: list[list[int]] = []
         #: Nodes whose digest had to be computed.
         self.made = 0
-        self._grow([(_key(k), digest(_key(k) + v)) for k, v in self.entries], 0, None)
+        self._grow([(_key(k), hashed(_key(k) + v)) for k, v in self.entries], 0, None)
 
     def _grow(self, members: list[tuple[bytes, bytes]], same: int, old: ChunkedTree | None) -> None:
         """Levels above the leaves, of which the first are the same as in old: nodes that end among those are kept, on each level."""
@@ -100,7 +105,7 @@ class ChunkedTree:
             ends = [*starts[1:], len(members)]
             reused = old.levels[level + 1][:whole] if whole else []
             self.made += len(starts) - whole
-            self.levels.append(reused + [(members[a][0] if a < b else b"", node_digest(members[a:b])) for a, b in zip(starts[whole:], ends[whole:], strict=True)])
+            self.levels.append(reused + [(members[a][0] if a < b else b"", node_digest(members[a:b], self.hashed)) for a, b in zip(starts[whole:], ends[whole:], strict=True)])
             same = whole
 
     def _split(self, members: list[tuple[bytes, bytes]], level: int, begin: int = 0) -> list[int]:
@@ -133,11 +138,11 @@ class ChunkedTree:
         new = dict(self.entries) | dict(entries)
         for k in gone:
             new.pop(k, None)
-        out = ChunkedTree([], self.cut, self.fanout, self.most)
+        out = ChunkedTree([], self.cut, self.fanout, self.most, self.hashed)
         out.entries, out.made = sorted(new.items()), 0
         first = min([k for k, _ in entries] + list(gone), default=None)
         same = len(self.entries) if first is None else bisect_left(self.entries, (first,))
-        members = self.levels[0][:same] + [(_key(k), digest(_key(k) + v)) for k, v in out.entries[same:]]
+        members = self.levels[0][:same] + [(_key(k), self.hashed(_key(k) + v)) for k, v in out.entries[same:]]
         out._grow(members, same, self)
         return out
 
@@ -169,16 +174,16 @@ class ChunkedTree:
         return Proof(shown, tuple(levels), not shown or shown[0] == self.entries[0], not shown or shown[-1] == self.entries[-1])
 
 
-def node_digest(members: Sequence[tuple[bytes, bytes]]) -> bytes:
-    return digest(b"".join(k + d for k, d in members))
+def node_digest(members: Sequence[tuple[bytes, bytes]], hashed: Digest = digest) -> bytes:
+    return hashed(b"".join(k + d for k, d in members))
 
 
-def verify(proof: Proof, root: bytes, low: int, high: int) -> list[Entry] | None:
+def verify(proof: Proof, root: bytes, low: int, high: int, hashed: Digest = digest) -> list[Entry] | None:
     """The entries from low to high if the proof leads to the root and shows all of them; None if it does not."""
     keys = [k for k, _ in proof.entries]
     if keys != sorted(set(keys)):
         return None
-    members = [(_key(k), digest(_key(k) + v)) for k, v in proof.entries]
+    members = [(_key(k), hashed(_key(k) + v)) for k, v in proof.entries]
     left_open = right_open = False
     for left, right, cuts in proof.levels:
         left_open, right_open = left_open or bool(left), right_open or bool(right)
@@ -186,8 +191,8 @@ def verify(proof: Proof, root: bytes, low: int, high: int) -> list[Entry] | None
         borders = [0, *cuts, len(members)]
         if borders != sorted(set(borders)):
             return None
-        members = [(members[a][0], node_digest(members[a:b])) for a, b in zip(borders, borders[1:])]
-    found = members[0][1] if len(members) == 1 else node_digest(members)
+        members = [(members[a][0], node_digest(members[a:b], hashed)) for a, b in zip(borders, borders[1:])]
+    found = members[0][1] if len(members) == 1 else node_digest(members, hashed)
     if found != root or len(members) > 1 and proof.levels:
         return None
     # Entries left out on a side must lie beyond the neighbour that is shown on it.

@@ -20,8 +20,8 @@ from stratum.schema import KEY
 CUTS = {"gear": chunked_tree.gear_cut, "polynomial": chunked_tree.polynomial_cut, "fixed": lambda fanout: None}
 
 
-def _tree(blocks, values, cut: str, fanout: int) -> ChunkedTree:  # noqa: ANN001
-    return ChunkedTree([(int(b), str(v).encode()) for b, v in zip(blocks, values, strict=True)], CUTS[cut](fanout), fanout)
+def _tree(blocks, values, cut: str, fanout: int, hashed: chunked_tree.Digest = chunked_tree.digest) -> ChunkedTree:  # noqa: ANN001
+    return ChunkedTree([(int(b), str(v).encode()) for b, v in zip(blocks, values, strict=True)], CUTS[cut](fanout), fanout, hashed=hashed)
 
 
 def _keyed(df: DataFrame) -> str:
@@ -71,11 +71,11 @@ def _parse(columns: str) -> list[StructField]:
     return list(StructType.fromDDL(columns))
 
 
-def version_roots(changes: DataFrame, cut: str = "gear", fanout: int = 4) -> DataFrame:
+def version_roots(changes: DataFrame, cut: str = "gear", fanout: int = 4, hashed: chunked_tree.Digest = chunked_tree.digest) -> DataFrame:
     """(addr, slot, root, n_versions, height) of each key's tree of versions. A null value counts as an empty one."""
 
     def made(blocks: list, values: list) -> tuple:
-        tree = _tree(blocks, values, cut, fanout)
+        tree = _tree(blocks, values, cut, fanout, hashed)
         return tree.root.hex(), len(blocks), tree.height
 
     return _by_key(changes, made, "root string, n_versions long, height int")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratum.functions import bloom, hashing, learned
+from stratum.functions import bloom, chunked_tree, hashing, learned
 from stratum.operators import contracts, lookup, lsm, merkle, metrics, provenance, reorg, run_proofs, state, trie
 from stratum.plans.scratch import folder, positions, stored
 from stratum.sources import traces
@@ -304,6 +304,36 @@ def version_tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.version_roots(changes(spark, sf_dir))
 
 
+#: Levels that hold the longest history in the SQL below: nodes of four members, and a key's tree ends where one node is left.
+VERSION_LEVELS = 8
+
+
+def version_roots_sql() -> str:
+    hexkey = "lower(printf('%016x', block))"
+    folds = [f"v0 AS (SELECT addr, slot, row_number() OVER (PARTITION BY addr, slot ORDER BY block) - 1 AS pos, {hexkey} AS k, sha256(unhex({hexkey} || hex(encode(CAST(value AS VARCHAR))))) AS d, count(*) OVER (PARTITION BY addr, slot) AS n, false AS done FROM c)"]
+    for i in range(VERSION_LEVELS):
+        folds.append(f"""v{i + 1} AS (SELECT addr, slot, pos // {FANOUT} AS pos, min(k) AS k, CASE WHEN any_value(done) THEN min(d) ELSE sha256(unhex(string_agg(k || d, '' ORDER BY pos))) END AS d,
+(any_value(n) + {FANOUT - 1}) // {FANOUT} AS n, any_value(n) <= {FANOUT} AS done FROM v{i} GROUP BY addr, slot, pos // {FANOUT})""")
+    return ", " + ", ".join(folds) + f", roots AS (SELECT v.addr, v.slot, v.d AS root, x.n AS n_versions FROM v{VERSION_LEVELS} v JOIN (SELECT addr, slot, count(*) AS n FROM c GROUP BY addr, slot) x USING (addr, slot)) "
+
+
+@query("version_tree_roots_fixed", version_roots_sql() + "SELECT * FROM roots")
+def version_tree_roots_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.version_roots(changes(spark, sf_dir), "fixed", FANOUT, chunked_tree.sha256).drop("height")
+
+
+@query("key_leaf_digests", version_roots_sql() + f"SELECT row_number() OVER (ORDER BY addr, slot) - 1 AS pos, {leaf_sql('addr', 'slot', 'root')} AS hash, addr, slot FROM roots")
+def key_leaf_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of the ledger's digest: keys with the roots of their versions."""
+    return provenance.key_leaves(version_tree_roots_fixed(spark, sf_dir)).drop("tree")
+
+
+@query("ledger_digest_sha256", version_roots_sql() + ", leaves AS MATERIALIZED (SELECT 0 AS tree, row_number() OVER (ORDER BY addr, slot) - 1 AS pos, " + leaf_sql("addr", "slot", "root") + " AS hash FROM roots) " + root_sql("SELECT * FROM leaves"))
+def ledger_digest_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root over all keys' version roots."""
+    return merkle.roots(provenance.key_leaves(version_tree_roots_fixed(spark, sf_dir)).drop("addr", "slot"), FANOUT)
+
+
 def proofs_ok(cut: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = changes(spark, sf_dir)
@@ -382,6 +412,13 @@ def trie_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.root(latest_state(spark, sf_dir))
 
 
+@query("trie_node_kinds", f""", paths AS (SELECT {PATH_SQL} AS p FROM l), pre AS (SELECT depth, substring(p, 1, depth) AS prefix FROM paths, (SELECT unnest(range(2, {TRIE_DEPTH})) AS depth) GROUP BY 1, 2 HAVING count(DISTINCT substring(p, depth + 1, 1)) > 1)
+SELECT kind, count(*) AS n FROM (SELECT 'leaf' AS kind FROM l UNION ALL SELECT 'branch' FROM pre UNION ALL SELECT 'extension' FROM pre x WHERE x.depth > 2 AND NOT EXISTS (SELECT 1 FROM pre y WHERE y.depth = x.depth - 1 AND y.prefix = substring(x.prefix, 1, x.depth - 1))) GROUP BY kind""")
+def trie_node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes of each kind the shards' tries of the latest state have."""
+    return trie.nodes(latest_state(spark, sf_dir), 2).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("trie_nodes_read", f"SELECT addr, slot, {leaf_sql('value')} AS hash FROM l UNION ALL SELECT DISTINCT addr + 1000000000, slot, NULL FROM l")
 def trie_nodes_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie's nodes written as a table, and what all keys and as many others find in them."""
