@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratum.functions.patricia import Trie, verify
 from stratum.operators import merkle
 from stratum.operators.state import as_of
+from stratum.plans.scratch import positions
 from stratum.schema import KEY
 
 
@@ -130,13 +131,14 @@ def read(stored: DataFrame, keys: DataFrame, nibbles: int = 2) -> DataFrame:
     return asked.groupBy("shard").cogroup(stored.groupBy("shard")).applyInPandas(walk, f"{kinds}, hash string")
 
 
-def node_versions(changes: DataFrame, blocks: list[int], nibbles: int = 2) -> DataFrame:
-    """(node, kind, first_block, last_block, references): the nodes of the shards' tries of the snapshots at some blocks, and between which of these they are in use."""
+def node_versions(changes: DataFrame, blocks: list[int], nibbles: int | None = None) -> DataFrame:
+    """(node, kind, first_block, last_block, references): the nodes of the shards' tries of the snapshots at some blocks, and between which of these they are in use. Shards have two nibbles or, if None is given and they would be large, more."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = _trie(pdf)
         return pd.DataFrame({"at": pdf["at"].iloc[0], "node": list(t.nodes), "kind": [n[0] for n in t.nodes.values()]})
 
+    nibbles = nibbles or max(2, nibbles_for(changes.select(*KEY).distinct()))
     snapshots = None
     for b in blocks:
         s = _parted(as_of(changes, b), nibbles).withColumn("at", F.lit(b).cast("long"))
@@ -153,8 +155,10 @@ def pruned(nodes: DataFrame, block: int) -> DataFrame:
 def delta_pages(changes: DataFrame, nibbles: int = 2, every: int = 256) -> DataFrame:
     """Where each change lies if a page of the trie (a prefix of some nibbles) keeps its updates as deltas and is written as a whole each time: (addr, slot, block, page, base, delta).
 
-    A page's updates are ordered in one task: more nibbles make more and smaller pages.
+    Updates are numbered over all pages at once, by ranges, and then from each page's first: no page has to fit into a
+    task. Pages are 16 to the power of nibbles at most.
     """
-    rows = changes.select(*KEY, "block", F.substring(path(), 1, nibbles).alias("page"))
-    n = F.row_number().over(Window.partitionBy("page").orderBy("block", *KEY)) - 1
-    return rows.withColumn("n", n.cast("long")).select(*KEY, "block", "page", F.floor(F.col("n") / every).alias("base"), (F.col("n") % every).alias("delta"))
+    rows = positions(changes.select(*KEY, "block", F.substring(path(), 1, nibbles).alias("page")), ["page", "block", *KEY])
+    first = rows.groupBy("page").agg(F.min("pos").alias("first"))
+    first = F.broadcast(first) if nibbles <= 4 else first  # 65,536 rows
+    return rows.join(first, "page").withColumn("n", F.col("pos") - F.col("first")).select(*KEY, "block", "page", F.floor(F.col("n") / every).alias("base"), (F.col("n") % every).alias("delta"))

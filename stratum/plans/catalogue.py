@@ -423,8 +423,9 @@ def trie_node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trie_nodes_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie's nodes written as a table, and what all keys and as many others find in them."""
     rows = latest_state(spark, sf_dir)
-    held = stored(trie.nodes(rows), "trie")
-    return trie.read(held, rows.select("addr", "slot").unionByName(rows.select((F.col("addr") + 10**9).alias("addr"), "slot")))
+    nibbles = trie.nibbles_for(rows)
+    held = stored(trie.nodes(rows, nibbles), "trie")
+    return trie.read(held, rows.select("addr", "slot").unionByName(rows.select((F.col("addr") + 10**9).alias("addr"), "slot")), nibbles)
 
 
 @query("trie_pruned_nodes")
