@@ -133,6 +133,11 @@ class DeltaLedger(Ledger):
     def pages(self) -> DataFrame:
         return trie.delta_pages(self.changes)
 
+    def digest(self) -> DataFrame:
+        """One row: the root over the pages of the latest state."""
+        state = self.latest()
+        return merkle.roots(trie.page_leaves(state, trie.nibbles_for(state, 64)), 16)
+
     def index_size(self, capacity: int, ratio: int) -> DataFrame:
         """Pages in place of runs: the updates, full pages and deltas of each."""
         return self.pages().groupBy("page").agg(F.count("*").alias("n_rows"), F.count_distinct("base").alias("bases"), F.min("block").alias("block_lo"), F.max("block").alias("block_hi"))

@@ -162,3 +162,14 @@ def delta_pages(changes: DataFrame, nibbles: int = 2, every: int = 256) -> DataF
     first = rows.groupBy("page").agg(F.min("pos").alias("first"))
     first = F.broadcast(first) if nibbles <= 4 else first  # 65,536 rows
     return rows.join(first, "page").withColumn("n", F.col("pos") - F.col("first")).select(*KEY, "block", "page", F.floor(F.col("n") / every).alias("base"), (F.col("n") % every).alias("delta"))
+
+
+def page_leaves(state: DataFrame, nibbles: int) -> DataFrame:
+    """(tree, pos, hash, page, n_keys): a digest of the entries (addr, slot, value) of each page of a state, as leaves of a tree of 16 children a node, which merkle proves.
+
+    Pages are prefixes of some nibbles, and a page's digests meet in one row: see nibbles_for(). The digest covers the
+    page's prefix, so a page without keys needs no leaf.
+    """
+    rows = state.select(F.substring(path(), 1, nibbles).alias("page"), F.struct(path().alias("path"), merkle.leaf(*KEY, "value").alias("hash")).alias("entry"))
+    pages = rows.groupBy("page").agg(F.count("*").alias("n_keys"), merkle.sha256(F.concat("page", merkle.joined(F.collect_list("entry")))).alias("hash"))
+    return pages.select(F.lit(0).alias("tree"), F.conv("page", 16, 10).cast("long").alias("pos"), "hash", "page", "n_keys")

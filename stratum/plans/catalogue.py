@@ -217,10 +217,10 @@ def level_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.ordered_digest(run_digests(spark, sf_dir), -F.col("run"), "digest", ["level"], "digest")
 
 
-def root_sql(leaves: str) -> str:
+def root_sql(leaves: str, fanout: int = FANOUT) -> str:
     """Roots of all trees of leaves (tree, pos, hash); short trees are hashed above their root until the longest has one."""
     return f"""SELECT tree, hash AS root FROM (WITH RECURSIVE t(tree, lev, pos, hash) AS (SELECT tree, 0, pos, hash FROM ({leaves}) UNION ALL
-SELECT tree, lev + 1, CAST(floor(pos / {FANOUT}) AS BIGINT), sha256(string_agg(hash, '' ORDER BY pos)) FROM t GROUP BY 1, 2, 3 HAVING (SELECT max(pos) FROM t) > 0) SELECT *, max(lev) OVER () AS top FROM t) WHERE lev = top"""
+SELECT tree, lev + 1, CAST(floor(pos / {fanout}) AS BIGINT), sha256(string_agg(hash, '' ORDER BY pos)) FROM t GROUP BY 1, 2, 3 HAVING (SELECT max(pos) FROM t) > 0) SELECT *, max(lev) OVER () AS top FROM t) WHERE lev = top"""
 
 
 RUN_SQL = f"""SELECT CAST(split_part(tree, '/', 1) AS BIGINT) AS level, CAST(split_part(tree, '/', 2) AS BIGINT) AS run, root AS digest FROM
@@ -412,6 +412,34 @@ def trie_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.root(latest_state(spark, sf_dir))
 
 
+#: Keys of a page on average, at most.
+PAGE_KEYS = 64
+PAGES_SQL = f"""(SELECT 0 AS tree, CAST('0x' || page AS BIGINT) AS pos, sha256(page || string_agg(h, '' ORDER BY p)) AS hash, page, count(*) AS n_keys FROM
+(SELECT substring({PATH_SQL}, 1, (SELECT min(n) FROM range(1, 12) r(n) WHERE (SELECT count(*) FROM l) <= {PAGE_KEYS} * pow(16, n))::INTEGER) AS page, {PATH_SQL} AS p, {leaf_sql('addr', 'slot', 'value')} AS h FROM l) GROUP BY page)"""
+
+
+def state_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = latest_state(spark, sf_dir)
+    return trie.page_leaves(rows, trie.nibbles_for(rows, PAGE_KEYS))
+
+
+@query("page_digests", "SELECT page, n_keys, hash FROM " + PAGES_SQL)
+def page_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state_pages(spark, sf_dir).select("page", "n_keys", "hash")
+
+
+@query("page_root", ", pages AS MATERIALIZED (SELECT tree, pos, hash FROM " + PAGES_SQL + ") " + root_sql("SELECT * FROM pages", 16))
+def page_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.roots(state_pages(spark, sf_dir), 16)
+
+
+@query("page_proofs_ok", "SELECT pos, true AS ok FROM " + PAGES_SQL)
+def page_proofs_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's proof by the digests beside it on every level."""
+    made = merkle.levels(state_pages(spark, sf_dir), 16)
+    return merkle.verified(merkle.proofs(made[0], 16, made=made), merkle.roots(made[0], 16, made=made)).select("pos", "ok")
+
+
 @query("trie_node_kinds", f""", paths AS (SELECT {PATH_SQL} AS p FROM l), pre AS (SELECT depth, substring(p, 1, depth) AS prefix FROM paths, (SELECT unnest(range(2, {TRIE_DEPTH})) AS depth) GROUP BY 1, 2 HAVING count(DISTINCT substring(p, depth + 1, 1)) > 1)
 SELECT kind, count(*) AS n FROM (SELECT 'leaf' AS kind FROM l UNION ALL SELECT 'branch' FROM pre UNION ALL SELECT 'extension' FROM pre x WHERE x.depth > 2 AND NOT EXISTS (SELECT 1 FROM pre y WHERE y.depth = x.depth - 1 AND y.prefix = substring(x.prefix, 1, x.depth - 1))) GROUP BY kind""")
 def trie_node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

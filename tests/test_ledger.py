@@ -205,6 +205,7 @@ def test_all_backends_give_the_same_reads(spark, changes, tmp_path):
         assert all(a == answers["memory"] for a in answers.values())
     digests = {name: plain[name].digest().first().root for name in ("gear", "polynomial", "fixed", "trie")}
     assert len(set(digests.values())) == 4
+    assert plain["delta"].digest().first().root not in digests.values()
     assert plain["trie"].verify(plain["trie"].prove(1, 20), 1, 20).where("not ok").count() == 0
     assert plain["delta"].index_size(10, 3).agg(F.sum("n_rows")).first()[0] == plain["delta"].changes.count()
     store = Store(spark, f"file://{tmp_path}/s", 16, 3)

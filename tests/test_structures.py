@@ -318,3 +318,20 @@ def test_dense_proofs(spark, cut):
     assert not any(r.ok for r in provenance.dense_shown(longer).collect())
     swapped = proofs.where("addr = 1").withColumn("root", F.lit(proofs.where("addr = 3").first().root))
     assert not any(r.ok or r.value for r in provenance.dense_shown(swapped).collect())
+
+
+def test_page_proofs(changes):
+    state = changes.groupBy("addr", "slot").agg(F.max_by("value", "block").alias("value"))
+    pages = trie.page_leaves(state, 1).cache()
+    assert pages.agg(F.sum("n_keys")).first()[0] == state.count()
+    made = merkle.levels(pages, 16)
+    root = merkle.roots(made[0], 16, made=made)
+    proofs = merkle.proofs(made[0], 16, made=made)
+    assert merkle.verified(proofs, root).where("not ok").count() == 0
+    forged = proofs.withColumn("hash", F.reverse("hash"))
+    assert merkle.verified(forged, root).where("ok").count() == 0
+    key = state.orderBy("addr", "slot").first()
+    other = state.withColumn("value", F.when((F.col("addr") == key.addr) & (F.col("slot") == key.slot), F.lit("other")).otherwise(F.col("value")))
+    assert trie.page_leaves(other, 1).join(pages, ["page", "hash"], "left_anti").count() == 1
+    assert merkle.roots(trie.page_leaves(other, 1), 16).first().root != root.first().root
+    assert merkle.roots(trie.page_leaves(state.limit(0), 1), 16).count() == 0
