@@ -7,6 +7,7 @@ from fractions import Fraction
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratum.functions import bloom, chunked_tree, hashing, learned, patricia
@@ -253,6 +254,43 @@ def test_run_proofs_hold_and_forged_ones_do_not(changes):
     assert wider.where("ok").count() < wider.count(), "proofs of a range do not all prove a larger one"
 
 
+def test_run_proofs_share_filters_and_blocks(changes, monkeypatch):
+    monkeypatch.setattr(run_proofs, "PART_KEYS", 6, raising=False)
+    monkeypatch.setattr(run_proofs, "BLOCK_ROWS", 4, raising=False)
+    placed = lsm.with_runs(changes, 40, 3).cache()
+    runs = run_proofs.Runs(placed, 4, 0.05)
+    place = F.row_number().over(Window.partitionBy("level", "run").orderBy("addr", "slot", "block")) - 1
+    leaves = placed.select(F.concat_ws("/", "level", "run").alias("tree"), place.cast("long").alias("pos"), merkle.leaf("addr", "slot", "block", "value").alias("hash"))
+    digests = runs.digests().cache()
+    assert {(f"{r.level}/{r.run}", r.root) for r in digests.collect()} == {(r.tree, r.root) for r in merkle.roots(leaves, 4).collect()}, "blocks change no root"
+    keys = changes.select("addr", "slot").distinct()
+    probes = keys.unionByName(keys.withColumn("addr", F.col("addr") + 50))
+    proofs = runs.prove(probes, 1, 60, shared=True).cache()
+    verify = lambda p, shared=runs.index: run_proofs.Runs.verify(p, digests, 1, 60, 4, shared)
+    found = verify(proofs).cache()
+    assert proofs.where("filter is not null").count() == 0 and proofs.where("rows is null").count() > 100, "no proof has a copy of a filter"
+    assert proofs.where("size(rows) > 4").count() > 0, "some rows are of several blocks"
+    assert found.count() == probes.count() * digests.count() and found.where("not ok").count() == 0
+    assert found.agg(F.sum("n_found")).first()[0] == changes.count()
+    whole = run_proofs.Runs.verify(runs.prove(probes, 1, 60), digests, 1, 60)
+    assert found.exceptAll(whole).count() == whole.exceptAll(found).count() == 0
+    # A key that a run holds is not excluded: by no name of a part, by no other part's filter, by no filter that the run is not committed to.
+    held = placed.select("addr", "slot", "level", "run").distinct()
+    parts = runs.index.select("level", "run", F.col("part"))
+    kinds = proofs.schema
+    claim = held.join(parts, ["level", "run"]).select("addr", "slot", "level", "run", "part", F.lit(None).cast("binary").alias("filter"), F.lit(None).cast(kinds["rows"].dataType).alias("rows"), F.lit(None).cast(kinds["path"].dataType).alias("path"))
+    assert runs.index.agg(F.max("parts")).first()[0] > 1 and claim.count() > 0
+    assert verify(claim).where("ok").count() == 0
+    assert verify(claim.drop("filter").join(runs.index.select("level", "run", "part", "filter"), ["level", "run", "part"])).where("ok").count() == 0
+    assert verify(claim, runs.index.withColumn("filter", F.lit(bloom.BloomFilter(0.05, 64).to_bytes()))).where("ok").count() == 0
+
+
+def test_bloom_answers_many_keys_at_once():
+    f = bloom.BloomFilter(0.1, 20).update(b"k%d" % i for i in range(100))
+    keys = [b"k%d" % i for i in range(2000)]
+    assert f.contains_all(keys).tolist() == [k in f for k in keys] and f.contains_all([]).tolist() == []
+
+
 def test_blake2b_equals_the_library(spark, changes):
     import hashlib
 
